@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foretide.llm import chat, licenses, urls
+from foretide.llm import chat, licenses, packing, pii, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
 
@@ -25,7 +42,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op9_preference": op9_preference, "op10_urls": op10_urls}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_preference": op9_preference, "op10_urls": op10_urls}
 
 
 def _op2_sql() -> str:
