@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: labels mark documents, the model scores sentences.
 
-A sentence with word weights a (all at least 0) is toxic with probability 1 - exp(-sum of a), and a document with
+A sentence's features are its words and, as insults also come as compounds, the first 5, 6 and 7 bytes of longer words.
+A sentence with feature weights a (all at least 0) is toxic with probability 1 - exp(-sum of a), and a document with
 probability 1 - exp(-leak) * product over sentences of (1 - that), the noisy-or of its sentences and a leak for labels
 that no word explains. The weights are fitted by projected gradient descent with an L1 penalty on at most
 `MOST_TRAIN` labelled documents of each class, chosen by a hash of their ids, each of at most `MOST_BYTES` bytes.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from foretide.llm.common import text_batches
 
 #: Bounds of the training sample: documents of each class, and bytes of each document.
-MOST_TRAIN, MOST_BYTES = 3000, 60_000
-#: A word must be in so many toxic training documents.
+MOST_TRAIN, MOST_BYTES = 2000, 60_000
+#: A feature must be in so many toxic training documents.
 LEAST_DOCS = 4
 THRESHOLD = 0.7
 
@@ -41,16 +42,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+#: Lengths in bytes of the beginnings of longer words.
+BEGINNINGS = (5, 6, 7)
+
+
+def features_of(text: bytes, lengths: tuple[int, ...] = BEGINNINGS) -> set[bytes]:
+    """The words of a text, and the beginnings of longer ones, each followed by an asterisk."""
+    words = set(words_of(text))
+    return words.union(*({w[:k] + b"*" for w in words if len(w) > k} for k in lengths))
+
+
 @dataclass
 class Model:
     weights: dict[bytes, float]
     leak: float
 
+    def __post_init__(self):
+        self.lengths = tuple(sorted({len(w) - 1 for w in self.weights if w.endswith(b"*")}))
+
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
         """start, end, probability of each sentence that has any weighted word."""
         out = []
         for m in _SENTENCE.finditer(text):
-            a = sum(self.weights.get(w, 0.0) for w in set(words_of(m.group().encode())))
+            a = sum(self.weights.get(w, 0.0) for w in features_of(m.group().encode(), self.lengths))
             if a > 0:
                 start = m.start() + len(m.group()) - len(m.group().lstrip())
                 out.append((start, m.end(), 1 - math.exp(-a)))
@@ -70,14 +84,14 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, steps: i
     share = share if share is not None else float(y.mean()) if len(y) else 0.0
     counts: list[Counter] = []
     for t in texts:
-        counts.append(Counter(w for m in _SENTENCE.finditer(t) for w in set(words_of(m.group().encode()))))
+        counts.append(Counter(w for m in _SENTENCE.finditer(t) for w in features_of(m.group().encode())))
     n_pos, n_neg = int(y.sum()), int((~y).sum())
     if not n_pos or not n_neg:
         return Model({}, -math.log(max(1e-9, 1 - min(share, 1 - 1e-9))))
     in_pos, in_neg = Counter(), Counter()
     for c, t in zip(counts, y):
         (in_pos if t else in_neg).update(c.keys())
-    kept = sorted(w for w, n in in_pos.items() if n >= LEAST_DOCS and n / n_pos > 2 * in_neg.get(w, 0) / n_neg)
+    kept = sorted(w for w, n in in_pos.items() if n >= LEAST_DOCS and n / n_pos > 3 * in_neg.get(w, 0) / n_neg)
     at = {w: i for i, w in enumerate(kept)}
     pairs = [(d, at[w], n) for d, c in enumerate(counts) for w, n in c.items() if w in at]
     doc, word, n = (np.asarray([p[i] for p in pairs], np.int64) for i in range(3))
@@ -127,7 +141,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
         for batch in text_batches(batches):
             scores, spans = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if not text or model.weights.keys().isdisjoint(words_of(text)):
+                if not text or model.weights.keys().isdisjoint(features_of(text, model.lengths)):
                     scores.append(base)
                     spans.append("")
                     continue
