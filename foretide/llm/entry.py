@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import chat, licenses, packing, pii, toxicity, urls
+from foretide.llm import chat, licenses, neardup, packing, pii, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
@@ -33,6 +33,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
 
@@ -42,7 +46,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_preference": op9_preference, "op10_urls": op10_urls}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
 
 
 def _op2_sql() -> str:
