@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import chat, licenses, neardup, packing, pii, toxicity, urls
+from foretide.llm import chat, decontaminate, licenses, neardup, packing, pii, topk, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
@@ -25,6 +25,15 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +55,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
 
 
 def _op2_sql() -> str:
@@ -109,4 +118,15 @@ SELECT page_id, host, path,
 FROM q
 """.format(rules=", ".join(str(r) for r in URL_RULES), upper=urls.UPPER, lower=urls.LOWER)
 
-SQL = {"op2_licenses": _op2_sql(), "op9_preference": OP9_SQL, "op10_urls": OP10_SQL}
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+SQL = {"op4_topk": OP4_SQL, "op2_licenses": _op2_sql(), "op9_preference": OP9_SQL, "op10_urls": OP10_SQL}

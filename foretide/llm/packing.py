@@ -27,25 +27,68 @@ CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: ASCII signs that always begin or end a token of their own beside letters.
+_SIGNS = b".,;:!?|#$%&*\"()[]{}<>=+-_/\\@^~`"
+#: Words of letters that are encoded in one call, as one text.
+TOGETHER = 200
+
+
 class TokenBytes(dict):
-    """Word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit, by a tokenizer that drops white space."""
+    """Word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit.
 
-    def __init__(self, path: str, most: int = 300_000):
+    For tokenizers that drop white space and case and end each token's last piece with a mark, such as "</w>". Words are
+    letters between signs mostly; unseen runs of letters are encoded together and told apart by the mark.
+    """
+
+    def __init__(self, path: str, most: int = 600_000, mark: str = "</w>"):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode unseen words in one call."""
+        """Encode the unseen words of a batch."""
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+        parts, letters, other = {}, set(), set()
+        for w in new:
+            low = w.lower()
+            tail = low.lstrip(_SIGNS)
+            core = tail.rstrip(_SIGNS)
+            if core and not any(t in w for t in self.special) and (core.isalpha() or not core.isascii() and core.decode().isalpha()):
+                head, end = low[: len(low) - len(tail)], tail[len(core) :]
+                parts[w] = (head, core, end)
+                letters.add(core)
+                other.update(x for x in (head, end) if x)
+            else:
+                other.add(w)
+        ids = dict.fromkeys([b""], b"")
+        self._together([c for c in letters if c not in self], ids)
+        rest = [x for x in other if x not in self]
+        ids.update(zip(rest, (e.tobytes() for e in self.encode([x.decode() for x in rest]))))
+        for w in new:
+            self[w] = b"".join(self.get(x) or ids[x] for x in parts[w]) if w in parts else self.get(w) or ids[w]
+
+    def _together(self, cores: list[bytes], ids: dict[bytes, bytes]) -> None:
+        groups = [cores[i : i + TOGETHER] for i in range(0, len(cores), TOGETHER)]
+        for group, found in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
+            cut = np.flatnonzero(self.ends[found]) + 1
+            if len(cut) == len(group):
+                raw, at = found.tobytes(), 0
+                for c, to in zip(group, (4 * cut).tolist()):
+                    ids[c] = raw[at:to]
+                    at = to
+            else:  # some run of letters is more than one token once normalised
+                ids.update(zip(group, (e.tobytes() for e in self.encode([c.decode() for c in group]))))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
