@@ -73,6 +73,9 @@ class TokenBytes(dict):
                 other.add(w)
         ids = dict.fromkeys([b""], b"")
         self._together([c for c in letters if c not in self], ids)
+        for w in [w for w, (_, core, _) in parts.items() if ids.get(core, b"") is None]:
+            del parts[w]
+            other.add(w)
         rest = [x for x in other if x not in self]
         ids.update(zip(rest, (e.tobytes() for e in self.encode([x.decode() for x in rest]))))
         for w in new:
@@ -87,8 +90,8 @@ class TokenBytes(dict):
                 for c, to in zip(group, (4 * cut).tolist()):
                     ids[c] = raw[at:to]
                     at = to
-            else:  # some run of letters is more than one token once normalised
-                ids.update(zip(group, (e.tobytes() for e in self.encode([c.decode() for c in group]))))
+            else:  # some run of letters is more than letters once normalised: no id, its words are encoded whole
+                ids.update((c, e.tobytes() if self.ends[e].sum() == 1 else None) for c, e in zip(group, self.encode([c.decode() for c in group])))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
