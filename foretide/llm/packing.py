@@ -47,6 +47,7 @@ class TokenBytes(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd: set[bytes] = set()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
 
@@ -73,7 +74,7 @@ class TokenBytes(dict):
                 other.add(w)
         ids = dict.fromkeys([b""], b"")
         self._together([c for c in letters if c not in self], ids)
-        for w in [w for w, (_, core, _) in parts.items() if ids.get(core, b"") is None]:
+        for w in [w for w, (_, core, _) in parts.items() if core in self.odd]:
             del parts[w]
             other.add(w)
         rest = [x for x in other if x not in self]
@@ -90,8 +91,11 @@ class TokenBytes(dict):
                 for c, to in zip(group, (4 * cut).tolist()):
                     ids[c] = raw[at:to]
                     at = to
-            else:  # some run of letters is more than letters once normalised: no id, its words are encoded whole
-                ids.update((c, e.tobytes() if self.ends[e].sum() == 1 else None) for c, e in zip(group, self.encode([c.decode() for c in group])))
+            else:  # some run of letters is more than letters once normalised: its words are encoded whole
+                for c, e in zip(group, self.encode([c.decode() for c in group])):
+                    ids[c] = e.tobytes()
+                    if self.ends[e].sum() != 1:
+                        self.odd.add(c)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
