@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import chat, decontaminate, licenses, neardup, packing, pii, topk, toxicity, urls
+from foretide.llm import chat, decontaminate, licenses, neardup, packing, pii, repeats, topk, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
@@ -25,6 +25,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -55,7 +59,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
 
 
 def _op2_sql() -> str:
