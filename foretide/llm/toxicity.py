@@ -125,6 +125,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], sizes.get(1, 0) / total if total else 0.0)
 
 
+def _scored(model: Model, batch) -> tuple[list[float], list[str]]:
+    """Score, and sentences of probability 0.5 or more, of each text of a batch."""
+    import pyarrow as pa
+
+    scores, spans = [], []
+    for text in batch.column("text").cast(pa.binary()).to_pylist():
+        found = []
+        if text and not model.weights.keys().isdisjoint(features_of(text, model.lengths)):
+            found = model.sentence_scores(text.decode())
+        scores.append(model.score(found))
+        spans.append(",".join(f"{a}:{b}" for a, b, p in found if p >= 0.5))
+    return scores, spans
+
+
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns."""
+
+    def clean(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in text_batches(batches):
+            yield batch.filter(pa.array([s < THRESHOLD for s in _scored(model, batch)[0]]))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 SCORED = "score double, predicted int, toxic_spans string"
 
 
@@ -137,17 +163,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        base = model.score([])
         for batch in text_batches(batches):
-            scores, spans = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if not text or model.weights.keys().isdisjoint(features_of(text, model.lengths)):
-                    scores.append(base)
-                    spans.append("")
-                    continue
-                found = model.sentence_scores(text.decode())
-                scores.append(model.score(found))
-                spans.append(",".join(f"{a}:{b}" for a, b, p in found if p >= 0.5))
+            scores, spans = _scored(model, batch)
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "score", "predicted", "toxic_spans"])
 

@@ -1,0 +1,73 @@
+"""Personal data: patterns against plain regular expressions, the random field against its labelled table."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from foretide.llm import pii
+from foretide.llm.common import table
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def plain(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 2, m.end(), "card") for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_patterns_on_random_texts():
+    r = random.Random(3)
+    for i in range(30_000):
+        alphabet = r.choice(["ab@.- ", "01.2 ", "0 -19", "+1 ().-2x", "a1@.+ -\né"])
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(text) == plain(text), repr(text)
+
+
+def test_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = {x["doc_id"]: x for x in pii.find_pii(docs).collect()}
+    for d in docs.select("doc_id", "text").collect():
+        spans, x = plain(d["text"]), found[d["doc_id"]]
+        assert x["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+        assert [x[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[2] == k for s in spans) for k in pii.BASE_KINDS]
+        every = x["spans"].split(",") if x["spans"] else []
+        assert {f"{k}:{a}:{b}" for a, b, k in spans} <= set(every)
+
+
+def test_field_on_unseen_examples():
+    field, shapes = pii.train(pii.labelled_examples()), pii.Shapes()
+    held = pii.labelled_examples(400, seed=8)
+    found = pii.model_spans([t for t, _ in held], field, shapes)
+    right = sum(len(s) == 1 and any(a < s[0][1] and s[0][0] < b and k == s[0][2] for a, b, k in f) for f, (_, s) in zip(found, held))
+    wrong = sum(not s and bool(f) for f, (_, s) in zip(found, held))
+    assert right >= 0.85 * sum(bool(s) for _, s in held)
+    assert wrong <= 0.1 * sum(not s for _, s in held)
+
+
+def test_edge_rows(spark):
+    rows = [(1, None), (1, ""), (None, "a@b.cc"), (2, "x " * 50_000 + "+1 (555) 123-4567"), (2, "x " * 50_000 + "+1 (555) 123-4567")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = pii.find_pii(df).collect()
+    assert len(got) == 5 and sum(x["n_phone"] for x in got) == 2 and sum(x["n_email"] for x in got) == 1
+    assert all(x["base_sha256"] == hashlib.sha256(b"").hexdigest() and x["spans"] == "" for x in got if x["doc_id"] == 1)
+    clean = pii.redact(df).collect()
+    assert [x["text"] for x in clean if x["doc_id"] is None] == ["[EMAIL]"] and clean[0]["spans"] == "clash"
+    assert [x["text"] for x in clean if x["doc_id"] == 1] in ([None, ""], ["", None])
+    assert pii.find_pii(df.limit(0)).count() == 0
