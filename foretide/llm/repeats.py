@@ -335,20 +335,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stored(scan(docs))
-    least = scanned.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
+    # the aggregates are stored, so that a skewed join reads its two sides from shuffles and can be split
+    least = stored(scanned.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least")))
     slim = scanned.select("doc_id", "n_words", "sha").join(least, "sha", "left")
     slim = stored(slim.select("doc_id", "n_words", "sha", F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("n_words") >= WINDOW), F.lit(False)).alias("copy")))
 
     # where the shared anchors lie; of a copied text, in its first document only
     key = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("key")
     places = scanned.where("doc_id IS NOT NULL").select("doc_id", key, F.explode(F.arrays_zip("a", "r", "start", "n")).alias("x")).select("doc_id", "key", "x.*")
-    shared = places.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a")
+    shared = stored(places.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a"))
     copies = slim.where("copy").select("doc_id", key).distinct()
     places = stored(places.join(shared, "a").join(copies, ["doc_id", "key"], "left_anti"))
     each = places.groupBy("a", "r").agg(F.min(F.struct("doc_id", "start", "key", "n")).alias("x"), F.max("doc_id").alias("high"))
     each = stored(each.select("a", "r", F.col("x.doc_id").alias("low"), "high", "x.start", "x.key", "x.n"))
     spread = each.groupBy("a").agg(F.count("*").alias("regions"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
-    needed = stored(each.join(spread.select("a", (F.col("regions") > HOT).alias("hot")), "a"))
+    needed = stored(each.join(stored(spread.select("a", (F.col("regions") > HOT).alias("hot"))), "a"))
 
     # the texts that hold a region still needed; later steps read no other
     listed = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("key", "a", "r", "low", "high", "hot", "start", "n")).alias("needed"))
