@@ -349,11 +349,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     each = places.groupBy("a", "r").agg(F.min(F.struct("doc_id", "start", "key", "n")).alias("x"), F.max("doc_id").alias("high"))
     each = stored(each.select("a", "r", F.col("x.doc_id").alias("low"), "high", "x.start", "x.key", "x.n"))
     spread = each.groupBy("a").agg(F.count("*").alias("regions"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
-    needed = stored(each.join(stored(spread.select("a", (F.col("regions") > HOT).alias("hot"))), "a"))
+    spread = stored(spread.select("a", (F.col("regions") > HOT).alias("hot")))
+    needed = stored(each.join(spread, "a"))
 
     # the texts that hold a region still needed; later steps read no other
     listed = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("key", "a", "r", "low", "high", "hot", "start", "n")).alias("needed"))
-    wanted = places.join(needed.select("a").distinct(), "a", "left_semi").select("doc_id").distinct()
+    wanted = places.join(spread, "a", "left_semi").select("doc_id").distinct()
     texts = stored(docs.join(wanted.join(listed, "doc_id", "left"), "doc_id"))
     cut = stored(region_words(texts.where("needed IS NOT NULL")))
 
