@@ -56,44 +56,45 @@ class TokenBytes(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the unseen words of a batch."""
-        new = [w for w in words if w not in self]
+        new = words - self.keys()
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(words)
-        parts, letters, other = {}, set(), set()
+            new = words
+        letters, signed, other = set(), [], set()
         for w in new:
-            low = w.lower()
-            tail = low.lstrip(_SIGNS)
-            core = tail.rstrip(_SIGNS)
-            if core and not any(t in w for t in self.special) and (core.isalpha() or not core.isascii() and core.decode().isalpha()):
-                head, end = low[: len(low) - len(tail)], tail[len(core) :]
-                parts[w] = (head, core, end)
-                letters.add(core)
-                other.update(x for x in (head, end) if x)
-            else:
+            core = w.strip(_SIGNS)
+            if not (core.isalpha() or core and not core.isascii() and core.decode().isalpha()):
+                other.add(w)
+            elif len(core) == len(w):
+                letters.add(w)
+            elif b"<|" in w and any(t in w for t in self.special):
                 other.add(w)
-        ids = dict.fromkeys([b""], b"")
-        self._together([c for c in letters if c not in self], ids)
-        for w in [w for w, (_, core, _) in parts.items() if core in self.odd]:
-            del parts[w]
-            other.add(w)
+            else:
+                at = w.index(core)
+                signed.append((w, w[:at], core, w[at + len(core) :]))
+        letters.update([core for _, _, core, _ in signed])
+        self._together(list(letters - self.keys()))
+        other.update([head for _, head, _, _ in signed], [end for *_, end in signed])
+        if self.odd:
+            other.update([w for w, _, core, _ in signed if core in self.odd])
         rest = [x for x in other if x not in self]
-        ids.update(zip(rest, (e.tobytes() for e in self.encode([x.decode() for x in rest]))))
-        for w in new:
-            self[w] = b"".join(self.get(x) or ids[x] for x in parts[w]) if w in parts else self.get(w) or ids[w]
+        self.update(zip(rest, (e.tobytes() for e in self.encode([x.decode() for x in rest]))))
+        for w, head, core, end in signed:
+            if core not in self.odd:
+                self[w] = self[head] + self[core] + self[end]
 
-    def _together(self, cores: list[bytes], ids: dict[bytes, bytes]) -> None:
+    def _together(self, cores: list[bytes]) -> None:
         groups = [cores[i : i + TOGETHER] for i in range(0, len(cores), TOGETHER)]
         for group, found in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
             cut = np.flatnonzero(self.ends[found]) + 1
             if len(cut) == len(group):
                 raw, at = found.tobytes(), 0
                 for c, to in zip(group, (4 * cut).tolist()):
-                    ids[c] = raw[at:to]
+                    self[c] = raw[at:to]
                     at = to
             else:  # some run of letters is more than letters once normalised: its words are encoded whole
                 for c, e in zip(group, self.encode([c.decode() for c in group])):
-                    ids[c] = e.tobytes()
+                    self[c] = e.tobytes()
                     if self.ends[e].sum() != 1:
                         self.odd.add(c)
 
@@ -110,7 +111,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         known, end = TokenBytes(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in text_batches(batches):
             out = [[], [], [], [], []]
-            split = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            # ASCII case makes no difference but to the special tokens, which are told apart by it
+            split = [(t if b"<|" in t else t.lower()).split() for t in batch.column("text").fill_null("").cast(pa.binary()).to_pylist()]
             known.learn(set().union(*split))
             for doc, words in zip(batch.column("doc_id").to_pylist(), split):
                 ids = b"".join(map(known.__getitem__, words)) + end
