@@ -173,14 +173,14 @@ def spline_fit(t: np.ndarray, y: np.ndarray, at: float, p: float | None = None)
     return float(row @ y), math.sqrt(s2 * (1 + float(row @ row))), nu
 
 
-def nelder_mead(cost: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, steps: int = 60, size: float = 0.1) -> np.ndarray:
+def nelder_mead(cost: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, steps: int = 40, size: float = 0.1, tolerance: float = 1e-4) -> np.ndarray:
     """Simplex search; cost takes a list of candidates, so that a step asks for all its points in one job."""
     points = [np.asarray(start, float)] + [np.asarray(start, float) + size * np.eye(len(start))[i] for i in range(len(start))]
     values = cost(points)
     for _ in range(steps):
         order = np.argsort(values, kind="stable")
         points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - points[0]).max() for p in points) < 1e-5:
+        if max(np.abs(p - points[0]).max() for p in points) < tolerance:
             break
         centre, worst = np.mean(points[:-1], 0), points[-1]
         tried = [centre + f * (centre - worst) for f in (1, 2, 0.5, -0.5)]

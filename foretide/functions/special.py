@@ -62,7 +62,8 @@ def t_cdf(x: Column, nu: Column) -> Column:
     """Student's t distribution function; nu is any positive number."""
     angle = F.least(F.atan(F.abs(x) / F.sqrt(nu)), 9 / F.sqrt(nu))
     part = _cosine_integral(F.lit(0.0), angle, nu) * F.exp(-ln_beta(nu / 2, F.lit(0.5)))
-    return F.when(nu > 0, 0.5 + F.signum(x) * F.least(part, F.lit(0.5)))
+    # no branch around the sum: common parts are then worked out once
+    return F.nanvl(0.5 + F.signum(x) * F.least(part, F.lit(0.5)), F.lit(None).cast("double"))
 
 
 def t_crps(x: Column, nu: Column) -> Column:

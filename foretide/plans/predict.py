@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from foretide.functions import kernels
 from foretide.functions.special import t_entropy
 
-SITE = Window.partitionBy("site")
+
+def _site():
+    return Window.partitionBy("site")
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,8 @@ class Inputs:
         raw = self.fcst.where(F.col("t") == o.t_pred).groupBy("site").pivot("model", self.models).agg(F.first("value")).toDF("site", *(f"p{n}" for n in names))
         d = wide.join(obs.select("site", "t", F.col("value").alias("y")), ["site", "t"], "left")
         d = d.where(F.col("y").isNotNull() | (F.col("t") == o.t_pred))
-        at = lambda c: F.max(F.when(F.col("t") == o.t_pred, F.col(c))).over(SITE)
-        d = d.withColumns({c: F.col(c) - (F.avg(c).over(SITE) if centred else at(c)) for c in [*names, "m"]})
+        at = lambda c: F.max(F.when(F.col("t") == o.t_pred, F.col(c))).over(_site())
+        d = d.withColumns({c: F.col(c) - (F.avg(c).over(_site()) if centred else at(c)) for c in [*names, "m"]})
         if centred:
             d = d.withColumns({f"at_{c}": at(c) for c in [*names, "m"]})
         d = d.where((F.col("t") < o.t_pred) & F.col("m").isNotNull())
@@ -142,7 +144,7 @@ def global_coefficients(df: DataFrame, y: Column, xs: list[Column], power: int =
 
 
 def centred(c: str) -> Column:
-    return F.col(c) - F.avg(c).over(SITE)
+    return F.col(c) - F.avg(c).over(_site())
 
 
 def _by_site(df: DataFrame, columns: list[str], fit: Callable[..., tuple]) -> DataFrame:
