@@ -130,10 +130,10 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, SIGNED)
 
 
-def buckets(reps: DataFrame, *more: str) -> DataFrame:
-    """reps (rep, sig, ...) -> rep, bucket for each band, and the columns more."""
-    bands = reps.select("rep", "sig", *more, F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    return bands.select("rep", *more, F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
+def buckets(reps: DataFrame) -> DataFrame:
+    """reps (rep, sig) -> rep, bucket for each band."""
+    bands = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    return bands.select("rep", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
 
 
 def agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
@@ -149,7 +149,8 @@ def agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREE))
 
-    e = edges.join(side("a"), "a").join(side("b"), "b")
+    # merge joins at every size: neither side has a bound
+    e = edges.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     e = e.where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
     return e.select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long").distinct()
 
@@ -182,7 +183,7 @@ def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(hit))
 
     sided = [sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b")]
-    return edges.join(sided[0], "a").join(sided[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(alike, "a long, b long")
+    return edges.join(sided[0].hint("merge"), "a").join(sided[1].hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInArrow(alike, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         heard = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        lower = label.join(heard, "node").select("node", F.col("comp").alias("before"), F.least("comp", "least").alias("comp"))
+        lower = stored(label.join(heard, "node").select("node", F.col("comp").alias("before"), F.least("comp", "least").alias("comp")))
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         moved = stored(lower.join(jump, "comp", "left").select("node", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         label = moved.select("node", "comp")
@@ -208,15 +209,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stored(classes)
     # rows that share an id but not a set are one document
     same_id = signed.where("n_shingles > 0").join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
-    centres = buckets(reps).groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a")
-    star = buckets(reps).join(centres, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    centres = stored(buckets(reps).groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a"))
+    # the places of representatives in buckets that are shared; later rounds read these only
+    members = stored(buckets(reps).join(centres.hint("merge"), "bucket"))
+    star = members.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     edges = stored(agree(star, reps))
     sets, links, tried = None, same_id, edges
     found = 0
     for turn in range(1000):
         ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
         if turn == 0:
-            sets = stored(full_sets(docs, ids))
+            sets = stored(full_sets(docs, ids.hint("merge")))
         elif not (new := ids.join(sets, "doc_id", "left_anti")).isEmpty():
             sets = sets.unionByName(stored(full_sets(docs, new)))
         with small_batches(spark):
@@ -227,11 +230,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         label = components(links)
         # buckets of several components: stars around other centres, of a new order in each round
-        open_reps = stored(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("comp", "rep").alias("comp")))
+        placed = stored(members.select("rep", "bucket").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("comp", "rep").alias("comp")))
         order = F.xxhash64("rep", "bucket", F.lit(turn))
-        mixed = buckets(open_reps, "comp").groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"))).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high and n > 2")
-        mixed = mixed.select("bucket", "c.a", "c.comp_a")
-        star = buckets(open_reps, "comp").join(mixed, "bucket").where("comp != comp_a").select("a", F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        mixed = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"))).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high and n > 2")
+        mixed = stored(mixed.select("bucket", "c.a", "c.comp_a"))
+        star = placed.join(mixed, "bucket").where("comp != comp_a").select("a", F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = stored(agree(star.join(tried, ["a", "b"], "left_anti"), reps))
         tried = tried.unionByName(edges)
         if edges.isEmpty() and turn >= LEAST_ROUNDS - 1:
