@@ -97,22 +97,51 @@ class Tree:
         """For each query, its k best (score, id) here, none needed under its floor; of its best leaf only, if first_only."""
         ends, bounds = self.leaves(q, floor)
         order = np.argsort(-bounds, 1, kind="stable")
+        yield from (self._together if self.exact(q) else self._each)(q_ids, q, k, floor, order[:, :1] if first_only else order, ends, bounds)
+
+    def _together(self, q_ids, q, k, floor, order, ends, bounds):
+        """Round j takes every query's jth best leaf; queries at one leaf are scored in one product."""
+        low, asked, score, found = floor.copy(), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for leaf in order.T:
+            b = bounds[np.arange(len(q)), leaf]
+            alive = np.flatnonzero((b >= low) & (b > -np.inf))
+            if not len(alive):  # bounds only fall and kth scores only rise
+                break
+            alive = alive[np.argsort(leaf[alive], kind="stable")]
+            parts = [(asked, score, found)]
+            for own in np.split(alive, np.flatnonzero(np.diff(leaf[alive])) + 1):
+                rows = slice(self.start[ends[leaf[own[0]]]], self.end[ends[leaf[own[0]]]])
+                got, ids = q[own] @ self.x[rows].T, self.ids[rows]
+                r, c = np.nonzero((got >= low[own, None]) & (ids != q_ids[own, None]))
+                parts.append((own[r], got[r, c], ids[c]))
+            asked, score, found = (np.concatenate(p) for p in zip(*parts))
+            by = np.lexsort((found, -score, asked))
+            asked, score, found = asked[by], score[by], found[by]
+            new = np.append(True, (np.diff(asked) != 0) | (np.diff(score) != 0) | (np.diff(found) != 0))[: len(asked)]
+            asked, score, found = asked[new], score[new], found[new]
+            rank = np.arange(len(asked)) - np.searchsorted(asked, asked)
+            kth = rank == k - 1
+            low[asked[kth]] = np.maximum(low[asked[kth]], score[kth])
+            asked, score, found = asked[rank < k], score[rank < k], found[rank < k]
+        for i, s, f in zip(asked.tolist(), score.astype(np.int64).tolist(), found.tolist()):
+            yield i, [(s, f)]
+
+    def _each(self, q_ids, q, k, floor, order, ends, bounds):
+        """Query by query, with Python integers where double is not exact."""
         for i in range(len(q)):
-            best: list[tuple[int, int]] = []
+            best: set[tuple[int, int]] = set()
             low = floor[i]
             for j in order[i]:
                 if bounds[i, j] < low or bounds[i, j] == -np.inf:
                     break
                 rows = slice(self.start[ends[j]], self.end[ends[j]])
                 got, ids = self.scores(q[i], rows), self.ids[rows]
-                ok = np.flatnonzero((ids != q_ids[i]) & (got >= low))
-                if len(ok):
-                    best = sorted(best + [(int(got[o]), int(ids[o])) for o in ok], key=lambda s: (-s[0], s[1]))[:k]
-                    if len(best) == k:
-                        low = max(low, float(best[-1][0]) * (1 - 1e-12) - 1e-6 if abs(best[-1][0]) >= 2**53 else best[-1][0])
-                if first_only:
-                    break
-            yield i, best
+                best |= {(int(got[o]), int(ids[o])) for o in np.flatnonzero((ids != q_ids[i]) & (got >= low))}
+                best = set(sorted(best, key=lambda s: (-s[0], s[1]))[:k])
+                if len(best) == k:
+                    kth = float(min(s for s, _ in best))
+                    low = max(low, kth * (1 - 1e-12) - 1e-6 if abs(kth) >= 2**53 else kth)
+            yield i, sorted(best, key=lambda s: (-s[0], s[1]))
 
 
 def _matrix(column, i: int) -> tuple[np.ndarray, np.ndarray]:
