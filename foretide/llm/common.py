@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one numpy batch holds at most (a longer text is a batch of its own).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 MIX1 = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word (bytes) -> 64-bit hash; forgets everything when it holds too many words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -77,6 +77,7 @@ def ascii_lower(text: bytes) -> bytes:
 
 def text_batches(frames: Iterator, column: str = "text", most: int = BATCH_CHARS) -> Iterator:
     """Arrow record batches cut so that the texts of each hold about `most` bytes at most."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in frames:
@@ -89,6 +90,8 @@ def text_batches(frames: Iterator, column: str = "text", most: int = BATCH_CHARS
             end = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+    # workers live on: what this task needed goes back
+    pa.default_memory_pool().release_unused()
 
 
 def rolling(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:

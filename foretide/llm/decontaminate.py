@@ -47,36 +47,38 @@ QUANTITY, NAMED = np.uint64(0x51A17C3D9E4B2F01), np.uint64(0x7B3E58D1C6A9F403)
 class Tokens:
     """Words (bytes) -> index of what is known about them."""
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.index = most, {}
-        self.rows: list[tuple[int, int, bool]] = []
+    def __init__(self, most: int = 150_000):
+        self.most = most
+        self.clear(most)
+
+    def clear(self, room: int) -> None:
+        self.index: dict[bytes, int] = {}
+        self.value, self.kind, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         new = set(words) - self.index.keys()
-        if len(self.index) + len(new) > self.most:
-            self.index, self.rows, new = {}, [], set(words)
+        if len(self.index) + len(new) > len(self.value):
+            new = set(words)
+            self.clear(max(self.most, len(new)))
         for raw in new:
             w = raw.decode()
             plain = _SIGNS.sub("", w).lower()
             kind = NUMBER if _NUMBER.match(w) else UNIT if plain in UNITS else NAME if _NAME.match(w) else WORD if plain else NOTHING
             if w.strip() == "%":
                 kind, plain = UNIT, "%"
-            self.index[raw] = len(self.rows)
-            self.rows.append((xxhash.xxh3_64_intdigest(plain), kind, bool(_ENDS.search(w))))
+            at = self.index[raw] = len(self.index)
+            self.value[at], self.kind[at], self.ends[at] = xxhash.xxh3_64_intdigest(plain), kind, bool(_ENDS.search(w))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.asarray([r[i] for r in self.rows], t) for i, t in enumerate((np.uint64, np.int8, bool)))
-
 
 def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of the texts end to end: text number, hash, whether it is a slot, value."""
     split = [(t or b"").split() for t in texts]
     sizes = np.asarray([len(s) for s in split], np.int64)
     index = known.of([w for s in split for w in s])
-    value, kind, ends = (c[index] for c in known.table())
+    value, kind, ends = known.value[index], known.kind[index], known.ends[index]
     doc = np.repeat(np.arange(len(texts)), sizes)
     first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
     opens = first | np.append(True, ends[:-1])[: len(doc)]
