@@ -6,9 +6,10 @@ class, and one representative (the smallest id) goes on. A representative's sign
 `BINS` bins of one permutation of its shingles; an empty bin takes the value of a full one by optimal densification
 (bins tried in an order of hashes that is the same for every document). Bands of `ROWS` bins are buckets. Each bucket
 gives a star: its members are linked to its smallest. Edges that signatures and set sizes make hopeless go, the rest
-are confirmed on full sets. As two members of a bucket can be alike and both unlike its centre, buckets whose members
-are not yet in one component give further stars around other centres until a round adds no link. Components follow
-from the links by spreading the least label with pointer jumping.
+are confirmed on full sets. As two members of a bucket can be alike and both unlike its centre, all pairs of different
+components in one bucket are then compared by signature, in blocks; each member's most agreeing partners are confirmed
+first, more of them in each round, until a round has left no pair out. Components follow from the links by spreading
+the least label with pointer jumping.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75**5)**48, about 2e-6, less for closer pairs.
 
@@ -35,8 +36,10 @@ ROWS, BANDS = 5, 48
 BINS = ROWS * BANDS
 #: Edges whose signatures agree less go: at the threshold the share of equal bins is 0.75 with a deviation of 0.028.
 LEAST_AGREE = 0.58
-#: A star round after the first looks at buckets of several components; so many rounds at least.
-LEAST_ROUNDS = 2
+#: A round after the star confirms so many partners of each member of a block, and each later one MORE times as many.
+FIRST, MORE = 4, 8
+#: Members of a bucket that are compared with so many others at once.
+BLOCK = 256
 
 
 def shingle_sets(texts: list[bytes | None], cache: WordHash) -> list[np.ndarray]:
@@ -200,6 +203,78 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def blocks(placed: DataFrame) -> DataFrame:
+    """placed (rep, bucket, comp) -> rep, comp, bucket, x, y, mine for buckets of several components.
+
+    Rows of one bucket, x and y are a pair of blocks to be compared; mine is the block of the row. Blocks of the largest
+    component are not paired with each other, so a few strangers in a large bucket cost as many rows as it has members.
+    """
+    comps = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = comps.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("g"), F.sum("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    # the star has compared the two members of a bucket of two
+    mixed = stored(mixed.where("low != high AND n > 2").select("bucket", "main", F.ceil(F.col("g") / BLOCK).alias("bg"), F.ceil((F.col("n") - F.col("g")) / BLOCK).alias("br")))
+    at = placed.join(mixed.hint("merge"), "bucket").withColumn("in_main", F.expr("comp = main"))
+    at = at.withColumn("mine", F.expr("CASE WHEN in_main THEN pmod(xxhash64(rep), bg) ELSE bg + pmod(xxhash64(rep), br) END"))
+    at = at.withColumn("other", F.explode(F.expr("CASE WHEN in_main THEN sequence(bg, bg + br - 1) ELSE sequence(0L, bg + br - 1) END")))
+    return at.select("rep", "comp", "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
+
+
+def candidates(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """blocks -> edges (a, b) of different components within reach, `most` for each member of a block, and whether some were left out."""
+
+    def compared(comp: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one, two = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(comp)),) * 2
+        if not len(one) or not len(two):
+            return one[:0], one[:0], np.zeros(0, bool)
+        same = np.empty((len(one), len(two)), np.int16)
+        for i in range(0, len(one), 32):
+            same[i : i + 32] = (sig[one[i : i + 32], None] == sig[None, two]).sum(2)
+        low, high = np.minimum.outer(size[one], size[two]), np.maximum.outer(size[one], size[two])
+        ok = (same >= LEAST_AGREE * BINS) & (comp[one][:, None] != comp[two]) & (100 * low >= SIMILAR * high)
+        taken, left = np.zeros_like(ok), False
+        for o, s, t in ((ok, same, taken), (ok.T, same.T, taken.T)):
+            if most >= o.shape[1]:
+                t |= o
+                continue
+            best = np.argpartition(-np.where(o, s, -1), most - 1, axis=1)[:, :most]
+            rows = np.arange(len(o))[:, None]
+            t[rows, best] |= o[rows, best]
+        left = bool((ok & ~taken).any())
+        i, j = np.nonzero(taken)
+        return one[i], two[j], np.full(len(i), left)
+
+    def found(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def runs(held):
+            key = np.stack([held.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            return np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1)
+
+        def edges(held, starts):
+            rep, comp, size, x, mine = (held.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "x", "mine"))
+            sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+            got = []
+            for p, q in zip(starts, np.append(starts[1:], held.num_rows)):
+                i, j, left = compared(comp[p:q], size[p:q], sig[p:q], mine[p:q] == x[p:q])
+                got.append((rep[p:q][i], rep[p:q][j], left))
+            a, b, left = (np.concatenate(c) for c in zip(*got))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(left)], names=["a", "b", "more"])
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            starts = runs(held) if held.num_rows else []
+            if len(starts) > 1:
+                yield edges(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield edges(held, runs(held))
+
+    rows = pairs.join(reps.select("rep", "n_shingles", "sig").hint("merge"), "rep")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.mapInArrow(found, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -214,31 +289,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(buckets(reps).join(centres.hint("merge"), "bucket"))
     star = members.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     edges = stored(agree(star, reps))
-    sets, links, tried = None, same_id, edges
-    found = 0
-    for turn in range(1000):
+    sets, links, tried, most = None, same_id, edges, FIRST
+    while True:
         ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-        if turn == 0:
+        if sets is None:
             sets = stored(full_sets(docs, ids.hint("merge")))
         elif not (new := ids.join(sets, "doc_id", "left_anti")).isEmpty():
             sets = sets.unionByName(stored(full_sets(docs, new)))
         with small_batches(spark):
-            confirmed = stored(confirm(edges, sets))
-        links = links.unionByName(confirmed)
-        found = confirmed.count()
-        if not found and turn >= LEAST_ROUNDS:
+            links = links.unionByName(stored(confirm(edges, sets)))
+        if not most:
             break
         label = components(links)
-        # buckets of several components: stars around other centres, of a new order in each round
         placed = stored(members.select("rep", "bucket").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("comp", "rep").alias("comp")))
-        order = F.xxhash64("rep", "bucket", F.lit(turn))
-        mixed = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"))).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high and n > 2")
-        mixed = stored(mixed.select("bucket", "c.a", "c.comp_a"))
-        star = placed.join(mixed, "bucket").where("comp != comp_a").select("a", F.col("rep").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = stored(agree(star.join(tried, ["a", "b"], "left_anti"), reps))
-        tried = tried.unionByName(edges)
-        if edges.isEmpty() and turn >= LEAST_ROUNDS - 1:
+        near = stored(candidates(stored(blocks(placed)), reps, most))
+        # with no pair left out, what these edges confirm is all there is
+        most = 0 if near.where("more").isEmpty() else most * MORE
+        edges = stored(near.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if edges.isEmpty() and not most:
             break
+        tried = tried.unionByName(edges)
     label = components(links)
     classed = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classed, ["d1", "d2", "n_shingles"], "left")

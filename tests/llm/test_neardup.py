@@ -79,3 +79,20 @@ def test_documents(spark, sf):
 def test_edge_rows(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
     assert run(spark.createDataFrame([(None, "a b c"), (4, None)], "doc_id long, text string")) == [(4, 0, 4, True)]
+
+
+def test_hub(spark):
+    """One original with a middle id and 1000 edited copies, each alike to it and most unlike each other."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(1001):
+        if i != 500:
+            ws = list(base)
+            for k in r.sample(range(2, 398, 5), r.randint(8, 10)):
+                ws[k] = f"x{i}y{k}"
+            rows.append((i, " ".join(ws)))
+    sets = {d: shingles(t) for d, t in rows}
+    assert all(100 * len(s & sets[500]) >= 75 * len(s | sets[500]) for s in sets.values())
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(c, k) for d, _, c, k in got if d} == {(0, False)}
