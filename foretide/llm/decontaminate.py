@@ -3,8 +3,9 @@
 A text turns into template tokens: words in lower case without signs; a run of numbers and units is one <quantity>, a
 run of capitalised words inside a sentence one <name>. Windows of `WINDOW` tokens with at least `LEAST_WORDS` words
 are hashed, and windows of documents joined to windows of benchmark items by hash. Matches of one document and item
-on one diagonal are one alignment. It counts when it covers at least `LEAST_COVER` of the item's windows and its slots
-are consistent: each value of the item's slots maps to one value of the document's, and back. So a question with
+that follow each other, at most `SHIFT` tokens moved from one to the next, are one alignment. It counts when it covers
+at least `LEAST_COVER` of the item's windows, or as many tokens as so many windows in a row hold, or an unchanged run of
+`LEAST_RUN` tokens; and when its slots are consistent: each value of the item's slots maps to one value of the document's, and back. So a question with
 other numbers or names is caught, while a document that only shares a template's words with clashing values is not.
 
 Document windows pass a bitmap of fixed size made of the benchmark's hashes before they are joined, so that most never
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from foretide.llm.common import mix, rolling, stored, text_batches
 
 WINDOW, LEAST_WORDS, LEAST_COVER = 8, 4, 0.5
+#: Tokens added or removed between two neighbouring matches of an alignment at most; tokens of an unchanged run that is enough.
+SHIFT, LEAST_RUN = 8, 13
 #: Bits of the bitmap, a power of two.
 BITMAP = 1 << 22
 
@@ -172,10 +175,72 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) ->
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(made, WINDOWS)
 
 
+def consistent(pairs: set) -> bool:
+    """Whether slots (item value, document value) are one-to-one."""
+    return len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs})
+
+
+def judge(hits: list[tuple], n_windows: int, n_tokens: int) -> tuple[int, int, int] | None:
+    """hits (at, item_at, width, slots), slots pairs of values -> matched windows, slots and changed slots of the best alignment that counts."""
+    hits = sorted(hits, key=lambda h: h[:3])
+    at, item_at = (np.asarray([h[c] for h in hits], np.int64) for c in (0, 1))
+    lines, length, before = at - item_at, np.ones(len(hits), np.int64), np.full(len(hits), -1)
+    reach = item_at.max() - item_at.min() + SHIFT
+    for k in range(len(hits)):
+        low, high = np.searchsorted(at, [at[k] - reach, at[k]])
+        # of equally long alignments the one with the least shift
+        ok = np.flatnonzero((item_at[low:high] < item_at[k]) & (abs(lines[low:high] - lines[k]) <= SHIFT))
+        if len(ok):
+            best = low + ok[np.lexsort((-abs(lines[low + ok] - lines[k]), length[low + ok]))[-1]]
+            length[k], before[k] = length[best] + 1, best
+    good = []
+    for line in np.unique(lines).tolist():
+        same = np.flatnonzero(lines == line)
+        k, chain = same[np.argmax(length[same])], []
+        while k >= 0:
+            chain.append(k)
+            k = before[k]
+        for ks in (same, np.asarray(chain[::-1])):
+            pairs = {z for k in ks for z in hits[k][3]}
+            tokens, run, most, last = set(), 0, 0, None
+            for k in ks:
+                _, a, w, slots = hits[k]
+                tokens.update(range(a, a + w))
+                kept = all(i == d for i, d in slots)
+                follows = last is not None and lines[k] == lines[last] and a - hits[last][1] <= hits[last][2]
+                run = 0 if not kept else run + a - hits[last][1] if follows and run else w
+                most, last = max(most, run), k
+            matched = len({hits[k][1] for k in ks})
+            long = most >= LEAST_RUN
+            if matched >= LEAST_COVER * n_windows or len(tokens) >= LEAST_COVER * (n_tokens - WINDOW + 1) + WINDOW - 1 or long:
+                if consistent(pairs) or long:
+                    good.append((matched, -line, len(pairs), sum(i != d for i, d in pairs)))
+    if good:
+        matched, _, n_slots, n_changed = max(good, key=lambda g: g[:2])
+        return matched, n_slots, n_changed
+    return None
+
+
+FOUND = "doc_id long, item_id long, n_windows long, n_matched long, n_slots long, n_changed long"
+
+
+def judged(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            hits = [(h["at"], h["item_at"], h["width"], [(z["i"], z["d"]) for z in h["zipped"]]) for h in r["hits"]]
+            if best := judge(hits, r["n_windows"], r["n_tokens"]):
+                out.append((r["doc_id"], r["item_id"], r["n_windows"], *best))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_changed"])
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_windows, n_matched, n_slots, n_changed: what leaked."""
     bench = stored(item_windows(items).distinct())
-    sizes = bench.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("n_windows"))
+    sizes = bench.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + width - 1)"))))).alias("n_tokens"))
     # at most BITMAP small numbers, and at most WINDOW widths
     bits = np.asarray(bench.select(F.col("hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"], np.int64)
     bitmap = np.zeros(BITMAP // 8, np.uint8)
@@ -183,12 +248,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     widths = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())
     met = stored(document_windows(docs, bitmap, widths))
     item = bench.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "width", "hash", F.col("slots").alias("item_slots"))
-    pairs = met.join(item, ["hash", "width"]).select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
-    # a window's slots are few; an alignment has at most the item's windows
-    aligned = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.count_distinct("item_at").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("zipped"))).alias("zipped"))
-    n_slots = F.size("zipped")
-    consistent = (F.size(F.array_distinct(F.transform("zipped", lambda z: z["i"]))) == n_slots) & (F.size(F.array_distinct(F.transform("zipped", lambda z: z["d"]))) == n_slots)
-    changed = F.size(F.filter("zipped", lambda z: z["i"] != z["d"]))
-    good = aligned.join(sizes, "item_id").where((F.col("n_matched") >= LEAST_COVER * F.col("n_windows")) & consistent)
-    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", n_slots.cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct("n_matched", (-F.col("diagonal")).alias("d"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.*")
+    pairs = met.join(item, ["hash", "width"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "width", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
+    hits = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at", "width", "zipped")).alias("hits"))
+    # fewer matches can't be enough: each holds WINDOW tokens at most
+    able = hits.join(sizes, "item_id").where((WINDOW * F.size("hits") >= F.least(F.lit(LEAST_RUN), LEAST_COVER * F.col("n_tokens"))))
+    return able.mapInArrow(judged, FOUND)

@@ -111,3 +111,12 @@ def test_clashing_slots(spark):
     bad = "the price of 2 apples and 3 pears in the small shop is 9 coins for each of them today"
     docs = spark.createDataFrame([(1, ok), (2, bad)], "doc_id long, text string")
     assert run(docs, spark.createDataFrame([(8, item)], "item_id long, text string")) == {(1, 8)}
+
+
+def test_broken_in_the_middle(spark):
+    words = "how many small green boats would cross this wide river before every other sailor had seen their first cold winter morning there".split()
+    added, gone = words[:11] + ["really"] + words[11:], words[:11] + words[12:]
+    long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs = [(1, " ".join(added)), (2, " ".join(gone)), (3, " ".join(["so"] + long[20:45] + ["it", "goes"])), (4, " ".join(words[:9] + long[:3])), (5, " ".join(long[20:32]))]
+    items = [(1, " ".join(words)), (3, " ".join(long))]
+    assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {(1, 1), (2, 1), (3, 3)}
