@@ -120,3 +120,9 @@ def test_broken_in_the_middle(spark):
     docs = [(1, " ".join(added)), (2, " ".join(gone)), (3, " ".join(["so"] + long[20:45] + ["it", "goes"])), (4, " ".join(words[:9] + long[:3])), (5, " ".join(long[20:32]))]
     items = [(1, " ".join(words)), (3, " ".join(long))]
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_values_that_meet(spark):
+    item = "the price of {} apples and {} pears in the small shop was paid with {} coins from the green box on day {} of spring"
+    docs = [(1, item.format(7, 7, 4, 9)), (2, item.format(5, 7, 8, 6)), (3, item.format(1, 2, 3, 4))]
+    assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item.format(5, 7, 4, 9)), (2, item.format(5, 7, 8, 8))], "item_id long, text string")) == {(1, 1), (2, 1), (2, 2), (3, 1)}
