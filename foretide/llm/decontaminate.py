@@ -12,6 +12,10 @@ or names is caught, while a document that only shares a template's words with cl
 Document windows pass a bitmap of fixed size made of the benchmark's hashes before they are joined, so that most never
 leave the task that reads them; whatever passes is joined exactly, whatever the size of the benchmark.
 
+Items without a window (formulas, scripts without spaces) are found verbatim: their characters in lower case without
+white space, and without signs at the ends, stand in a document. Two windows of a power of two characters, at the item's
+start and end, cover it. A letter or digit of ASCII at an end must not go on in the document.
+
 Rows: null and empty texts have no windows. An item of fewer than `WINDOW` tokens has one window of all its tokens, if
 it has `LEAST_WORDS` words. Repeated rows and ids count once. Ties between alignments go to the earliest. Empty tables
 give no rows; extra columns are ignored.
@@ -238,6 +242,78 @@ def judged(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_changed"])
 
 
+def characters(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of the texts in lower case without white space, end to end: text number, code, whether an ASCII letter or digit goes on in the next."""
+    lower = [(t or b"").decode("utf-8", "replace").lower() for t in texts]
+    code = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in lower])
+    blank = np.isin(code, [c for c in range(0x3001) if chr(c).isspace()])
+    plain = (code >= 48) & (code <= 57) | (code >= 97) & (code <= 122)
+    on = np.append(plain[:-1] & plain[1:] & (doc[:-1] == doc[1:]), False)[: len(code)]
+    return doc[~blank], code[~blank], on[~blank]
+
+
+ENDS = "id long, at long, width int, hash long, free_before boolean, free_after boolean"
+
+
+def ends(items: DataFrame) -> DataFrame:
+    """items -> item_id, n, width and the hashes head and tail of the characters at both ends."""
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                text = "".join((text or "").lower().split())
+                some = [k for k, c in enumerate(text) if c.isalnum()]
+                if some:
+                    _, code, _ = characters([text[some[0] : some[-1] + 1].encode()])
+                    w = 1 << (len(code).bit_length() - 1)
+                    h = mix(rolling(mix(code.astype(np.uint64)), w)).view(np.int64)
+                    out.append((i, len(code), w, h[0], h[-1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["item_id", "n", "width", "head", "tail"])
+
+    return items.select("item_id", "text").mapInArrow(made, "item_id long, n long, width int, head long, tail long")
+
+
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The items (item_id, text) that stand whole in documents, with the columns of contaminated."""
+    item = stored(ends(items).distinct())
+    widths = [r[0] for r in item.select("width").distinct().collect()]
+    both = item.select("width", F.col("head").alias("hash")).unionByName(item.select("width", F.col("tail").alias("hash"))).distinct()
+    # at most BITMAP small numbers
+    bits = np.asarray(both.select(F.col("hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"], np.int64)
+    bitmap = np.zeros(BITMAP, bool)
+    bitmap[bits] = True
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in text_batches(batches):
+            doc, code, on = characters(batch.column("text").cast(pa.binary()).to_pylist())
+            base, h = np.searchsorted(doc, np.arange(batch.num_rows)), mix(code.astype(np.uint64))
+            for w in widths:
+                if len(code) < w:
+                    continue
+                hs = mix(rolling(h, w))
+                start = np.flatnonzero(bitmap[(hs & np.uint64(BITMAP - 1)).astype(np.int64)])
+                start = start[doc[start] == doc[start + w - 1]]
+                if len(start):
+                    before = (start == 0) | ~on[start - 1]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[start])).cast(pa.int64()), pa.array(start - base[doc[start]]), pa.array(np.full(len(start), w, np.int32)), pa.array(hs[start].view(np.int64)), pa.array(before), pa.array(~on[start + w - 1])], names=["id", "at", "width", "hash", "free_before", "free_after"])
+
+    if not widths:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    met = stored(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(made, ENDS).distinct())
+    head = met.where("free_before").join(item.withColumnRenamed("head", "hash"), ["width", "hash"]).select(F.col("id").alias("doc_id"), "item_id", "width", F.col("tail").alias("hash"), (F.col("at") + F.col("n") - F.col("width")).alias("at"))
+    tail = met.where("free_after").select(F.col("id").alias("doc_id"), "width", "hash", "at")
+    whole = head.join(tail, ["doc_id", "width", "hash", "at"]).select("doc_id", "item_id").distinct()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return whole.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_matched"), none.alias("n_slots"), none.alias("n_changed"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_windows, n_matched, n_slots, n_changed: what leaked."""
     bench = stored(item_windows(items).distinct())
@@ -253,4 +329,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at", "width", "zipped")).alias("hits"))
     # fewer matches can't be enough: each holds WINDOW tokens at most
     able = hits.join(sizes, "item_id").where((WINDOW * F.size("hits") >= F.least(F.lit(LEAST_RUN), LEAST_COVER * F.col("n_tokens"))))
-    return able.mapInArrow(judged, FOUND)
+    rest = items.where("item_id IS NOT NULL").join(sizes.select("item_id"), "item_id", "left_anti")
+    return able.mapInArrow(judged, FOUND).unionByName(verbatim(docs, rest))

@@ -126,3 +126,9 @@ def test_values_that_meet(spark):
     item = "the price of {} apples and {} pears in the small shop was paid with {} coins from the green box on day {} of spring"
     docs = [(1, item.format(7, 7, 4, 9)), (2, item.format(5, 7, 8, 6)), (3, item.format(1, 2, 3, 4))]
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item.format(5, 7, 4, 9)), (2, item.format(5, 7, 8, 8))], "item_id long, text string")) == {(1, 1), (2, 1), (2, 2), (3, 1)}
+
+
+def test_items_without_windows(spark):
+    items = [(1, "What is 17 * 23 + 4?"), (2, "Solve 3x + 5 = 20 for x."), (3, "\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\uff1f"), (4, "?!"), (5, None)]
+    docs = [(1, "Now: what is 17 * 23 + 4? Tell."), (2, "what is 17 * 23 + 45?"), (3, "what is 17 * 23 - 4?"), (4, "Please solve  3x + 5 = 20 for x"), (5, "\u95ee\uff1a\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\u5462"), (6, "\u6c34\u7684\u6cb8\u70b9\u662f"), (7, None), (8, "")]
+    assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {(1, 1), (4, 2), (5, 3)}
