@@ -28,10 +28,14 @@ def test_oracle(spark, name):
     assert plain(df.select(columns).collect()) == plain(want)
 
 
-def test_entry_without_the_subpackage(tmp_path):
-    """A copy without the training-data folders and the pipeline imports and lists the other queries."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_subpackage(tmp_path, pipeline):
+    """A copy without the training-data folders, with and without the pipeline's file, lists and plans the other queries."""
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    subprocess.run(["cp", "-r", f"{repo}/foretide", f"{repo}/__spark_entry__.py", str(tmp_path)], check=True)
-    subprocess.run(["mv", str(tmp_path / "foretide/llm"), str(tmp_path / "gone")], check=True)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
-    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.SQL))], out.stderr
+    files = [f"{repo}/foretide", f"{repo}/__spark_entry__.py"] + ([f"{repo}/corpus_pipeline.py"] if pipeline and os.path.exists(f"{repo}/corpus_pipeline.py") else [])
+    subprocess.run(["cp", "-r", *files, str(tmp_path)], check=True)
+    if (tmp_path / "foretide/llm").exists():
+        (tmp_path / "foretide/llm").rename(tmp_path / "gone")
+    code = "import __spark_entry__ as e; from pyspark.sql import SparkSession as S; s = S.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); print(len(e.queries()), len(e.oracle_sql()), len(e.entry(s).columns))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.SQL)), "4"], out.stderr
