@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, else a folder for local runs and tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one machine takes a folder of its own, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="foretide-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -37,7 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foretide-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once all that is made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,11 +83,6 @@ def hashed(words: list[bytes], cache: WordHash) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def ascii_lower(text: bytes) -> bytes:
-    """A-Z to a-z, other bytes untouched."""
-    return text.lower()
-
-
 def text_batches(frames: Iterator, column: str = "text", most: int = BATCH_CHARS) -> Iterator:
     """Arrow record batches cut so that the texts of each hold about `most` bytes at most."""
     import pyarrow as pa

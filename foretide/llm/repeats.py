@@ -3,17 +3,19 @@
 A window is `WINDOW` consecutive words of one document. A word goes where a window that covers it also starts in a
 document with a smaller id. The steps:
 
-1. Where documents are read, each window picks an anchor, the leftmost least hash of its runs of `ANCHOR` words. Equal
-   windows pick equal anchors, so all places of a window meet under one anchor. Consecutive windows with one anchor
-   form a region. Whole copies of a text are one class and its smallest id goes on.
-2. Anchors that lie in one document only are dropped. Regions with equal words are one region, with its least and its
+1. Where documents are read, each window picks an anchor, the leftmost least hash of its runs of 12 words, and then a
+   longer run around it: of the words a window has beside the anchor, half lie before or half lie after it, so the anchor
+   with that half is the key of the window. Equal windows pick equal keys, so all places of a window meet under one key.
+   Consecutive windows with one key form a region. Whole copies of a text are one class and its smallest id goes on.
+2. Keys that lie in one document only are dropped. Regions with equal words are one region, with its least and its
    greatest id. The words of each remaining region are read once, from its least document.
-3. Regions are dealt by anchor into shards of bounded size. A shard builds an FM-index of its regions (suffix order by
+3. A key with more than `HOT` distinct regions (a passage that most documents hold, each among other words) would fill
+   a shard. Its regions are halved once more by the same rule, each into two at most, under longer keys, and what lies in
+   one document is dropped; the key grows to a whole window, which has one region, so this ends after six turns.
+4. Regions are dealt by key into shards of bounded size. A shard builds an FM-index of its regions (suffix order by
    prefix doubling, the Burrows-Wheeler text in a wavelet tree) and streams the regions through it: backward search
    with parent steps gives each position's matching statistic, capped at the window; where it reaches the window, the
    least document id among the occurrences is reported.
-4. An anchor with more than `HOT` distinct regions (a line that most documents hold) would fill a shard: its windows
-   are first counted by hash, those in one document drop out, and each of the rest is a region and an anchor by itself.
 5. Reported intervals go back to all documents of the region, and from there to the texts.
 
 Rows: a null text has no words. Repeated rows, and rows that share an id, never remove each other's words, and each is
@@ -30,11 +32,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import BASE, WordHash, hashed, mix, rolling, stored, text_batches
+from foretide.llm.common import BASE, WordHash, discard, hashed, mix, rolling, stored, text_batches
 
 WINDOW, ANCHOR = 50, 12
-#: Distinct regions of an anchor that one shard may take, and words of a shard.
-HOT, SHARD_WORDS = 256, 200_000
+#: Distinct regions of a key that go to a shard as they are, and words of a shard.
+HOT, SHARD_WORDS = 1024, 200_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -82,11 +84,11 @@ class Index:
         text[inside], text[ends] = symbol + 1, 0
         rank = np.where(inside, text + m - 1, 0)
         rank[ends] = np.arange(m)
-        ranks, h, places = [np.unique(rank, return_inverse=True)[1]], 1, np.arange(n)
+        ranks, h, places = [np.unique(rank, return_inverse=True)[1].astype(np.int32)], 1, np.arange(n)
         while ranks[-1].max() < n - 1:
-            key = ranks[-1] * (n + 1) + ranks[-1][np.minimum(places + h, n - 1)]
+            key = ranks[-1].astype(np.int64) * (n + 1) + ranks[-1][np.minimum(places + h, n - 1)]
             order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
+            new = np.empty(n, np.int32)
             new[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
             ranks.append(new)
             h *= 2
@@ -96,7 +98,8 @@ class Index:
         for level in range(len(ranks) - 2, -1, -1):
             r = ranks[level]
             lcp[1:] += (r[suffixes[1:] + lcp[1:]] == r[suffixes[:-1] + lcp[1:]]) << level
-        self.n, self.lcp = n, np.minimum(lcp, window)
+        # what stays is the wavelet tree, a byte a place of common prefixes, and the least ids
+        self.n, self.lcp = n, np.minimum(lcp, window).astype(np.uint8)
         self.tree = WaveletTree(text[suffixes - 1], len(self.words) + 1)
         self.first = np.cumsum(np.append(0, np.bincount(text, minlength=len(self.words) + 1)))
         self._starts: dict[int, np.ndarray] = {}
@@ -188,22 +191,33 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+def halves(size: int) -> tuple[int, int]:
+    """A window with a key of `size` words has at least so many words before it, or else at least so many after it."""
+    before = (WINDOW - size + 1) // 2
+    return before, WINDOW - size - before + 1
+
+
 def regions(flat: np.ndarray, sizes: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Text number, anchor, content hash, first word in its text and number of windows of each region of texts end to end."""
+    """Text number, key, content hash, first word in its text and number of windows of each region of texts end to end."""
     n = len(flat) - WINDOW + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    grams = mix(rolling(flat, ANCHOR))
-    at = leftmost_least(grams, WINDOW - ANCHOR + 1)
+    at = leftmost_least(mix(rolling(flat, ANCHOR)), WINDOW - ANCHOR + 1)
+    before, after = halves(ANCHOR)
+    left = at - np.arange(n) >= before
     ok = doc[:n] == doc[WINDOW - 1 :]
-    head = ok & np.append(True, (at[1:] != at[:-1]) | ~ok[:-1])
+    head = ok & np.append(True, (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | ~ok[:-1])
     first = np.flatnonzero(head)
     count = np.bincount((np.cumsum(head) - 1)[ok], minlength=len(first))
     up, down = powers.of(len(flat))
-    before = np.append(np.zeros(1, np.uint64), np.cumsum(flat * up))
-    content = mix((before[first + count + WINDOW - 1] - before[first]) * down[first] + count.astype(np.uint64))
-    return doc[first], grams[at[first]], content, first - (np.cumsum(sizes) - sizes)[doc[first]], count
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(flat * up))
+
+    def hash_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
+
+    key = hash_of(np.where(left, at - before, at)[first], np.where(left, ANCHOR + before, ANCHOR + after)[first])
+    return doc[first], key, hash_of(first, count + WINDOW - 1), first - (np.cumsum(sizes) - sizes)[doc[first]], count
 
 
 def _digest(words: list[bytes]) -> str:
@@ -236,11 +250,11 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scanned, SCANNED)
 
 
-REGIONS = "a long, r long, low long, high long, hot boolean, words binary"
+REGIONS = "a long, r long, low long, high long, words binary"
 
 
 def region_words(texts: DataFrame) -> DataFrame:
-    """texts (text, needed) -> the words of the regions needed (key, a, r, low, high, hot, start, n) that are of that text."""
+    """texts (text, needed) -> the words of the regions needed (key, a, r, low, high, start, n) that are of that text."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -253,33 +267,55 @@ def region_words(texts: DataFrame) -> DataFrame:
                 sha = _key(_digest(words))
                 if own := [x for x in needed if x["key"] == sha]:
                     words = hashed(words, cache)
-                    out += [(x["a"], x["r"], x["low"], x["high"], x["hot"], words[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in own]
+                    out += [(x["a"], x["r"], x["low"], x["high"], words[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in own]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["a", "r", "low", "high", "hot", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "r", "low", "high", "words"])
 
     return texts.select("text", "needed").mapInArrow(cut, REGIONS)
 
 
-def hot_windows(hot: DataFrame) -> DataFrame:
-    """Regions (a, r, low, high, words) -> their windows: hash w, and at, the first word in the region."""
+HALVES = "a long, r long, at int, key long, content long, low long, high long, words binary, place int, size int"
+
+
+def halved(hot: DataFrame) -> DataFrame:
+    """Regions (a, r, low, high, words, place and size of the key, null at first) -> both halves: at, the first word in the region, and what a region has, under longer keys."""
+
+    def parts(words: np.ndarray, place: int | None, size: int | None) -> Iterator[tuple[int, int, int, int]]:
+        if size is None:
+            anchor, size = int(leftmost_least(mix(rolling(words[:WINDOW], ANCHOR)), WINDOW - ANCHOR + 1)[0]), ANCHOR
+            before, after = halves(size)
+            place, size = (anchor - before, size + before) if anchor >= before else (anchor, size + after)
+        before, after = halves(size)
+        windows = len(words) - WINDOW + 1
+        middle = max(0, min(windows, place - before + 1))  # windows before it have that much before the key
+        if middle > 0:
+            yield 0, middle, place - before, size + before
+        if middle < windows:
+            yield middle, windows, place - middle, size + after
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for i, words in enumerate(batch.column("words").to_pylist()):
-                w = mix(rolling(np.frombuffer(words, np.uint64), WINDOW)).view(np.int64)
-                same = [pa.array(np.full(len(w), batch.column(c)[i].as_py())) for c in ("a", "r", "low", "high")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(w), pa.array(np.arange(len(w), dtype=np.int32))], names=["a", "r", "low", "high", "w", "at"])
+            out = []
+            for r in batch.to_pylist():
+                words = np.frombuffer(r["words"], np.uint64)
+                for start, end, place, size in parts(words, r["place"], r["size"]):
+                    own = words[start : end + WINDOW - 1]
+                    key, content = (int(mix(rolling(x, len(x)) + np.uint64(len(x))).view(np.int64)[0]) for x in (own[place : place + size], own))
+                    out.append((r["a"], r["r"], start, key, content, r["low"], r["high"], own.tobytes(), place, size))
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f.split()[0] for f in HALVES.split(", ")])
 
-    return hot.select("a", "r", "low", "high", "words").mapInArrow(made, "a long, r long, low long, high long, w long, at int")
+    return hot.select("a", "r", "low", "high", "words", "place", "size").mapInArrow(made, HALVES)
 
 
-FOUND = "single boolean, a long, r long, at int, n int, least long"
+FOUND = "turn int, a long, r long, at int, n int, least long"
 
 
 def search_shards(pieces: DataFrame) -> DataFrame:
-    """pieces (shard, single, a, r, low, high, words) -> runs of n windows from word `at` of region (a, r) that some document below `high` holds, with the least such id."""
+    """pieces (shard, turn, a, r, low, high, words) -> runs of n windows from word `at` of region (a, r) that some document below `high` holds, with the least such id."""
 
     def search(pdf):
         import pandas as pd
@@ -297,8 +333,8 @@ def search_shards(pieces: DataFrame) -> DataFrame:
                 head = np.append(True, (q[1:] != q[:-1]) | (t[1:] != t[:-1] + 1) | (least[1:] != least[:-1]))
                 first = np.flatnonzero(head)
                 at = t[first] - (found.shape[1] - np.asarray([len(p) for p in part]))[q[first]]
-                out.append(pd.DataFrame({**{c: rows[c].to_numpy()[q[first]] for c in ("single", "a", "r")}, "at": at.astype(np.int32), "n": np.diff(np.append(first, len(q))).astype(np.int32), "least": least[first]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("single", "a", "r", "at", "n", "least")})
+                out.append(pd.DataFrame({**{c: rows[c].to_numpy()[q[first]] for c in ("turn", "a", "r")}, "at": at.astype(np.int32), "n": np.diff(np.append(first, len(q))).astype(np.int32), "least": least[first]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("turn", "a", "r", "at", "n", "least")})
 
     return pieces.groupBy("shard").applyInPandas(search, FOUND)
 
@@ -331,6 +367,41 @@ def remove_spans(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(removed, KEPT)
 
 
+def spread(regions: DataFrame) -> DataFrame:
+    """regions (a, r, low, high) -> the keys a that two documents share, and whether a shard would be filled by one."""
+    each = regions.groupBy("a").agg(F.count("*").alias("regions"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    return stored(each.select("a", (F.col("regions") > HOT).alias("hot")))
+
+
+def reported(cut: DataFrame, keys: DataFrame) -> DataFrame:
+    """cut (a, r, low, high, words), keys (a, hot) -> runs of n windows from word `at` of region (a, r) with the least id below `high`."""
+    none = F.lit(None).cast("int")
+    level, cold, ways = cut.select("*", none.alias("place"), none.alias("size")), [], []
+    while True:
+        placed = level.join(keys, "a")
+        cold.append(placed.where("NOT hot").select(F.lit(len(cold)).alias("turn"), "a", "r", "low", "high", "words"))
+        if keys.where("hot").isEmpty():
+            break
+        parts = stored(halved(placed.where("hot")))
+        ways.append(parts.select("a", "r", F.col("at").alias("offset"), "key", "content"))
+        words = F.first(F.struct("words", "place", "size")).alias("x")  # equal words have equal places
+        level = stored(parts.groupBy(F.col("key").alias("a"), F.col("content").alias("r")).agg(F.min("low").alias("low"), F.max("high").alias("high"), words).select("a", "r", "low", "high", "x.*"))
+        keys = spread(level)
+    pieces = cold[0]
+    for more in cold[1:]:
+        pieces = pieces.unionByName(more)
+    pieces = stored(pieces)
+    size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0  # one number
+    shards = max(1, -(-size // (8 * SHARD_WORDS)))
+    found = stored(search_shards(pieces.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))))
+    discard(pieces)
+    out = found.where(F.col("turn") == len(ways)).drop("turn")
+    for turn in range(len(ways) - 1, -1, -1):
+        back = out.select(F.col("a").alias("key"), F.col("r").alias("content"), "at", "n", "least").join(ways[turn], ["key", "content"])
+        out = found.where(F.col("turn") == turn).drop("turn").unionByName(back.select("a", "r", (F.col("at") + F.col("offset")).alias("at"), "n", "least"))
+    return out
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -340,38 +411,28 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     slim = scanned.select("doc_id", "n_words", "sha").join(least, "sha", "left")
     slim = stored(slim.select("doc_id", "n_words", "sha", F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("n_words") >= WINDOW), F.lit(False)).alias("copy")))
 
-    # where the shared anchors lie; of a copied text, in its first document only
+    # where the shared keys lie; of a copied text, in its first document only
     key = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("key")
     places = scanned.where("doc_id IS NOT NULL").select("doc_id", key, F.explode(F.arrays_zip("a", "r", "start", "n")).alias("x")).select("doc_id", "key", "x.*")
     shared = stored(places.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a"))
     copies = slim.where("copy").select("doc_id", key).distinct()
     places = stored(places.join(shared, "a").join(copies, ["doc_id", "key"], "left_anti"))
+    discard(scanned, least, shared)
     each = places.groupBy("a", "r").agg(F.min(F.struct("doc_id", "start", "key", "n")).alias("x"), F.max("doc_id").alias("high"))
     each = stored(each.select("a", "r", F.col("x.doc_id").alias("low"), "high", "x.start", "x.key", "x.n"))
-    spread = each.groupBy("a").agg(F.count("*").alias("regions"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
-    spread = stored(spread.select("a", (F.col("regions") > HOT).alias("hot")))
-    needed = stored(each.join(spread, "a"))
+    keys = spread(each)
+    needed = stored(each.join(keys, "a", "left_semi"))
 
     # the texts that hold a region still needed; later steps read no other
-    listed = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("key", "a", "r", "low", "high", "hot", "start", "n")).alias("needed"))
-    wanted = places.join(spread, "a", "left_semi").select("doc_id").distinct()
+    listed = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("key", "a", "r", "low", "high", "start", "n")).alias("needed"))
+    wanted = places.join(keys, "a", "left_semi").select("doc_id").distinct()
     texts = stored(docs.join(wanted.join(listed, "doc_id", "left"), "doc_id"))
     cut = stored(region_words(texts.where("needed IS NOT NULL")))
+    discard(each, needed)
 
-    # hot anchors: the windows of their regions that two documents hold, each as a region by itself
-    hot = cut.where("hot").select("a", "r", "low", "high", "words")
-    windows = stored(hot_windows(hot))
-    met = windows.groupBy("w").agg(F.min(F.struct("low", "a", "r", "at")).alias("x"), F.max("high").alias("high")).where("x.low < high").select("w", "high", "x.*")
-    single = met.join(hot.select("a", "r", "words"), ["a", "r"]).select(F.lit(True).alias("single"), F.col("w").alias("a"), F.lit(0).cast("long").alias("r"), "low", "high", F.expr(f"substring(words, 8 * at + 1, {8 * WINDOW})").alias("words"))
-    pieces = stored(cut.where("NOT hot").select(F.lit(False).alias("single"), "a", "r", "low", "high", "words").unionByName(single))
-    size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0  # one number
-    shards = max(1, -(-size // (8 * SHARD_WORDS)))
-    found = stored(search_shards(pieces.withColumn("shard", F.pmod(F.xxhash64("a", "single"), F.lit(shards)))))
-
-    of_windows = found.where("single").select(F.col("a").alias("w"), "n", "least").join(windows.withColumnRenamed("at", "offset"), "w").select("a", "r", F.col("offset").alias("at"), "n", "least")
-    reported = found.where("NOT single").drop("single").unionByName(of_windows)
-    spans = places.drop("n").join(reported, ["a", "r"]).where("least < doc_id").select("doc_id", "key", (F.col("start") + F.col("at")).alias("start"), "n")
+    spans = places.drop("n").join(reported(cut, keys), ["a", "r"]).where("least < doc_id").select("doc_id", "key", (F.col("start") + F.col("at")).alias("start"), "n")
     spans = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "n")).alias("spans")))
+    discard(places, cut)
     changed = remove_spans(texts.select("doc_id", "text").join(spans, "doc_id"))
 
     same = slim.withColumn("key", key).join(spans.select("doc_id", F.explode(F.array_distinct("spans.key")).alias("key")), ["doc_id", "key"], "left_anti")

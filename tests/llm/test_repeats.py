@@ -63,7 +63,7 @@ def made(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("hot", [256, 3])
+@pytest.mark.parametrize("hot", [1024, 2])
 def test_made(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SHARD_WORDS", 5000)
@@ -72,6 +72,16 @@ def test_made(spark, monkeypatch, hot):
     assert run(df) == brute(rows)
 
 
+def test_common_passage(spark, monkeypatch):
+    """One line and one passage in all documents, each among words of its own: keys are halved down to whole windows."""
+    monkeypatch.setattr(repeats, "HOT", 4)
+    r = random.Random(8)
+    own = lambda k: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(k))
+    line, passage, sides = own(20), own(57), [own(3) for _ in range(3)]
+    rows = [(i, " ".join([own(60), line, own(70), r.choice(sides), passage, r.choice(sides), own(r.randint(0, 60))])) for i in range(150)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_documents(spark):
     df = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     assert run(df) == brute([tuple(r) for r in df.collect()])
