@@ -6,28 +6,30 @@ class, and one representative (the smallest id) goes on. A representative's sign
 `BINS` bins of one permutation of its shingles; an empty bin takes the value of a full one by optimal densification
 (bins tried in an order of hashes that is the same for every document). Bands of `ROWS` bins are buckets. Each bucket
 gives a star: its members are linked to its smallest. Edges that signatures and set sizes make hopeless go, the rest
-are confirmed on full sets. As two members of a bucket can be alike and both unlike its centre, all pairs of different
-components in one bucket are then compared by signature, in blocks; each member's most agreeing partners are confirmed
-first, more of them in each round, until a round has left no pair out. Components follow from the links by spreading
-the least label with pointer jumping.
+are confirmed on full sets. As two members of a bucket can be alike and both unlike its centre, the members of different
+components in one bucket are then compared on full sets, in blocks of bounded bytes; a block gives the links that join
+its components, never more than its members. Components follow by spreading the least label with pointer jumping.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75**5)**48, about 2e-6, less for closer pairs.
 
-Rows: a null text, or one without words, has an empty set, links with nothing and is kept. Rows that share an id are
-one document for links (repeated rows, or several texts). Ties: the smallest id stands for a class. An empty table
+Members of one bucket that stay unlinked are all compared with each other: where m texts share a bucket and none is a
+near copy of another, that is m * m / 2 comparisons, and each text goes to as many blocks as its bucket fills.
+
+Rows: a null text, or one without words, has an empty set, links with nothing and is kept. A row without an id links
+with nothing, has no component and is kept. Rows that share an id are one document for links (repeated rows, or several
+texts). Ties: the smallest id stands for a class. An empty table
 gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import WordHash, hashed, mix, rolling, stored, text_batches
+from foretide.llm.common import WordHash, discard, hashed, mix, rolling, stored, text_batches
 
 SHINGLE = 5
 #: Link when 100 * intersection >= SIMILAR * union.
@@ -36,10 +38,8 @@ ROWS, BANDS = 5, 48
 BINS = ROWS * BANDS
 #: Edges whose signatures agree less go: at the threshold the share of equal bins is 0.75 with a deviation of 0.028.
 LEAST_AGREE = 0.58
-#: A round after the star confirms so many partners of each member of a block, and each later one MORE times as many.
-FIRST, MORE = 4, 8
-#: Members of a bucket that are compared with so many others at once.
-BLOCK = 256
+#: Bytes of full sets in a block, about.
+BLOCK = 4_000_000
 
 
 def shingle_sets(texts: list[bytes | None], cache: WordHash) -> list[np.ndarray]:
@@ -104,18 +104,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Arrow batches of few rows while wide rows go to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
 
@@ -134,13 +122,13 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """reps (rep, sig) -> rep, bucket for each band."""
-    bands = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    return bands.select("rep", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
+    """reps (rep, n_shingles, sig) -> rep, n_shingles, bucket for each band."""
+    bands = reps.select("rep", "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    return bands.select("rep", "n_shingles", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket"))
 
 
 def agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """The edges (a, b) whose sizes and signatures leave the similarity within reach."""
+    """The edges (a, b) whose sizes and signatures leave the similarity within reach, with the size of b."""
     def side(name: str) -> DataFrame:
         return reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
 
@@ -150,12 +138,12 @@ def agree(edges: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREE))
+                yield batch.select(["a", "b", "n_b"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREE))
 
     # merge joins at every size: neither side has a bound
     e = edges.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     e = e.where(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
-    return e.select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long").distinct()
+    return e.select("a", "b", "n_b", "sig_a", "sig_b").mapInArrow(near, "a long, b long, n_b long").groupBy("a", "b").agg(F.max("n_b").alias("n_b"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,77 +159,40 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(made, "doc_id long, set binary")
 
 
-def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full sets reach the similarity."""
-    def alike(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-            if hit:
-                yield batch.select(["a", "b"]).filter(pa.array(hit))
-
-    sided = [sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b")]
-    return edges.join(sided[0].hint("merge"), "a").join(sided[1].hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInArrow(alike, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> node, comp: the least node reachable; nodes without a link are left out."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        heard = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        lower = stored(label.join(heard, "node").select("node", F.col("comp").alias("before"), F.least("comp", "least").alias("comp")))
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        moved = stored(lower.join(jump, "comp", "left").select("node", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        label = moved.select("node", "comp")
-        if moved.where("comp != before").isEmpty():
-            return label
-
+def link(comp: np.ndarray, sets: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of components that sets of the first and of the other side (of one side, if all are first) link, none that follows from others."""
+    sizes = np.asarray([len(s) for s in sets])
+    sides = [np.flatnonzero(first), np.flatnonzero(~first)] if not first.all() else [np.arange(len(sets))] * 2
+    few, many = sorted(sides, key=len)
+    if not len(few) or len(np.unique(comp)) < 2:
+        return []
+    # shingles of one set only meet nothing
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, met = np.repeat(np.arange(len(sets)), sizes), count[number] > 1
+    owner, number = owner[met], number[met]
+    start = np.searchsorted(owner, np.arange(len(sets) + 1))
+    shared = [number[a:b] for a, b in zip(start, start[1:])]
+    many = many[np.argsort(sizes[many], kind="stable")]
+    ordered, flat = sizes[many], np.concatenate([shared[i] for i in many])
+    ends = np.cumsum([0, *(len(shared[i]) for i in many)])
+    root, mark, out = comp.copy(), np.zeros(len(count), np.int8), []
+    for i in few:
+        low, high = np.searchsorted(100 * ordered, SIMILAR * sizes[i]), np.searchsorted(SIMILAR * ordered, 100 * sizes[i], "right")
+        if low == high or (root[many[low:high]] == root[i]).all():
+            continue
+        mark[shared[i]] = 1
+        both = np.append(0, np.cumsum(mark[flat[ends[low] : ends[high]]], dtype=np.int64))[ends[low : high + 1] - ends[low]]
+        both = both[1:] - both[:-1]
+        mark[shared[i]] = 0
+        for j in many[low:high][100 * both >= SIMILAR * (sizes[i] + ordered[low:high] - both)]:
+            if root[j] != root[i]:
+                out.append((int(comp[i]), int(comp[j])))
+                root[root == root[j]] = root[i]
+    return out
 
-def blocks(placed: DataFrame) -> DataFrame:
-    """placed (rep, bucket, comp) -> rep, comp, bucket, x, y, mine for buckets of several components.
 
-    Rows of one bucket, x and y are a pair of blocks to be compared; mine is the block of the row. Blocks of the largest
-    component are not paired with each other, so a few strangers in a large bucket cost as many rows as it has members.
-    """
-    comps = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = comps.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("g"), F.sum("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    # the star has compared the two members of a bucket of two
-    mixed = stored(mixed.where("low != high AND n > 2").select("bucket", "main", F.ceil(F.col("g") / BLOCK).alias("bg"), F.ceil((F.col("n") - F.col("g")) / BLOCK).alias("br")))
-    at = placed.join(mixed.hint("merge"), "bucket").withColumn("in_main", F.expr("comp = main"))
-    at = at.withColumn("mine", F.expr("CASE WHEN in_main THEN pmod(xxhash64(rep), bg) ELSE bg + pmod(xxhash64(rep), br) END"))
-    at = at.withColumn("other", F.explode(F.expr("CASE WHEN in_main THEN sequence(bg, bg + br - 1) ELSE sequence(0L, bg + br - 1) END")))
-    return at.select("rep", "comp", "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
-
-
-def candidates(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """blocks -> edges (a, b) of different components within reach, `most` for each member of a block, and whether some were left out."""
-
-    def compared(comp: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, two = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(comp)),) * 2
-        if not len(one) or not len(two):
-            return one[:0], one[:0], np.zeros(0, bool)
-        same = np.empty((len(one), len(two)), np.int16)
-        for i in range(0, len(one), 32):
-            same[i : i + 32] = (sig[one[i : i + 32], None] == sig[None, two]).sum(2)
-        low, high = np.minimum.outer(size[one], size[two]), np.maximum.outer(size[one], size[two])
-        ok = (same >= LEAST_AGREE * BINS) & (comp[one][:, None] != comp[two]) & (100 * low >= SIMILAR * high)
-        taken, left = np.zeros_like(ok), False
-        for o, s, t in ((ok, same, taken), (ok.T, same.T, taken.T)):
-            if most >= o.shape[1]:
-                t |= o
-                continue
-            best = np.argpartition(-np.where(o, s, -1), most - 1, axis=1)[:, :most]
-            rows = np.arange(len(o))[:, None]
-            t[rows, best] |= o[rows, best]
-        left = bool((ok & ~taken).any())
-        i, j = np.nonzero(taken)
-        return one[i], two[j], np.full(len(i), left)
+def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (bucket, x, y, mine, rep, comp), sets (doc_id, set) -> links (a, b) of components between the sides mine = x and mine = y of each (bucket, x, y)."""
 
     def found(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -251,14 +202,10 @@ def candidates(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
             return np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1)
 
         def edges(held, starts):
-            rep, comp, size, x, mine = (held.column(c).to_numpy() for c in ("rep", "comp", "n_shingles", "x", "mine"))
-            sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
-            got = []
-            for p, q in zip(starts, np.append(starts[1:], held.num_rows)):
-                i, j, left = compared(comp[p:q], size[p:q], sig[p:q], mine[p:q] == x[p:q])
-                got.append((rep[p:q][i], rep[p:q][j], left))
-            a, b, left = (np.concatenate(c) for c in zip(*got))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(left)], names=["a", "b", "more"])
+            comp, x, mine = (held.column(c).to_numpy() for c in ("comp", "x", "mine"))
+            sets = [np.frombuffer(s, np.uint64) for s in held.column("set").to_pylist()]
+            got = [e for p, q in zip(starts, np.append(starts[1:], held.num_rows)) for e in link(comp[p:q], sets[p:q], mine[p:q] == x[p:q])]
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         held = None
         for batch in batches:
@@ -270,47 +217,77 @@ def candidates(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield edges(held, runs(held))
 
-    rows = pairs.join(reps.select("rep", "n_shingles", "sig").hint("merge"), "rep")
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.mapInArrow(found, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    each = rows.join(sets.select(F.col("doc_id").alias("rep"), "set").hint("merge"), "rep").select("bucket", "x", "y", "mine", "comp", "set")
+    return each.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(found, "a long, b long").distinct()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """edges (a, b, n_b) -> rows for links: each centre a beside its members, in blocks."""
+    some = edges.groupBy("a").agg(F.ceil(F.sum(8 * F.col("n_b") + 64) / BLOCK).alias("blocks"))
+    centre = some.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).select(F.col("a").alias("bucket"), "y", F.lit(-1).cast("long").alias("mine"), F.col("a").alias("rep"))
+    member = edges.join(some, "a").withColumn("y", F.pmod(F.xxhash64("b"), F.col("blocks"))).select(F.col("a").alias("bucket"), "y", F.col("y").alias("mine"), F.col("b").alias("rep"))
+    return centre.unionByName(member).select("bucket", F.lit(-1).cast("long").alias("x"), "y", "mine", "rep", F.col("rep").alias("comp"))
+
+
+def blocks(placed: DataFrame) -> DataFrame:
+    """placed (rep, n_shingles, bucket, comp) -> rows for links, of buckets of several components.
+
+    x and y are a pair of blocks to be compared; mine is the block of the row. Blocks of the largest component are not
+    paired with each other, so a few strangers in a large bucket cost as many rows as it has members.
+    """
+    comps = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles") + 64).alias("bytes"))
+    mixed = comps.groupBy("bucket").agg(F.max_by(F.struct("comp", "bytes"), F.struct("n", "comp")).alias("main"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    # the star has compared the two members of a bucket of two
+    mixed = stored(mixed.where("low != high AND n > 2").select("bucket", F.col("main.comp").alias("main"), F.ceil(F.col("main.bytes") / BLOCK).alias("bg"), F.ceil((F.col("bytes") - F.col("main.bytes")) / BLOCK).alias("br")))
+    at = placed.join(mixed.hint("merge"), "bucket").withColumn("in_main", F.expr("comp = main"))
+    at = at.withColumn("mine", F.expr("CASE WHEN in_main THEN pmod(xxhash64(rep), bg) ELSE bg + pmod(xxhash64(rep), br) END"))
+    at = at.withColumn("other", F.explode(F.expr("CASE WHEN in_main THEN sequence(bg, bg + br - 1) ELSE sequence(0L, bg + br - 1) END")))
+    return at.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "comp")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) -> node, comp: the least node reachable; nodes without a link are left out."""
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    while True:
+        heard = both.join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "comp")
+        jump = label.join(label.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp").select("node", F.col("further").alias("comp"))
+        told = label.withColumn("before", F.col("comp")).unionByName(heard.unionByName(jump), allowMissingColumns=True)
+        moved = stored(told.groupBy("node").agg(F.min("comp").alias("comp"), F.max("before").alias("before")))
+        discard(label)
+        label = moved
+        if moved.where("comp != before").isEmpty():
+            discard(both)
+            return label
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull())
     signed = stored(sign(docs))
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = stored(classes)
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = stored(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     # rows that share an id but not a set are one document
-    same_id = signed.where("n_shingles > 0").join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    same_id = some.join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     centres = stored(buckets(reps).groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a"))
-    # the places of representatives in buckets that are shared; later rounds read these only
+    # the places of representatives in buckets that are shared; later steps read these only
     members = stored(buckets(reps).join(centres.hint("merge"), "bucket"))
-    star = members.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    edges = stored(agree(star, reps))
-    sets, links, tried, most = None, same_id, edges, FIRST
-    while True:
-        ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-        if sets is None:
-            sets = stored(full_sets(docs, ids.hint("merge")))
-        elif not (new := ids.join(sets, "doc_id", "left_anti")).isEmpty():
-            sets = sets.unionByName(stored(full_sets(docs, new)))
-        with small_batches(spark):
-            links = links.unionByName(stored(confirm(edges, sets)))
-        if not most:
-            break
-        label = components(links)
-        placed = stored(members.select("rep", "bucket").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("comp", "rep").alias("comp")))
-        near = stored(candidates(stored(blocks(placed)), reps, most))
-        # with no pair left out, what these edges confirm is all there is
-        most = 0 if near.where("more").isEmpty() else most * MORE
-        edges = stored(near.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if edges.isEmpty() and not most:
-            break
-        tried = tried.unionByName(edges)
-    label = components(links)
-    classed = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    discard(centres)
+    edges = stored(agree(members.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), reps))
+    ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(full_sets(docs.where("doc_id IS NOT NULL"), ids.hint("merge")))
+    label = components(same_id.unionByName(links(stars(edges), sets)))
+
+    placed = members.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n_shingles", "bucket", F.coalesce("comp", "rep").alias("comp"))
+    placed = stored(placed)
+    rows = stored(blocks(placed))
+    new = rows.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id", "left_anti")
+    if not new.isEmpty():
+        sets = sets.unionByName(stored(full_sets(docs, new)))
+    joined = components(links(rows, sets))
+    discard(members, edges, placed, rows)
+
+    whole = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("node"))
+    classed = whole.join(joined, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classed, ["d1", "d2", "n_shingles"], "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -186,12 +186,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = SCA
 
         return run
 
-    from foretide.llm.neardup import small_batches
-
     found = "query_id long, score long, vec_id long"
     pairs = asked.join(shards, ["dim", "part"])
     best = F.slice(F.sort_array(F.collect_set(F.struct("score", (-F.col("vec_id")).alias("other"))), asc=False), 1, k)
-    with small_batches(vectors.sparkSession, 1):
+    if True:
         seen = stored(pairs.select("rows", "asked").mapInArrow(searched(True), found))
         # of rows that share an id the smaller kth score holds, so that no row of theirs loses a partner
         lows = seen.groupBy("query_id").agg(best.alias("best")).where(F.size("best") == k).select(F.col("query_id").alias("id"), F.col("best")[k - 1]["score"].cast("double").alias("low"))

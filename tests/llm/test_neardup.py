@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,8 @@ def test_documents(spark, sf):
 
 def test_edge_rows(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
-    assert run(spark.createDataFrame([(None, "a b c"), (4, None)], "doc_id long, text string")) == [(4, 0, 4, True)]
+    got = neardup.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, None), (5, "a b c"), (None, "a b c")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 1, None, True)] * 2 + [(4, 0, 4, True), (5, 1, 5, True)], key=str)
 
 
 def test_hub(spark):
@@ -96,3 +98,41 @@ def test_hub(spark):
     assert all(100 * len(s & sets[500]) >= 75 * len(s | sets[500]) for s in sets.values())
     got = run(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(c, k) for d, _, c, k in got if d} == {(0, False)}
+
+
+@pytest.mark.parametrize("block", [4_000_000, 20_000])
+def test_crowded_buckets(spark, monkeypatch, block):
+    """Many words in all documents: pairs just over the threshold among hundreds of texts just under it, in the same buckets."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    core = [f"c{i}" for i in range(854)]
+    rows = []
+    for i in range(600):
+        own = [f"d{i}x{k}" for k in range(145)]
+        if i < 200:  # 2k and 2k + 1 share some words
+            own[:5] = [f"pair{i // 2}x{k}" for k in range(5)]
+        rows.append((i, " ".join(core + own)))
+    sets = [shingles(t) for _, t in rows[:4]]
+    assert 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]) and 100 * len(sets[1] & sets[2]) < 75 * len(sets[1] | sets[2])
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [c for _, _, c, _ in got] == [i - i % 2 if i < 200 else i for i in range(600)]
+
+
+def test_link_against_all_pairs():
+    r = np.random.default_rng(4)
+    for n in (2, 7, 40):
+        sets = [np.unique(r.integers(0, 30, r.integers(1, 30)).astype(np.uint64)) for _ in range(n)]
+        comp = r.integers(0, n, n)
+        for first in (np.ones(n, bool), r.random(n) < 0.5):
+            parent = {c: {c} for c in comp.tolist()}
+            for i in range(n):
+                for j in range(i):
+                    x, y = set(sets[i].tolist()), set(sets[j].tolist())
+                    if (first.all() or first[i] != first[j]) and 100 * len(x & y) >= 75 * len(x | y) and parent[comp[i]] is not parent[comp[j]]:
+                        both = parent[comp[i]] | parent[comp[j]]
+                        parent |= {c: both for c in both}
+            got = {c: {c} for c in comp.tolist()}
+            for a, b in neardup.link(comp, sets, first):
+                assert got[a] is not got[b]
+                both = got[a] | got[b]
+                got |= {c: both for c in both}
+            assert got == parent
