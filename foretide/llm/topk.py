@@ -1,17 +1,19 @@
 """Exact top-k inner-product search by ball trees, one per shard.
 
-Vectors are dealt by hash into shards of bounded size; each shard builds a ball tree (a node splits where its vectors'
-projection on the line between two far points has its median, down to leaves of `LEAF` vectors). Queries travel to the
-shards in blocks of bounded size, so a task holds one shard and one block. In a shard, no vector of a node with centre
+Vectors are dealt by hash into shards of bounded bytes; each shard builds a ball tree once a pass (a node splits where
+its vectors' projection on the line between two far points has its median, down to leaves of `LEAF` vectors), and the
+queries stream past it in blocks, so a task holds one shard and one block. In a shard, no vector of a node with centre
 c and radius r has more than q.c + |q| r for a query q. A block descends the tree level by level, dropping nodes whose
 bound is under the query's kth score; then each query visits the leaves it kept in order of their bounds until the
 bound is under its kth score. The kth score is shared: a first pass over each query's best leaf in every shard gives
 lower bounds, of which the greatest goes to all shards for the second pass.
 
 Components turn into integers floor(scale * x) in double arithmetic. Bounds carry a margin for rounding; scores are
-exact, in double where all products are under 2**53, else in Python integers.
+exact, in double where all products are under 2**53, else in Python integers. A score beyond the range of a long takes
+the end of that range.
 
-Rows: vectors that are null, empty or hold a null or non-finite component take no part, neither do rows without an id.
+Rows: vectors that are null, empty or hold a null or non-finite component (before or after scaling) take no part,
+neither do rows without an id.
 A query meets vectors of its own length only. Rows that share an id are each a query and a candidate, never of their own
 id, and equal (query_id, vec_id, score) count once; ties of score go to the smaller id. An empty table gives no rows; extra columns are ignored.
 """
@@ -24,20 +26,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import stored
+from foretide.llm.common import discard, stored
 
 SCALE = 256.0
 LEAF = 64
-#: Vectors of a shard and queries of a block, about, at most; they bound a task.
-SHARD_ROWS, BLOCK_ROWS = 65_536, 1024
+#: Bytes of a shard's vectors and rows of a block of queries, about, at most; they bound a task.
+SHARD_BYTES, BLOCK_ROWS = 32_000_000, 1024
+MOST_LONG = 2**63 - 1
 #: So many shards at least, of so many vectors each.
 LEAST_SHARDS, SMALL_SHARD = 32, 256
 #: Up to so many different vector lengths, a table with a row for each is broadcast.
 MOST_LENGTHS = 10_000
 
 
-def usable(vector: Column) -> Column:
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def usable(vector: Column, scale: float = SCALE) -> Column:
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+
+
+def whole(x: Column, scale: float) -> Column:
+    """floor(scale * x) as a double; from 2**53 on a double is whole."""
+    y = x.cast("double") * scale
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
 
 def build(x: np.ndarray, leaf: int = LEAF) -> list[tuple[int, int, np.ndarray, float, int, int]]:
@@ -72,12 +81,13 @@ class Tree:
     def bounds(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         size = np.sqrt((q * q).sum(1))
         b = q @ self.centre[nodes].T + size[:, None] * self.radius[nodes]
+        b = np.where(np.isnan(b), np.inf, np.maximum(b, -(2.0**63)))  # out of range: no bound; no score is under a long's
         return b + 1e-9 * (np.abs(b) + size[:, None] * (self.radius[nodes] + np.sqrt((self.centre[nodes] ** 2).sum(1)))) + 1e-6
 
     def scores(self, q: np.ndarray, rows: slice) -> np.ndarray:
         if self.exact(q):
             return self.x[rows] @ q
-        return np.asarray([sum(int(a) * int(b) for a, b in zip(r, q)) for r in self.x[rows]], object)
+        return np.asarray([max(-MOST_LONG - 1, min(MOST_LONG, sum(int(a) * int(b) for a, b in zip(r, q)))) for r in self.x[rows]], object)
 
     def leaves(self, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaves that some query of the block may need, and all bounds (-inf where a query has dropped the leaf)."""
@@ -140,64 +150,86 @@ class Tree:
                 best = set(sorted(best, key=lambda s: (-s[0], s[1]))[:k])
                 if len(best) == k:
                     kth = float(min(s for s, _ in best))
-                    low = max(low, kth * (1 - 1e-12) - 1e-6 if abs(kth) >= 2**53 else kth)
+                    low = max(low, kth - abs(kth) * 1e-12 if abs(kth) >= 2**53 else kth)
             yield i, sorted(best, key=lambda s: (-s[0], s[1]))
 
 
-def _matrix(column, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and vectors of a list of (id, v) at row i of an Arrow column"""
-    rows = column[i].values
-    return rows.field("id").to_numpy(), rows.field("v").flatten().to_numpy().reshape(len(rows), -1)
+def _vectors(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of record batches of one vector length"""
+    return np.concatenate([r.column("id").to_numpy() for r in rows]), np.concatenate([r.column("v").flatten().to_numpy().reshape(r.num_rows, -1) for r in rows])
+
+
+def search_shards(rows: DataFrame, k: int, first_only: bool) -> DataFrame:
+    """rows (dim, part, asked, id, v, low): the vectors of each shard, and its queries (asked) with what their kth score is at least -> each query's best."""
+
+    def found(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def answers(tree: Tree, block: list) -> pa.RecordBatch:
+            q_ids, qs = _vectors(block)
+            floor = np.concatenate([r.column("low").fill_null(-np.inf).to_numpy(zero_copy_only=False) for r in block])
+            with np.errstate(all="ignore"):
+                out = [(int(q_ids[i]), s, c) for i, best in tree.search(q_ids, qs, k, floor, first_only) for s, c in best]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["query_id", "score", "vec_id"])
+
+        def runs():
+            for batch in batches:
+                if batch.num_rows:
+                    key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "part", "asked")])
+                    cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+                    for a, b in zip(cut, cut[1:]):
+                        yield tuple(key[:, a].tolist()), batch.slice(a, b - a)
+
+        shard, held, tree, block = None, [], None, []
+        for (dim, part, asked), rows in runs():
+            if shard != (dim, part):
+                if block:
+                    yield answers(tree, block)
+                shard, held, tree, block = (dim, part), [], None, []
+            if not asked:
+                held.append(rows)
+                continue
+            if tree is None:
+                with np.errstate(all="ignore"):
+                    tree, held = Tree(*_vectors(held)), []
+            block.append(rows)
+            if sum(r.num_rows for r in block) >= BLOCK_ROWS:
+                yield answers(tree, block)
+                block = []
+        if block:
+            yield answers(tree, block)
+
+    dealt = rows.repartition("dim", "part").sortWithinPartitions("dim", "part", "asked")
+    return dealt.mapInArrow(found, "query_id long, score long, vec_id long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = SCALE) -> DataFrame:
     """vectors, queries (vec_id, embedding) -> query_id, rank, vec_id, score."""
 
-    def whole(df: DataFrame) -> DataFrame:
-        d = df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-        return d.select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-
-    v, q = stored(whole(vectors)), stored(whole(queries))
-    counts = [df.groupBy("dim").agg(F.count("*").alias("n")) for df in (v, q)]  # a few rows
-    n_v = F.greatest(F.ceil(F.col("n") / SHARD_ROWS), F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / SMALL_SHARD))).cast("int")
-    n_q = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    parts = [c.select("dim", n.alias("n_parts")) for c, n in zip(counts, (n_v, n_q))]
-    if counts[0].count() <= MOST_LENGTHS:
-        parts = [F.broadcast(p) for p in parts]
-    shards, blocks = (df.join(p, "dim").withColumn("part", F.pmod(F.xxhash64("id"), "n_parts")) for df, p in zip((v, q), parts))
-    shards = stored(shards.groupBy("dim", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
-    blocks = blocks.groupBy("dim", "part").agg(F.collect_list(F.struct("id", "v")).alias("asked")).withColumnRenamed("part", "block")
-    # each block once for each shard of its length
-    asked = stored(blocks).join(parts[0], "dim").select("dim", "block", "asked", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
-
-    def searched(first_only: bool):
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+    def scaled(df: DataFrame) -> DataFrame:
+        d = df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), scale))
+        return d.select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("dim"), F.transform("embedding", lambda x: whole(x, scale)).alias("v"))
+
+    v, q = stored(scaled(vectors)), stored(scaled(queries))
+    counts = v.groupBy("dim").agg(F.count("*").alias("n"))  # a few rows
+    n_parts = F.greatest(F.ceil(8 * F.col("n") * F.col("dim") / SHARD_BYTES), F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / SMALL_SHARD))).cast("int")
+    parts = counts.select("dim", n_parts.alias("n_parts"))
+    if counts.count() <= MOST_LENGTHS:
+        parts = F.broadcast(parts)
+    shards = v.join(parts, "dim").select("dim", F.pmod(F.xxhash64("id"), "n_parts").cast("int").alias("part"), F.lit(False).alias("asked"), "id", "v", F.lit(None).cast("double").alias("low"))
+
+    def answers(q: DataFrame, first_only: bool) -> DataFrame:
+        # each query once for each shard of its length
+        asked = q.join(parts, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.lit(True).alias("asked"), "id", "v", "low")
+        return stored(search_shards(shards.unionByName(asked), k, first_only))
 
-            for batch in batches:
-                for n in range(batch.num_rows):
-                    tree = Tree(*_matrix(batch.column("rows"), n))
-                    q_ids, qs = _matrix(batch.column("asked"), n)
-                    known = {f["id"]: f["low"] for f in (batch.column("floors")[n].as_py() if not first_only else None) or []}
-                    floor = np.asarray([known.get(i, -np.inf) for i in q_ids.tolist()], float)
-                    out = [(int(q_ids[i]), s, c) for i, best in tree.search(q_ids, qs, k, floor, first_only) for s, c in best]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "score", "vec_id"])
-
-        return run
-
-    found = "query_id long, score long, vec_id long"
-    pairs = asked.join(shards, ["dim", "part"])
     best = F.slice(F.sort_array(F.collect_set(F.struct("score", (-F.col("vec_id")).alias("other"))), asc=False), 1, k)
-    if True:
-        seen = stored(pairs.select("rows", "asked").mapInArrow(searched(True), found))
-        # of rows that share an id the smaller kth score holds, so that no row of theirs loses a partner
-        lows = seen.groupBy("query_id").agg(best.alias("best")).where(F.size("best") == k).select(F.col("query_id").alias("id"), F.col("best")[k - 1]["score"].cast("double").alias("low"))
-        repeated = q.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
-        lows = lows.join(repeated, "id", "left_semi")
-        places = asked.select("dim", "block", "part", F.explode("asked.id").alias("id")).where(F.col("part") == 0)
-        floors = places.join(lows, "id").groupBy("dim", "block").agg(F.collect_list(F.struct("id", "low")).alias("floors"))
-        second = asked.join(floors, ["dim", "block"], "left").join(shards, ["dim", "part"])
-        hits = stored(second.select("rows", "asked", "floors").mapInArrow(searched(False), found))
+    seen = answers(q.withColumn("low", F.lit(None).cast("double")), True)
+    # of rows that share an id the smaller kth score holds, so that no row of theirs loses a partner
+    kth = F.col("best")[k - 1]["score"]
+    lows = seen.groupBy("query_id").agg(best.alias("best")).where(F.size("best") == k).select(F.col("query_id").alias("id"), F.when(F.abs(kth.cast("double")) < 2.0**53, kth.cast("double")).otherwise(kth.cast("double") - F.abs(kth.cast("double")) * 1e-12).alias("low"))
+    single = q.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    hits = answers(q.join(lows.join(single, "id", "left_semi"), "id", "left"), False)
+    discard(seen, v, q)
     ranked = hits.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), (-F.col("hit.other")).alias("vec_id"), F.col("hit.score").alias("score"))
