@@ -1,15 +1,17 @@
 """URL filters by a sort-merge range join over reversed-host keys; DataFrame functions only.
 
-A host turns into a canonical key: its labels in reverse order, each followed by U+0001, so that a host and all its
-subdomains fill one interval [key, key up to its last label followed by U+0002). The intervals of any set of rules
-are nested or disjoint. The open stack of rules changes only at the ends of intervals, so each end carries the stack
-that is active from there on; pages and ends are then sorted together and a running `last` hands each page the stack
-of the end before it. The sweep is split by top label and salt: the ends of a top label go to each of its salts, so
-a top label with most of the pages takes many tasks.
+A key is a host's labels in reverse order, each followed by U+0001, and then U+0002 and a path; so a rule for a host and
+the beginnings of its paths fills one interval of keys, [key, key followed by the byte FF), and the intervals of any set of rules
+are nested or disjoint. As a rule also holds for subdomains, a url is looked up under its own host and under each parent
+domain that has rules. A sweep goes through the ends of intervals and the urls in order of their keys. What is active
+after an end is the rule it opens, or else the rule around the one it closes, which is the deepest rule whose path is a
+proper beginning of that one's; so a running `last` hands each url the top of the stack of nested rules, and no row holds
+more than one rule. The longest of what the levels of its host give is the url's rule. The sweep is split by host and,
+where a host has many urls, by salt: the ends of its rules go to each salt.
 
 Rows: a null url, or one without `://`, has an empty host and an empty path and meets no rule. Repeated rows are
-judged each on its own. Rules with equal host and path: the one that blocks wins. An empty rule table leaves every
-page to the default verdict. Extra columns of either table are ignored.
+judged each on its own; each different host and path is swept once. Rules with equal host and path: the one that blocks
+wins. An empty rule table leaves every page to the default verdict. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -21,42 +23,49 @@ END, PAST = "\u0001", "\u0002"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def host_key(host: Column) -> Column:
-    """a.example.org -> org U+0001 example U+0001 a U+0001"""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END))
+#: Urls of one host and salt, about.
+SWEEP_ROWS = 20_000
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """rules (host, path, verdict) -> ends of intervals (top, key, stack): the rules active from each end on."""
-    r = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").where(F.col("host").isNotNull() & F.col("path").isNotNull())
+def key_of(host: Column, path: Column) -> Column:
+    """a.example.org, /x -> org U+0001 example U+0001 a U+0001 U+0002 /x, as bytes."""
+    return F.encode(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END + PAST), path), "UTF-8")
+
+
+def rule_ends(rules: DataFrame) -> DataFrame:
+    """rules (host, path, verdict) -> ends of intervals: host, key, and the rule that is active from there on (null: none)."""
+    r = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL")
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
-    own = r.groupBy("host").agg(F.collect_list(F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "host", "path", "verdict")).alias("own"))
-    # a rule's host opens with the rules of itself and its ancestors, and closes to those of its ancestors
-    labels = F.split("host", r"\.")
-    ends = own.select("host", F.explode(F.array(F.lit(False), F.lit(True))).alias("close"), labels.alias("labels"))
-    ends = ends.select("host", "close", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth"), "labels")
-    ends = ends.select("host", "close", F.expr("array_join(slice(labels, depth, size(labels)), '.')").alias("ancestor"))
-    ends = ends.where(~F.col("close") | (F.col("ancestor") != F.col("host")))
-    stacks = ends.join(own.withColumnRenamed("host", "ancestor"), "ancestor").groupBy("host", "close").agg(F.flatten(F.collect_list("own")).alias("stack"))
-    bare = own.select("host", F.lit(True).alias("close")).join(stacks, ["host", "close"], "left_anti").withColumn("stack", F.lit(None).cast(stacks.schema["stack"].dataType))
-    both = stacks.unionByName(bare).withColumn("key", host_key(F.col("host")))
-    both = both.withColumn("key", F.when(F.col("close"), F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(PAST))).otherwise(F.col("key")))
-    return both.select(F.element_at(F.split("host", r"\."), -1).alias("top"), "key", F.coalesce("stack", F.array().cast(stacks.schema["stack"].dataType)).alias("stack"))
-
-
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
+    r = r.withColumn("rule", F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "host", "path", "verdict"))
+    # the rule around each: of the proper beginnings of its path that are rules of that host, the longest
+    begun = r.where("path != ''").select("host", "path", F.explode(F.expr("transform(sequence(0, length(path) - 1), n -> substring(path, 1, n))")).alias("beginning"))
+    around = begun.join(r.select("host", F.col("path").alias("beginning"), F.col("rule").alias("outer")), ["host", "beginning"]).groupBy("host", "path").agg(F.max("outer").alias("outer"))
+    both = r.join(around, ["host", "path"], "left").withColumn("key", key_of(F.col("host"), F.col("path")))
+    # a struct around each, as "no rule" must be told from no event
+    opens = both.select("host", "key", F.struct("rule").alias("active"))
+    return opens.unionByName(both.select("host", F.concat("key", F.lit(b"\xff")).alias("key"), F.struct(F.col("outer").alias("rule")).alias("active")))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep_rows: int = SWEEP_ROWS) -> DataFrame:
     """pages (page_id, url) -> page_id, host, path, rule, verdict."""
-    spark = pages.sparkSession
-    salts = salts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     p = p.withColumn("rest", F.expr("CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END"))
     p = p.select("page_id", F.translate(F.regexp_extract("rest", r"\A([^/?#]*)", 1), UPPER, LOWER).alias("host"), F.regexp_extract("rest", r"\A[^/?#]*([^?#]*)", 1).alias("path"))
-    # the salt follows from the whole row: repeated ids and hot hosts spread as well as anything
-    p = p.withColumn("top", F.element_at(F.split("host", r"\."), -1)).withColumn("key", host_key(F.col("host"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int"))
-    ends = rule_stacks(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    swept = p.withColumn("stack", F.lit(None).cast(ends.schema["stack"].dataType)).withColumn("page", F.lit(True)).unionByName(ends.withColumn("page", F.lit(False)), allowMissingColumns=True)
-    sweep = Window.partitionBy("top", "salt").orderBy("key", "page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = swept.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("page")
-    fits = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]) & ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))))
-    best = met.withColumn("best", F.array_max(fits))
+
+    # the levels of each url's host that have rules
+    ends = rule_ends(rules)
+    ruled = ends.select(F.col("host").alias("level")).distinct()
+    levels = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> array_join(slice(split(host, '[.]'), n, size(split(host, '[.]'))), '.'))")
+    urls = p.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(levels).alias("level")).join(ruled, "level", "left_semi")
+    salts = urls.groupBy("level").agg(F.ceil(F.count("*") / sweep_rows).alias("salts"))
+    asked = urls.join(salts, "level").select(F.col("level"), F.pmod(F.xxhash64("host", "path"), "salts").alias("salt"), key_of(F.col("level"), F.col("path")).alias("key"), F.lit(True).alias("is_url"), "host", "path")
+    swept = asked.unionByName(
+        ends.withColumnRenamed("host", "level").join(salts, "level").select("level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "key", F.lit(False).alias("is_url"), "active"),
+        allowMissingColumns=True,
+    )
+    sweep = Window.partitionBy("level", "salt").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = swept.withColumn("top", F.last("active", ignorenulls=True).over(sweep)).where("is_url AND top.rule IS NOT NULL")
+    judged = met.groupBy("host", "path").agg(F.max("top.rule").alias("best"))
+    # pages of one url may be many: a merge join can be split
+    best = p.join(judged.hint("merge"), ["host", "path"], "left")
     return best.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

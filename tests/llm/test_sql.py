@@ -1,5 +1,8 @@
 """Queries that SQL can express, against DuckDB; the guard of the entry module; edge rows of the native operators."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +49,26 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_many_url_rules(spark):
+    """Nested hosts and paths by chance against a scan of all rules, with a hot host split."""
+    r = random.Random(6)
+    host = lambda k: ".".join(r.choice("abc") for _ in range(k))
+    path = lambda k: "/" + "".join(r.choice(["x", "y", "/", "é", "\U0010ffff"]) for _ in range(k))
+    rules = [(r.choice(["allow", "block"]), host(r.randint(1, 3)), r.choice(["", path(r.randint(0, 4))])) for _ in range(150)]
+    pages = [(i % 700, f"http://{host(r.randint(1, 4))}{r.choice(['', path(r.randint(0, 7))])}{r.choice(['', '?x', '#y'])}") for i in range(1500)]
+    pages += [(i, "http://a.b/xx") for i in range(300)]
+    best = {}
+    for v, h, p in rules:
+        best[h, p] = max(v, best.get((h, p), ""))
+    want = []
+    for i, u in pages:
+        m = re.match(r"http://([^/?#]*)([^?#]*)", u)
+        fits = [(len(h) + len(p), len(h), h, p, v) for (h, p), v in best.items() if (m[1] == h or m[1].endswith("." + h)) and m[2].startswith(p)]
+        want.append((i, m[1], m[2], *((lambda b: (b[2] + b[3], b[4]))(max(fits)) if fits else (None, "allow"))))
+    df = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string"), sweep_rows=40)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
 def test_preference(spark):
     rows = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yo"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no"),
