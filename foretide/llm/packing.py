@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Documents turn into pieces where they are read: token ids plus one end id, cut only where longer than a sequence.
-Only the pieces' lengths travel on. They are dealt by hash into shards of about `shard_bins` sequences; each shard
-packs its pieces, longest first, by bounded-space best-fit: at most `open_bins` bins are open, their free spaces are
-the set bits of one integer, a piece goes to the open bin with the least sufficient space, and where a new bin is one
-too many the fullest closes first. Bins that end up under `loose` full are taken apart and packed once more, those of
-64 shards together, so that each shard's last bins cost nothing.
+Only the pieces' lengths travel on, each with its number of arrival. They are dealt by a hash of that number, so repeated
+or missing ids spread as well as any, into shards of about `SHARD_BINS` sequences. Each shard packs its pieces in order
+of arrival by bounded-space best-fit: at most `OPEN_BINS` bins are open, their free spaces are the set bits of one
+integer, a piece goes to the open bin with the least sufficient space, and where a new bin is one too many the fullest
+closes first. A shard's open bins at its end are its only loss, a few in some thousand.
 
 Rows: a null or empty text is one piece of the end id alone. Repeated ids are packed as documents of their own (their
 pieces can't be told apart then). A text without white space is tokenised whole. An empty table gives no rows; extra
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from foretide.llm.common import stored, text_batches
 
 CAPACITY = 4096
+#: Bins open at once, and sequences of a shard, about.
+OPEN_BINS, SHARD_BINS = 64, 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,15 +102,17 @@ class TokenBytes(dict):
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text) -> the pieces of each document, where the documents are read."""
+    """docs (doc_id, text) -> the pieces of each document, where the documents are read, and their number of arrival."""
 
     def cut(batches: Iterator) -> Iterator:
         import os
 
         import pyarrow as pa
+        from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         known, end = TokenBytes(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        arrived = TaskContext.get().partitionId() << 40
         for batch in text_batches(batches):
             out = [[], [], [], [], []]
             # ASCII case makes no difference but to the special tokens, which are told apart by it
@@ -120,14 +124,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            n = len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))), pa.array(np.arange(arrived, arrived + n))], names=["doc_id", "piece", "start", "length", "ids_crc32", "arrival"])
+            arrived += n
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, f"{PIECES}, arrival long")
 
 
-def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each length, in the order given, and how full each bin became."""
-    bits, by_space, n_open = 0, [[] for _ in range(capacity + 1)], 0
+def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int], list[int], int]:
+    """Bin and offset of each length, in the order given, how full each bin became, and how many were closed to make room."""
+    bits, by_space, n_open, closed = 0, [[] for _ in range(capacity + 1)], 0, 0
     bins, offsets, full = [], [], []
     for length in lengths:
         room = bits >> length
@@ -144,6 +150,7 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = CAPA
                 if not by_space[fullest]:
                     bits ^= 1 << fullest
                 n_open -= 1
+                closed += 1
             b, space = len(full), capacity
             full.append(0)
         bins.append(b)
@@ -153,34 +160,20 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = CAPA
             by_space[left].append(b)
             bits |= 1 << left
             n_open += 1
-    return bins, offsets, full
+    return bins, offsets, full, closed
 
 
-PACKED = f"{PIECES}, sequence_id long, offset long, filled long"
-
-
-def _pack_shards(df: DataFrame, stride: int, capacity: int, open_bins: int) -> DataFrame:
-    """df (shard, pieces) -> PACKED, the sequences of shard s numbered from s * stride."""
-
-    def pack(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, full = best_fit(pdf["length"].tolist(), capacity, open_bins)
-        first = int(pdf["shard"].iloc[0]) * stride
-        return pdf.drop(columns="shard").assign(sequence_id=np.asarray(bins, np.int64) + first, offset=offsets, filled=np.asarray(full, np.int64)[bins])
-
-    return df.groupBy("shard").applyInPandas(pack, PACKED)
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = CAPACITY, shard_bins: int = 128, loose: float = 0.97) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_bins: int = SHARD_BINS) -> DataFrame:
     """docs (doc_id, text) -> one row per piece with its sequence and its offset there."""
     cut = stored(pieces(docs, tokenizer, capacity=capacity))
     tokens = cut.agg(F.sum("length")).first()[0] or 0  # one number
     shards = max(1, -(-tokens // (capacity * shard_bins)))
-    # an odd number of shards per group and a stride beyond any shard's pieces keep sequence numbers apart
-    stride = 1 << 32
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    packed = stored(_pack_shards(dealt, stride, capacity, open_bins))
-    again = packed.where(F.col("filled") < loose * capacity).select(F.floor(F.col("sequence_id") / (64 * stride)).cast("long").alias("group"), *cut.columns)
-    again = again.withColumn("shard", F.col("group") + F.lit(shards)).drop("group")
-    whole = packed.where(F.col("filled") >= loose * capacity)
-    return whole.unionByName(_pack_shards(again, stride, capacity, open_bins)).drop("filled")
+
+    def packed(pdf):
+        pdf = pdf.sort_values("arrival")
+        bins, offsets, *_ = best_fit(pdf["length"].tolist(), capacity, open_bins)
+        # no shard has that many pieces
+        return pdf.drop(columns=["arrival", "shard"]).assign(sequence_id=np.asarray(bins, np.int64) + (int(pdf["shard"].iloc[0]) << 32), offset=offsets)
+
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("arrival"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(packed, f"{PIECES}, sequence_id long, offset long")

@@ -42,14 +42,23 @@ def check(got, rows):
 def test_documents(spark):
     df = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
     n, tokens = check(packing.pack(df, tokenizer_path()).collect(), [tuple(r) for r in df.collect()])
-    assert n <= 1.005 * -(-tokens // 4096) + 1
+    # in order of arrival, as the method takes them; sorted input would come to 1.005
+    assert n <= 1.008 * -(-tokens // 4096) + 1
+
+
+def test_bins_close(spark):
+    """With the query's own bound, bins of the query's own pieces close to make room."""
+    df = table(spark, "/root/testdata/sf0.1", "documents")
+    lengths = [r["length"] for r in packing.pieces(df, tokenizer_path()).orderBy("arrival").select("length").collect()]
+    *_, full, closed = packing.best_fit(lengths)
+    assert closed > len(full) / 4 and packing.OPEN_BINS * 8 < len(full)
 
 
 def test_odd_texts(spark):
     r = random.Random(2)
     parts = ["naïve", "ﬁne", "Ⅷ", "İstanbul", "ǅ", "don't", "a.b", "<|endoftext|>", "x<|startoftext|>y", "日本語", "١٢٣", "12ab", "\u00a0", "\u2028", "e\u0301", "...", "--a--", "\x00", "straße", "ÅNGSTRÖM", "Ａ"]
     rows = [(i, r.choice(["", " ", "\n"]).join(r.choice(parts) + r.choice(["", " ", "\t"]) for _ in range(r.randint(1, 40)))) for i in range(400)]
-    rows += [(1000, None), (1001, ""), (1002, "q" * 30_000), (1003, "long text " * 9000), rows[0], (None, "no id")]
+    rows += [(1000, None), (1001, ""), (1002, "q" * 30_000), (1003, "long text " * 9000), rows[0], rows[0], (None, "no id"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", F.lit("clash"))
     check(packing.pack(df, tokenizer_path()).collect(), rows)
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
@@ -59,7 +68,7 @@ def test_odd_texts(spark):
 def test_best_fit_against_a_list_of_bins(open_bins):
     r = random.Random(open_bins)
     lengths = [r.randint(1, 100) for _ in range(500)]
-    bins, offsets, full = packing.best_fit(lengths, 100, open_bins)
+    bins, offsets, full, closed = packing.best_fit(lengths, 100, open_bins)
     free, count = {}, 0
     for length, b, offset in zip(lengths, bins, offsets):
         room = [s for s in free.values() if s >= length]
@@ -75,4 +84,4 @@ def test_best_fit_against_a_list_of_bins(open_bins):
         if not free[b]:
             del free[b]
         count += 1
-    assert max(full) <= 100
+    assert max(full) <= 100 and (closed > 0 or open_bins == 50)
