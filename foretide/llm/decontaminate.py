@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
-A text turns into template tokens: words in lower case without signs; a run of numbers and units is one <quantity>, a
-run of capitalised words inside a sentence one <name>. Windows of `WINDOW` tokens with at least `LEAST_WORDS` words
+A text turns into template tokens: words in lower case without signs; a run of numbers and units is one <quantity> of
+the dimension its last unit has (length, mass, time, money, ...; none without a unit), a run of capitalised words inside
+a sentence one <name>. Windows of `WINDOW` tokens with at least `LEAST_WORDS` words
 are hashed, and windows of documents joined to windows of benchmark items by hash. Matches of one document and item
 that follow each other, at most `SHIFT` tokens moved from one to the next, are one alignment. It counts when it covers
 at least `LEAST_COVER` of the item's windows, or as many tokens as so many windows in a row hold, or an unchanged run of
@@ -9,8 +10,9 @@ at least `LEAST_COVER` of the item's windows, or as many tokens as so many windo
 unchanged. Two values of the item may get one new value, as small numbers do by chance. So a question with other numbers
 or names is caught, while a document that only shares a template's words with clashing values is not.
 
-Document windows pass a bitmap of fixed size made of the benchmark's hashes before they are joined, so that most never
-leave the task that reads them; whatever passes is joined exactly, whatever the size of the benchmark.
+Document windows pass a bitmap made of the benchmark's hashes (some bits for each, up to `MOST_BITS`) before they are
+joined, so that most never leave the task that reads them; whatever passes is joined exactly, whatever the size of the
+benchmark. A template window that very many documents hold goes to the items that hold it by a salted key.
 
 Items without a window (formulas, scripts without spaces) are found verbatim: their characters in lower case without
 white space, and without signs at the ends, stand in a document. Two windows of a power of two characters, at the item's
@@ -35,23 +37,41 @@ from foretide.llm.common import mix, rolling, stored, text_batches
 WINDOW, LEAST_WORDS, LEAST_COVER = 8, 4, 0.5
 #: Tokens added or removed between two neighbouring matches of an alignment at most; tokens of an unchanged run that is enough.
 SHIFT, LEAST_RUN = 8, 13
-#: Bits of the bitmap, a power of two.
-BITMAP = 1 << 22
-
-#: Words that a number before them takes into its quantity.
-UNITS = frozenset(
-    "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons tonne tonnes oz lb lbs pound pounds ml l liter liters litre litres "
-    "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % dollar dollars euro euros cent cents usd eur gbp "
-    "c f k degree degrees hz khz mhz ghz w kw mw kwh v a n j kj cal kcal pa kpa bar mph kmh kph b kb mb gb tb".split()
-)
-_NUMBER = re.compile(r"[^\w]*[0-9][0-9.,:/]*[^\W\d_]{0,3}%?[^\w]*\Z")
-_NAME = re.compile(r"[^\w]*[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ]+[^\w]*\Z")
+#: Bits of the bitmap, powers of two: at least, and at most (16 MB).
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
+#: Windows of documents with one hash that go to one task, about.
+HOT_ROWS = 50_000
+
+#: Words that a number before them takes into its quantity, by what they measure.
+DIMENSIONS = [
+    "mm cm m km in inch inches ft foot feet yd yard yards mile miles", "mg g kg t ton tons tonne tonnes oz lb lbs pound pounds", "ml l liter liters litre litres",
+    "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years", "percent %", "dollar dollars euro euros cent cents usd eur gbp",
+    "c f k degree degrees", "hz khz mhz ghz", "w kw mw kwh v a n j kj cal kcal pa kpa bar", "mph kmh kph", "b kb mb gb tb",
+]
+UNITS = {u: i + 1 for i, words in enumerate(DIMENSIONS) for u in words.split()}
+_NUMBER = re.compile(r"[0-9][0-9.,:/]*+([^\W\d_]{0,3}+)\Z")
+_NAME = re.compile(r"[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ]++\Z")
 _SIGNS = re.compile(r"[\W_]+")
-_ENDS = re.compile(r"[.!?:][^\w]*\Z")
+_SOME = re.compile(r"\w")
 WORD, NUMBER, UNIT, NAME, NOTHING = range(5)
 QUANTITY, NAMED = np.uint64(0x51A17C3D9E4B2F01), np.uint64(0x7B3E58D1C6A9F403)
 
 
+def kind_of(word: str) -> tuple[int, str, int, bool]:
+    """Kind, plain form, dimension (of a unit, or of a number with one), and whether a sentence ends after it; in linear time."""
+    plain = _SIGNS.sub("", word).lower()
+    m = _SOME.search(word)
+    if not m:
+        return (UNIT, "%", UNITS["%"], False) if word.strip() == "%" else (NOTHING, plain, 0, any(c in word for c in ".!?:"))
+    stop = len(word) - _SOME.search(word[::-1]).start()
+    core, ends = word[m.start() : stop], any(c in word[stop:] for c in ".!?:")
+    if n := _NUMBER.match(core):
+        return NUMBER, plain, UNITS["%"] if "%" in word[stop:] else UNITS.get(n[1].lower(), 0), ends
+    if plain in UNITS:
+        return UNIT, plain, UNITS[plain], ends
+    return (NAME if _NAME.match(core) else WORD if plain else NOTHING), plain, 0, ends
+
+
 class Tokens:
     """Words (bytes) -> index of what is known about them."""
 
@@ -61,7 +81,7 @@ class Tokens:
 
     def clear(self, room: int) -> None:
         self.index: dict[bytes, int] = {}
-        self.value, self.kind, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, bool)
+        self.value, self.kind, self.dimension, self.ends = np.zeros(room, np.uint64), np.zeros(room, np.int8), np.zeros(room, np.int8), np.zeros(room, bool)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
@@ -71,13 +91,13 @@ class Tokens:
             new = set(words)
             self.clear(max(self.most, len(new)))
         for raw in new:
-            w = raw.decode()
-            plain = _SIGNS.sub("", w).lower()
-            kind = NUMBER if _NUMBER.match(w) else UNIT if plain in UNITS else NAME if _NAME.match(w) else WORD if plain else NOTHING
-            if w.strip() == "%":
-                kind, plain = UNIT, "%"
             at = self.index[raw] = len(self.index)
-            self.value[at], self.kind[at], self.ends[at] = xxhash.xxh3_64_intdigest(plain), kind, bool(_ENDS.search(w))
+            # words of ASCII letters in lower case are most of all
+            if raw.isalpha() and raw.islower() and (w := raw.decode()) not in UNITS:
+                self.value[at], self.kind[at] = xxhash.xxh3_64_intdigest(raw), WORD
+                continue
+            kind, plain, self.dimension[at], self.ends[at] = kind_of(raw.decode())
+            self.value[at], self.kind[at] = xxhash.xxh3_64_intdigest(plain), kind
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
@@ -86,12 +106,12 @@ def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.
     split = [(t or b"").split() for t in texts]
     sizes = np.asarray([len(s) for s in split], np.int64)
     index = known.of([w for s in split for w in s])
-    value, kind, ends = known.value[index], known.kind[index], known.ends[index]
+    value, kind, dimension, ends = known.value[index], known.kind[index], known.dimension[index], known.ends[index]
     doc = np.repeat(np.arange(len(texts)), sizes)
     first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
     opens = first | np.append(True, ends[:-1])[: len(doc)]
     kept = kind != NOTHING
-    doc, value, kind, opens = doc[kept], value[kept], kind[kept], opens[kept]
+    doc, value, kind, dimension, opens = doc[kept], value[kept], kind[kept], dimension[kept], opens[kept]
     if not len(doc):
         return doc, value, np.zeros(0, bool), value
     same = np.append(False, doc[1:] == doc[:-1])
@@ -105,7 +125,10 @@ def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.
     mixed = value * (np.uint64(2) * (np.arange(len(value)) - np.repeat(at, np.diff(np.append(at, len(value))))).astype(np.uint64) + np.uint64(1))
     slot = type_[at] > 0
     whole = np.add.reduceat(mixed, at)
-    return doc[at], np.where(type_[at] == 1, QUANTITY, np.where(type_[at] == 2, NAMED, value[at])), slot, whole
+    # the dimension of a quantity is its last one: places of words with one count up, so the greatest is the last
+    last = np.maximum.reduceat(np.where(dimension > 0, np.arange(len(value)), -1), at)
+    measured = np.where(last >= 0, dimension[last], 0).astype(np.uint64)
+    return doc[at], np.where(type_[at] == 1, mix(QUANTITY + measured), np.where(type_[at] == 2, NAMED, value[at])), slot, whole
 
 
 def windows(doc: np.ndarray, token: np.ndarray, slot: np.ndarray, n_texts: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +180,24 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(made, WINDOWS)
 
 
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """Bits, eight a byte, of the column hash: 16 for each row, at most MOST_BITS."""
+    n = hashes.count()
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << max(1, 16 * n).bit_length()))
+    # set where the rows are, merged as bitmaps: what reaches the driver is bounded by the bits, not by the benchmark
+    places = hashes.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct().selectExpr("shiftright(bit, 3) AS byte", "shiftleft(1, CAST(bit & 7 AS INT)) AS bits")
+    found = places.groupBy("byte").agg(F.sum("bits").cast("short").alias("bits")).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of the hashes that the bitmap has."""
+    bit = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+
+
 def document_windows(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) -> DataFrame:
     """docs (doc_id, text) -> the windows whose hash the bitmap has; widths: those of short items."""
 
@@ -171,8 +212,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) ->
                 if len(token) < w:
                     continue
                 h = mix(rolling(token, w))
-                bit = (h & np.uint64(BITMAP - 1)).astype(np.int64)
-                start = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                start = has(bitmap, h)
                 start = start[doc[start] == doc[start + w - 1]]
                 if len(start):
                     yield _rows(batch.column("doc_id"), base, start, np.full(len(start), w), h[start], doc, slot, value)
@@ -283,10 +323,7 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     item = stored(ends(items).distinct())
     widths = [r[0] for r in item.select("width").distinct().collect()]
     both = item.select("width", F.col("head").alias("hash")).unionByName(item.select("width", F.col("tail").alias("hash"))).distinct()
-    # at most BITMAP small numbers
-    bits = np.asarray(both.select(F.col("hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"], np.int64)
-    bitmap = np.zeros(BITMAP, bool)
-    bitmap[bits] = True
+    bitmap = bitmap_of(both)
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -298,7 +335,7 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if len(code) < w:
                     continue
                 hs = mix(rolling(h, w))
-                start = np.flatnonzero(bitmap[(hs & np.uint64(BITMAP - 1)).astype(np.int64)])
+                start = has(bitmap, hs)
                 start = start[doc[start] == doc[start + w - 1]]
                 if len(start):
                     before = (start == 0) | ~on[start - 1]
@@ -318,14 +355,16 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_windows, n_matched, n_slots, n_changed: what leaked."""
     bench = stored(item_windows(items).distinct())
     sizes = bench.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + width - 1)"))))).alias("n_tokens"))
-    # at most BITMAP small numbers, and at most WINDOW widths
-    bits = np.asarray(bench.select(F.col("hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"], np.int64)
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
-    np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    bitmap = bitmap_of(bench.select("hash").distinct())
+    # at most WINDOW widths
     widths = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())
     met = stored(document_windows(docs, bitmap, widths))
     item = bench.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "width", "hash", F.col("slots").alias("item_slots"))
-    pairs = met.join(item, ["hash", "width"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "width", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
+    # a hash with many windows is split by salt, and its items go to each salt
+    hot = stored(met.groupBy("hash").agg(F.ceil(F.count("*") / HOT_ROWS).alias("salts")).where("salts > 1"))
+    salted = met.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.coalesce("salts", F.lit(1))))
+    item = item.join(hot, "hash", "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1) - 1)"))).drop("salts")
+    pairs = salted.join(item, ["hash", "width", "salt"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "width", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
     hits = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at", "width", "zipped")).alias("hits"))
     # fewer matches can't be enough: each holds WINDOW tokens at most
     able = hits.join(sizes, "item_id").where((WINDOW * F.size("hits") >= F.least(F.lit(LEAST_RUN), LEAST_COVER * F.col("n_tokens"))))

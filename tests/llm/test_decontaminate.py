@@ -5,21 +5,28 @@ import re
 
 from pyspark.sql import functions as F
 
+from foretide.llm import decontaminate
 from foretide.llm import decontaminate as d
 from foretide.llm.common import table
 
 
+#: Plain forms of what a word is; slow on long words.
+NUMBER = re.compile(r"[^\w]*[0-9][0-9.,:/]*([^\W\d_]{0,3})(%?)[^\w]*\Z")
+NAME = re.compile(r"[^\w]*[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ]+[^\w]*\Z")
+ENDS = re.compile(r"[.!?:][^\w]*\Z")
+
+
 def tokens(text):
     """(word or slot type, is a slot, value) of a text, word by word."""
     out, opens, before = [], True, None
     for w in (text or "").encode().split():
         w = w.decode()
-        plain = re.sub(r"[\W_]+", "", w).lower()
-        if d._NUMBER.match(w):
-            kind = "#"
+        plain, unit = re.sub(r"[\W_]+", "", w).lower(), 0
+        if m := NUMBER.match(w):
+            kind, unit = "#", d.UNITS["%"] if "%" in w[m.end(1) :] else d.UNITS.get(m[1].lower(), 0)
         elif plain in d.UNITS or w == "%":
-            kind = "u"
-        elif d._NAME.match(w):
+            kind, unit = "u", d.UNITS[plain or "%"]
+        elif NAME.match(w):
             kind = "N"
         else:
             kind = "w" if plain else ""
@@ -32,12 +39,14 @@ def tokens(text):
                 t = "N"
             else:
                 t = "w"
-            if t != "w" and out and out[-1][0] == t and out[-1][1]:
+            if t != "w" and out and out[-1][0][:1] == t and out[-1][1]:
                 out[-1][2].append(plain)
+                if unit:
+                    out[-1][0] = f"#{unit}"
             else:
-                out.append([t if t != "w" else plain, t != "w", [plain]])
+                out.append([(f"#{unit}" if t == "#" else t) if t != "w" else plain, t != "w", [plain]])
             before = kind
-        opens = bool(d._ENDS.search(w))
+        opens = bool(ENDS.search(w))
     return [(a, s, tuple(v)) for a, s, v in out]
 
 
@@ -132,3 +141,37 @@ def test_items_without_windows(spark):
     items = [(1, "What is 17 * 23 + 4?"), (2, "Solve 3x + 5 = 20 for x."), (3, "\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\uff1f"), (4, "?!"), (5, None)]
     docs = [(1, "Now: what is 17 * 23 + 4? Tell."), (2, "what is 17 * 23 + 45?"), (3, "what is 17 * 23 - 4?"), (4, "Please solve  3x + 5 = 20 for x"), (5, "\u95ee\uff1a\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u5ea6\u5462"), (6, "\u6c34\u7684\u6cb8\u70b9\u662f"), (7, None), (8, "")]
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {(1, 1), (4, 2), (5, 3)}
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    start = time.time()
+    for word in ("." * 1_000_000, "1" + "." * 1_000_000 + "x", "A" + "b" * 1_000_000 + "-" * 1_000_000 + "_", "9,:" * 300_000 + "kmx1", "!" * 999_999 + "a"):
+        decontaminate.kind_of(word)
+    assert time.time() - start < 20
+
+
+def test_kinds_of_words():
+    kinds = {w: decontaminate.kind_of(w)[0] for w in ("12", "(3.5)", "5kg,", "1/2", "7_", "Ada", "Ada's", "(Bo)", "ada", "km", "%", "--", "B2", "12abcd", "12%", "Él")}
+    one, unit, name, word, none = decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME, decontaminate.WORD, decontaminate.NOTHING
+    assert kinds == {"12": one, "(3.5)": one, "5kg,": one, "1/2": one, "7_": word, "Ada": name, "Ada's": word, "(Bo)": name, "ada": word, "km": unit, "%": unit, "--": none, "B2": word, "12abcd": word, "12%": one, "Él": name}
+    assert decontaminate.kind_of("5kg")[2] == decontaminate.kind_of("lbs")[2] != decontaminate.kind_of("km.")[2] > 0 and decontaminate.kind_of("end.)")[3]
+
+
+def test_dimensions_are_told_apart(spark):
+    item = "a rope of 12 meters hangs from the old tower while a bell of 30 kg swings slowly beside it"
+    same, other = item.replace("12 meters", "9 feet").replace("30 kg", "44 lbs"), item.replace("12 meters", "9 hours").replace("30 kg", "5 %")
+    item, same, other = (t.replace("meters", "m") for t in (item, same, other))
+    docs = spark.createDataFrame([(1, same), (2, other)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
+
+
+def test_hot_windows_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 3)
+    item = "how many blue birds sit on the roof of the red barn when the farmer comes home"
+    docs = spark.createDataFrame([(i, f"{item} number {i}") for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item + " again")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, i) for d in range(40) for i in (1, 2)]
