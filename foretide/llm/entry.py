@@ -66,15 +66,18 @@ def _op2_sql() -> str:
     def form(text: str) -> str:
         t = f"translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
         t = f"regexp_replace({t}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
-        t = f"trim(regexp_replace({t}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'))"
+        t = f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
         for one, other in licenses.SPELLINGS:
             t = f"replace({t}, '{other}', '{one}')"
         return t
 
+    listed = ", ".join(f"('{k}', '{v}')" for k, v in licenses.KNOWN_DIGESTS.items())
     known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
     return f"""
     WITH known(license, t) AS (VALUES {known}),
-    digests AS (SELECT sha256({form("t")}) AS canonical_sha256, min(license) AS license FROM known GROUP BY 1)
+    listed(license, d) AS (VALUES {listed}),
+    each AS (SELECT sha256({form("t")}) AS d, license FROM known UNION ALL SELECT d, license FROM listed),
+    digests AS (SELECT d AS canonical_sha256, min(license) AS license FROM each GROUP BY 1)
     SELECT d.doc_id, d.canonical_sha256, k.license
     FROM (SELECT doc_id, sha256({form("text")}) AS canonical_sha256 FROM documents) d LEFT JOIN digests k USING (canonical_sha256)
     """

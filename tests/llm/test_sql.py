@@ -94,3 +94,34 @@ def test_licenses(spark):
     got = licenses.scan_licenses(df).collect()
     assert len(got) == 8 and {(r["doc_id"], r["license"]) for r in got} == {(1, "MIT"), (2, None), (3, None), (4, None), (5, None), (None, "MIT"), (6, None)}
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    """Each text at every width of lines from 40 to 120, with typographic signs, with a holder and in capitals; Spark beside SQL."""
+    import textwrap
+
+    rows = []
+    for name, text in licenses.KNOWN.items():
+        text = text.replace("<year>", "2019").replace("<copyright holders>", "Ada Bell and others").replace("<owner>", "Ada Bell")
+        for width in range(40, 121):
+            whole = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n\n"))
+            rows.append((name, whole))
+            rows.append((name, whole.upper() if width % 2 else whole.replace('"', "\u201c").replace("'", "\u2019").replace("\n", "\r\n").replace("-", "\u2010")))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841 - read by the SQL
+    assert dict(con.execute(f"SELECT doc_id, license FROM ({entry.SQL['op2_licenses']})").fetchall()) == got
+
+
+def test_digests_of_published_texts(spark):
+    import os
+
+    here = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, open(f"{here}/{f}", encoding="utf-8").read(), name) for i, (name, f) in enumerate(files.items()) if os.path.exists(f"{here}/{f}")]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert got == {i: name for i, _, name in rows}
