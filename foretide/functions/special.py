@@ -118,6 +118,18 @@ def t_cdf_value(x: float, nu: float) -> float:
     return 0.5 + math.copysign(min(0.5, part * math.exp(-ln_b)), x)
 
 
+def t_ppf(p: Column, nu: Column, steps: int = 24) -> Column:
+    """Quantile of Student's t: Newton's steps from the normal quantile, which lies between 0 and it, so that they only move outwards."""
+    far = F.greatest(p, 1 - p)
+    start = norm_ppf(far)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda x, _: x + (far - t_cdf(x, nu)) / F.exp(t_logpdf(x, nu)))
+    return F.when((nu > 0) & (p > 0) & (p < 1), F.when(p == 0.5, F.lit(0.0)).when(p > 0.5, walk).otherwise(-walk))
+
+
+def predictive_quantile(mu: Column, sigma: Column, nu: Column, p: Column) -> Column:
+    return mu + sigma * t_ppf(p, nu)
+
+
 def predictive_sd(sigma: Column, nu: Column) -> Column:
     return F.when(nu > 2, sigma * F.sqrt(nu / (nu - 2)))
 

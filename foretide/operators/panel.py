@@ -88,10 +88,12 @@ def fill_from_neighbours(df: DataFrame, keys: list[str], order: str, period: int
     return d.where("_copy = 0").withColumn("filled", F.when(left, F.col("_l.v")).otherwise(F.col("_r.v"))).drop("_l", "_r", "_copy")
 
 
-def fill_row_mean(df: DataFrame, row: str) -> DataFrame:
-    """Missing values take the mean of their row (a latitude), rows without values that of the nearest row."""
-    means = fill_from_neighbours(df.groupBy(row).agg(F.avg("value").alias("value")).withColumn("_all", F.lit(1)), ["_all"], row).select(row, F.col("filled").alias("_mean"))
-    return df.join(F.broadcast(means), row).withColumn("filled", F.coalesce("value", "_mean")).drop("_mean")  # a row for each latitude
+def fill_row_mean(df: DataFrame, row: str, keys: list[str] | None = None) -> DataFrame:
+    """Missing values take the mean of their row (a latitude) within keys (a month), rows without values that of the nearest row."""
+    keys = keys or []
+    means = df.groupBy(*keys, row).agg(F.avg("value").alias("value"))
+    means = fill_from_neighbours(means if keys else means.withColumn("_all", F.lit(1)), keys or ["_all"], row).select(*keys, row, F.col("filled").alias("_mean"))
+    return df.join(means, [*keys, row]).withColumn("filled", F.coalesce("value", "_mean")).drop("_mean")
 
 
 # ---- series ----
@@ -162,11 +164,18 @@ def transform_scores(other: DataFrame, base: DataFrame, keys: list[str], cap: bo
 
 def quantile(df: DataFrame, keys: list[str], q: float, hazen: bool = True) -> DataFrame:
     """Quantiles with (k - 1/2)/n at the kth value (Hazen), or (k - 1)/(n - 1)."""
-    if not hazen:
-        return df.groupBy(*keys).agg(F.percentile("value", F.lit(q)).alias("quantile"))
-    s = df.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("s"))
-    n = F.size("s")
-    h = F.greatest(F.lit(1.0), F.least(n.cast("double"), q * n + 0.5))
-    low = F.floor(h).cast("int")
-    a, b = F.element_at("s", low), F.element_at("s", F.least(low + 1, n))
-    return s.select(*keys, (a + (h - low) * (b - a)).alias("quantile"))
+    return quantiles(df, keys, [q], hazen).select(*keys, F.col("quantiles")[0].alias("quantile"))
+
+
+def quantiles(df: DataFrame, keys: list[str], qs: list[float], hazen: bool = True) -> DataFrame:
+    """Several quantiles of each key as an array. Equal values are counted before keys meet, so a key costs its distinct values."""
+    counts = df.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("upto", F.sum("m").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(w))
+    at = [F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), q * F.col("n") + 0.5)) if hazen else 1 + q * (F.col("n") - 1) for q in qs]
+    # the kth value is the first whose running count reaches k
+    low = [F.floor(h + 1e-12) for h in at]
+    reach = lambda k: F.min(F.when(F.col("upto") >= k, F.col("value")))
+    parts = [reach(k).alias(f"a{i}") for i, k in enumerate(low)] + [reach(F.least(k + 1, F.col("n"))).alias(f"b{i}") for i, k in enumerate(low)] + [F.first(h - k).alias(f"f{i}") for i, (h, k) in enumerate(zip(at, low))]
+    g = upto.groupBy(*keys).agg(*parts)
+    return g.select(*keys, F.array(*(F.col(f"a{i}") + F.col(f"f{i}") * (F.col(f"b{i}") - F.col(f"a{i}")) for i in range(len(qs)))).alias("quantiles"))

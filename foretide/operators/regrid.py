@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foretide.functions.special import haversine
@@ -18,6 +18,18 @@ def midpoint_limits(centres: list[float], first: float, last: float) -> list[flo
     return [first, *((a + b) / 2 for a, b in zip(centres, centres[1:])), last]
 
 
+def cell_limits(axis: DataFrame, first: float, last: float, keys: list[str] | None = None) -> DataFrame:
+    """axis (keys, idx, centre) -> lo and hi of each cell: midpoints of neighbours, and first and last at the ends."""
+    w = Window.partitionBy(*keys).orderBy("idx") if keys else Window.orderBy("idx")  # an axis is short
+    lo = F.coalesce((F.lag("centre").over(w) + F.col("centre")) / 2, F.lit(float(first)))
+    return axis.withColumn("lo", lo).withColumn("hi", F.coalesce((F.lead("centre").over(w) + F.col("centre")) / 2, F.lit(float(last))))
+
+
+def nearest_index(x: Column, first: float, step: float, n: int) -> Column:
+    """The place, from 0, of the nearest of n evenly spaced centres."""
+    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.round((x - first) / step).cast("int")))
+
+
 def sine_limits(limits: list[float]) -> list[float]:
     """Latitude limits as sines, so that differences are areas."""
     return np.sin(np.radians(limits)).tolist()

@@ -79,18 +79,30 @@ def _cdf_at(level: Column) -> Column:
     return t_cdf((level - F.col("mu")) / F.col("sigma"), F.col("nu"))
 
 
-def category_scores(pred: DataFrame, placed: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """Mean probability and log score of the observed category."""
-    d = pred.join(placed, on).withColumn("p", _cdf_at(F.col("high")) - _cdf_at(F.col("low")))
-    return d.groupBy(*by, "category").agg(F.avg("p").alias("prob"), F.avg(-F.log("p")).alias("nll"), F.count("*").alias("n"))
+def _weighted(d: DataFrame, weights: DataFrame | None) -> DataFrame:
+    return d.withColumn("w", F.lit(1.0)) if weights is None else d.join(weights.select("site", "w"), "site")
 
 
-def forecast_frequencies(pred: DataFrame, clim: DataFrame, by: list[str], n: int = 100) -> DataFrame:
-    """Mean probability of each category under the predictions; thresholds are an array in the row, not a cross join."""
+def masked_weights(weights: DataFrame, mask: DataFrame, inside: bool = True) -> DataFrame:
+    """weights (site, w) times the share of each site that a mask (site, share) covers, or the rest of it; sites left without weight go."""
+    share = F.coalesce("share", F.lit(0.0))
+    return weights.join(mask, "site", "left").select("site", (F.col("w") * (share if inside else 1 - share)).alias("w")).where("w > 0")
+
+
+def category_scores(pred: DataFrame, placed: DataFrame, on: list[str], by: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """Mean probability and log score of the observed category, by weights of sites."""
+    d = _weighted(pred.join(placed, on), weights).withColumn("p", _cdf_at(F.col("high")) - _cdf_at(F.col("low")))
+    return d.groupBy(*by, "category").agg(_mean(F.col("p"), F.col("w")).alias("prob"), _mean(-F.log("p"), F.col("w")).alias("nll"), F.count("*").alias("n"))
+
+
+def forecast_frequencies(pred: DataFrame, clim: DataFrame, by: list[str], n: int = 100, weights: DataFrame | None = None) -> DataFrame:
+    """Mean probability of each category under the predictions, over sites by weight, then over times; thresholds are an array in the row, not a cross join."""
     levels = F.array(*map(F.lit, category_bounds(n)))
-    d = pred.join(clim, "site").select(*by, "mu", "sigma", "nu", "mean", "sd", F.posexplode(levels).alias("i", "level"))
+    times = ["t"] if "t" in pred.columns else []
+    d = _weighted(pred.join(clim, "site"), weights).select(*by, *times, "w", "mu", "sigma", "nu", "mean", "sd", F.posexplode(levels).alias("i", "level"))
     below = t_cdf((F.col("mean") + F.col("sd") * F.col("level") - F.col("mu")) / F.col("sigma"), F.col("nu"))
-    g = d.groupBy(*by, (F.col("i") + 1).alias("category")).agg(F.avg(below).alias("below"))
+    each = d.groupBy(*by, *times, (F.col("i") + 1).alias("category")).agg(_mean(below, F.col("w")).alias("below"))
+    g = each.groupBy(*by, "category").agg(F.avg("below").alias("below"))
     last = g.select(*by).distinct().select(*by, F.lit(n).alias("category"), F.lit(1.0).alias("below"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("category")
     return g.unionByName(last).select(*by, "category", (F.col("below") - F.lag("below", 1, 0.0).over(w)).alias("freq"))

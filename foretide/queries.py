@@ -317,9 +317,9 @@ def v_pit_histogram(spark, sf):
     return verify.pit_histogram(_scored(spark, sf), [], 20)
 
 
-@query(f"WITH {PRED}, r AS (SELECT pit, row_number() OVER (ORDER BY pit) AS i, count(*) OVER () AS n FROM sc) SELECT round(max(greatest(1.0 * i / n - pit, pit - 1.0 * (i - 1) / n)), 6) AS ks, any_value(n) AS n FROM r")
+@query(f"WITH {PRED}, r AS (SELECT pit, row_number() OVER (ORDER BY pit) AS i, count(*) OVER () AS n FROM sc) SELECT round(ks, 6) AS ks, n, round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 21), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * n * ks * ks))))), 6) AS kp FROM (SELECT max(greatest(1.0 * i / n - pit, pit - 1.0 * (i - 1) / n)) AS ks, any_value(n) AS n FROM r)")
 def v_ks(spark, sf):
-    return rounded(verify.ks_statistic(_scored(spark, sf), []).drop("kp"), 6)
+    return rounded(verify.ks_statistic(_scored(spark, sf), []), 6)
 
 
 @query()
@@ -328,22 +328,6 @@ def v_calibration(spark, sf):
     return rounded(spark.createDataFrame([(a, b)], "log_sigma_factor double, log_nu_factor double"), 3)
 
 
-@query()
-def v_categories(spark, sf):
-    obs = star.obs_panel(spark, sf)
-    clim = obs.where("t < 20").groupBy("site").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    placed = verify.climatology_category(obs, clim).select("site", "t", "category", "low", "high")
-    return rounded(verify.category_scores(_predictions(spark, sf), placed, ["site", "t"], []), 6)
-
-
-@query()
-def v_category_frequencies(spark, sf):
-    obs = star.obs_panel(spark, sf)
-    clim = obs.where("t < 20").groupBy("site").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    seen = verify.observed_frequencies(verify.climatology_category(obs.where("t >= 20"), clim)).withColumnRenamed("freq", "freq_obs")
-    return rounded(verify.forecast_frequencies(_predictions(spark, sf), clim, []).withColumnRenamed("freq", "freq_for").join(seen, "category"), 6)
-
-
 TERCILES = f"""WITH {OBS}, q AS (SELECT site, {sql_hazen('(1.0 / 3)')} AS lower, {sql_hazen('(2.0 / 3)')} AS upper FROM {HAZEN}), p AS ({sql_line('h', 'value', 't', '27').replace('round(', '(').replace(', 4)', ')')}),
 b AS (SELECT site, {sql_t_cdf('((lower - mu) / sigma)', 'nu')} AS below, 1 - {sql_t_cdf('((upper - mu) / sigma)', 'nu')} AS above FROM p JOIN q USING (site))
 SELECT site, round(below, 6) AS below, round(above, 6) AS above, CAST(CASE WHEN below > above THEN -len(list_filter(range(1, 7), lambda k: below > 0.3 + k / 10)) WHEN above > below THEN len(list_filter(range(1, 7), lambda k: above > 0.3 + k / 10)) ELSE 0 END AS INTEGER) AS tercile FROM b"""
