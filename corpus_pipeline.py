@@ -2,7 +2,7 @@
 
 Each stage works on all that the stage before it kept, is written as Parquet in the shared folder and read again. All
 but the last return the columns of documents. Rows without an id can't be linked, so they are never near duplicates;
-rows that share an id are one document and the near-duplicate stage keeps one of them. An empty table passes through
+rows that share an id are one document and the near-duplicate stage keeps the one whose columns have the least hash. An empty table passes through
 every stage as an empty table; extra columns stay until packing.
 """
 
@@ -25,7 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    # of rows that share an id always the same one: the least hash of all columns; equal rows are alike
+    hashed = docs.where("doc_id IS NOT NULL").withColumn("row_hash", F.xxhash64(*docs.columns))
+    least = hashed.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row_hash").alias("least_hash"))
+    whole = hashed.join(least, "doc_id").where("row_hash = least_hash").dropDuplicates(["doc_id"])
+    return whole.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
