@@ -118,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for c in (0, 1):
         part = known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(MOST_TRAIN)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * MOST_TRAIN rows of ids
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", "text").limit(2 * MOST_TRAIN)
+    # at most 2 * MOST_TRAIN rows of ids; of several texts of one id the least
+    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(order, "doc_id")
     rows = sample.collect()
     total = sum(sizes.values())
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], sizes.get(1, 0) / total if total else 0.0)
