@@ -23,8 +23,8 @@ END, PAST = "\u0001", "\u0002"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Urls of one host and salt, about.
-SWEEP_ROWS = 20_000
+#: Urls of one host and salt, about, or as many as the host has ends of rules: then rules at most double the rows.
+SWEEP_ROWS = 200
 
 
 def key_of(host: Column, path: Column) -> Column:
@@ -54,10 +54,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep
 
     # the levels of each url's host that have rules
     ends = rule_ends(rules)
-    ruled = ends.select(F.col("host").alias("level")).distinct()
+    ruled = ends.groupBy(F.col("host").alias("level")).agg(F.count("*").alias("n_ends"))
     levels = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> array_join(slice(split(host, '[.]'), n, size(split(host, '[.]'))), '.'))")
-    urls = p.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(levels).alias("level")).join(ruled, "level", "left_semi")
-    salts = urls.groupBy("level").agg(F.ceil(F.count("*") / sweep_rows).alias("salts"))
+    urls = p.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(levels).alias("level")).join(ruled, "level")
+    salts = urls.groupBy("level").agg(F.ceil(F.count("*") / F.greatest(F.lit(sweep_rows), F.max("n_ends"))).alias("salts"))
     asked = urls.join(salts, "level").select(F.col("level"), F.pmod(F.xxhash64("host", "path"), "salts").alias("salt"), key_of(F.col("level"), F.col("path")).alias("key"), F.lit(True).alias("is_url"), "host", "path")
     swept = asked.unionByName(
         ends.withColumnRenamed("host", "level").join(salts, "level").select("level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "key", F.lit(False).alias("is_url"), "active"),
