@@ -5,8 +5,8 @@ time linear in the text). The random field adds what patterns of that strictness
 a word such as "password="), identity numbers and phone numbers without a country code. It reads every word of every text. A
 word's features are its shape (runs of character classes), its length, its number of digits and runs, whether it is one
 of a few cue words, and the shapes, digits and cues of the words next to it. The field is trained by gradient ascent of
-the conditional likelihood on the small labelled table `labelled_examples`, and decoded by Viterbi in numpy batches: the
-words of a batch of texts are one sequence, cut every `CORE` words, each part decoded with `MARGIN` words around it. Of
+the conditional likelihood on the small labelled table `labelled_examples`, and decoded by Viterbi in numpy batches: each
+text is cut every `CORE` words, each part decoded with `MARGIN` words around it. Of
 a decoded span, what a pattern's span covers is taken off. Names of persons and places are not looked for.
 
 Rows: a null or empty text has no spans; repeated rows and ids are scanned each on its own; very long texts and words
@@ -174,6 +174,11 @@ def viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray
     return out
 
 
+def slots(words: list) -> int:
+    """Places of a text: its parts begin with it, and two empty places or more part it from the next, so no text changes another's states."""
+    return -(-(len(words) + 2) // CORE) * CORE
+
+
 class Emissions(dict):
     """Word (bytes) -> row of what it adds to the scores of the states of itself, the word before, the one after the next, and the next; row 0 is no word.
 
@@ -208,14 +213,14 @@ class Emissions(dict):
         return found
 
     def states(self, split: list[list[bytes]]) -> np.ndarray:
-        """The best states of the words of all texts, end to end, a 0 after each text."""
+        """The best states of the words of all texts, end to end, each text filled up with zeros to `slots` words."""
         if len(self) > self.most:
             self.clear()
-        flat = np.zeros(sum(len(s) + 1 for s in split), np.int64)
+        flat = np.zeros(sum(map(slots, split)), np.int64)
         at = 0
         for words in split:
             flat[at : at + len(words)] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            at += len(words) + 1
+            at += slots(words)
         n = -(-len(flat) // CORE)
         padded = np.zeros(n * CORE + 2 * MARGIN + 3, np.int64)
         padded[MARGIN + 2 : MARGIN + 2 + len(flat)] = flat
@@ -343,7 +348,7 @@ def model_spans(texts: list[str], known: Emissions) -> list[list[tuple[int, int,
     states, out, at = known.states(split), [], 0
     for text, words in zip(texts, split):
         best = states[at : at + len(words)]
-        at += len(words) + 1
+        at += slots(words)
         out.append([])
         if not best.any():
             continue

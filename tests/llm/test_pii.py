@@ -109,6 +109,16 @@ def test_field_on_sentences_written_by_hand():
     assert every == 12 and right >= 11 and wrong <= 1
 
 
+def test_states_of_a_text_do_not_depend_on_others():
+    known = pii.Emissions(pii.train(pii.labelled_examples(60), steps=20))
+    split = [t.encode().split() for t, _ in pii.labelled_examples(80, seed=3)] + [[b"x"] * 46, [b"y1"] * 47, [], [b"z22"] * 200]
+    whole, at = known.states(split), 0
+    for words in split:
+        alone = known.states([words])
+        assert (whole[at : at + len(words)] == alone[: len(words)]).all()
+        at += pii.slots(words)
+
+
 def test_viterbi_against_all_paths():
     r = np.random.default_rng(1)
     emit, first, move = r.normal(size=(30, 4, 3)), r.normal(size=3), r.normal(size=(3, 3))

@@ -42,9 +42,9 @@ def test_stages(spark):
     four = stages["pii"](spark, three, SF).cache()
     assert four.columns == columns and four.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     before = {r["doc_id"]: r["text"] for r in three.collect()}
-    field, shapes = pii.train(pii.labelled_examples()), pii.Shapes()
+    known = pii.Emissions(pii.train(pii.labelled_examples()))
     for r in four.collect():
-        ((_, spans),) = pii.all_spans([before[r["doc_id"]]], field, shapes)
+        ((_, spans),) = pii.all_spans([before[r["doc_id"]]], known)
         assert r["text"] == pii.redacted(before[r["doc_id"]], spans) and r["n_chars"] == len(r["text"])
 
     five = stages["packing"](spark, four, SF).collect()
