@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from foretide.functions import special
 from foretide.operators import panel, regrid
 from foretide.plans import predict, study, verify
-from foretide.queries import FCST, HAZEN, METHOD_SQL, OBS, OPTIONS, PRED, SQL, SUMMARY, T_PRED, _predictions, _scored, query, rounded, sql_hazen, sql_line, sql_t_cdf
+from foretide.queries import FCST, HAZEN, METHOD_SQL, OBS, OPTIONS, PRED, SQL, SUMMARY, T_PRED, _plain, _predictions, _scored, query, rounded, sql_hazen, sql_line, sql_t_cdf
 from foretide.sources import readers, star
 
-
-def _plain(sql: str) -> str:
-    """The same SQL without rounding."""
-    return sql.replace("round(", "(").replace(", 4)", ")")
-
-
 LINE = _plain(sql_line("h", "value", "t", "27"))
 MODEL_LINE = _plain(sql_line("j", "(y - m)", "t", "27"))
 

@@ -62,6 +62,11 @@ def sql_line(source: str, y: str, x: str, at: str) -> str:
     CAST(count(*) - 2 AS DOUBLE) AS nu FROM {source} GROUP BY site"""
 
 
+def _plain(sql: str) -> str:
+    """The same SQL without rounding."""
+    return sql.replace("round(", "(").replace(", 4)", ")")
+
+
 def sql_t_cdf(x: str, nu: str) -> str:
     angle = f"atan(abs({x}) / sqrt({nu}))"
     simpson = f"list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos({angle} * i / 400), {nu} - 1))) * {angle} / 1200"
@@ -108,12 +113,15 @@ METHOD_SQL = {
 OPTIONS = predict.Options(t_pred=T_PRED, timescale=12.0)
 #: Each method's first name.
 METHODS = list({f: n for n, f in reversed(predict.REGISTRY.items())}.values())[::-1]
+#: Their scales are near 1e9, where more decimals would be those of the last bits of a sum.
+HUGE = ("rawmodel_pooled", "rawmodel_linear_pooled", "rawmultimodel_pooled")
 
 
 def _method(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fcst = star.fcst_panel(spark, sf_dir)
-        return rounded(predict.predict(name, star.obs_panel(spark, sf_dir), fcst, OPTIONS, star.site_weights(spark, sf_dir)))
+        out = predict.predict(name, star.obs_panel(spark, sf_dir), fcst, OPTIONS, star.site_weights(spark, sf_dir))
+        return rounded(out.withColumn("sigma", F.round("sigma", 0)) if name in HUGE else out)
 
     return run
 
