@@ -175,6 +175,12 @@ def sql_norm_ppf(p: str) -> str:
 SQL["b_normal_scores"] = f"""WITH {OBS}, r AS (SELECT site, t, value, rank() OVER (PARTITION BY site ORDER BY value) + (count(*) OVER (PARTITION BY site, value) - 1) / 2 AS avg_rank, count(*) OVER (PARTITION BY site) AS n FROM h)
 SELECT site, t, round(value, 6) AS value, avg_rank, round({sql_norm_ppf('(avg_rank / (n + 1))')}, 6) AS score FROM r"""
 
+SQL["b_transform_scores"] = f"""WITH {OBS}, r AS (SELECT site, value, rank() OVER (PARTITION BY site ORDER BY value) AS r, count(*) OVER (PARTITION BY site) AS n FROM obs WHERE t < 26),
+k AS (SELECT site, list(value ORDER BY value) AS x, list({sql_norm_ppf('(r / (n + 1.0))')} ORDER BY value) AS s, count(*) AS n FROM r GROUP BY site),
+o AS (SELECT *, greatest(1, least(n - 1, len(list_filter(x, lambda e: e <= value)))) AS i, count(*) OVER (PARTITION BY site) AS m FROM obs JOIN k USING (site) WHERE t >= 26),
+f AS (SELECT *, s[i] + (value - x[i]) * (s[i + 1] - s[i]) / (x[i + 1] - x[i]) AS score, -{sql_norm_ppf('(1 / (n + m + 1.0))')} AS top FROM o)
+SELECT site, t, round(value, 6) AS value, round(greatest(-top, least(top, score)), 6) AS score FROM f"""
+
 
 QUANTITIES = "u AS (SELECT CAST(extract(year FROM l_shipdate) AS INTEGER) AS year, CAST(extract(month FROM l_shipdate) AS INTEGER) AS month, CAST(l_quantity AS INTEGER) - 1 AS lat, CAST(l_linenumber AS INTEGER) % 4 AS lon, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2, 3, 4)"
 
