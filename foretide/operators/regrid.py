@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,19 +104,39 @@ def from_equal_area(df: DataFrame, lat: DataFrame, lon_by_band: DataFrame, keys:
     return regrid(d.withColumnRenamed("band", "lat"), {"lat": lat}, [*keys, "lon"])
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """points (id, lat, lon) with the site of the nearest grid cell. The grid, not the data, is broadcast."""
+def _cube(lat: Column, lon: Column, side: float) -> list[Column]:
+    """The cube of space that a place on the unit sphere lies in; cubes know neither poles nor a date line."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.floor(c / side) for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
+def _near(points: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
+    """points (id, lat, lon) with each grid cell within `reach` degrees: id, site, d. An equi-join of cubes: cells go to 27 cubes each."""
+    side = 2 * math.sin(math.radians(min(reach, 180.0)) / 2) * (1 + 1e-9)
+    p = points.select("id", "lat", "lon", *(c.alias(f"c{i}") for i, c in enumerate(_cube(F.col("lat"), F.col("lon"), side))))
+    steps = F.explode(F.array(*(F.array(*map(F.lit, at)) for at in itertools.product((-1, 0, 1), repeat=3))))
+    g = grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon"), steps.alias("_s"))
+    g = g.select("site", "glat", "glon", *((c + F.col("_s")[i]).alias(f"c{i}") for i, c in enumerate(_cube(F.col("glat"), F.col("glon"), side))))
     d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-    g = F.broadcast(grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon")))
-    return points.join(g, F.lit(True)).groupBy("id").agg(F.min_by("site", F.struct(d.alias("d"), F.col("site").alias("s"))).alias("site"), F.min(d).alias("distance"))
+    return p.join(g, ["c0", "c1", "c2"]).select("id", "site", d.alias("d")).where(F.col("d") <= reach)
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, reach: float = 2.0) -> DataFrame:
+    """points (id, lat, lon) with the site of the nearest grid cell, the smaller site of equally near ones.
+
+    Cells within `reach` degrees come from an equi-join; only points that have none are compared with the whole grid.
+    """
+    near = _near(points, grid, reach)
+    far = points.join(near.select("id").distinct(), "id", "left_anti")
+    d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
+    rest = far.crossJoin(grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon"))).select("id", "site", d.alias("d"))
+    return near.unionByName(rest).groupBy("id").agg(F.min_by("site", F.struct("d", "site")).alias("site"), F.min("d").alias("distance"))
 
 
 def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5) -> DataFrame:
     """Means of site values around each point with weights exp(-distance/scale) within a radius, where some site is near."""
-    d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-    g = F.broadcast(grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon")))
-    w = points.join(g, F.abs(F.col("lat") - F.col("glat")) < radius).withColumn("w", F.exp(-d / scale)).where(d < radius)
-    j = w.join(values, "site")
+    w = _near(points, grid, radius).where(F.col("d") < radius).withColumn("w", F.exp(-F.col("d") / scale))
+    j = w.join(values.select("site", "value").where(F.col("value").isNotNull()), "site")
     return j.groupBy("id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"), F.max("w").alias("best")).where(F.col("best") >= F.exp(F.lit(-nearest / scale))).drop("best")
 
 

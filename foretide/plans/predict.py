@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -513,3 +513,19 @@ def predict(name: str, obs: DataFrame, fcst: DataFrame | None, options: Options,
     if name not in REGISTRY:
         raise ValueError(f"unknown method {name}; known: {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name](Inputs(obs, fcst, weights, options))
+
+
+#: Methods of the history alone that only look at times relative to the target, so that one plan serves many targets.
+RELATIVE = ("history", "linear", "ma")
+
+
+def predict_targets(name: str, obs: DataFrame, times: list[int], options: Options | None = None) -> DataFrame:
+    """site, t, mu, sigma, nu of several target times, each from what was observed before it, in one scan and one shuffle."""
+    if name not in RELATIVE:
+        raise ValueError(f"{name} is not one of {', '.join(RELATIVE)}")
+    if options is not None and options.clim is not None:
+        raise ValueError("a climatology names times, and here times are relative to the target")
+    each = obs.withColumn("target", F.explode(F.array(*map(F.lit, times)))).where(F.col("t") < F.col("target"))
+    moved = each.select(F.struct("site", "target").alias("site"), (F.col("t") - F.col("target")).alias("t"), "value")
+    out = REGISTRY[name](Inputs(moved, None, None, replace(options, t_pred=0) if options else Options(t_pred=0)))
+    return out.select("site.site", F.col("site.target").alias("t"), "mu", "sigma", "nu")

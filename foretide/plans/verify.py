@@ -43,15 +43,20 @@ def pit_histogram(s: DataFrame, by: list[str], bins: int = 100) -> DataFrame:
 def ks_statistic(s: DataFrame, by: list[str], slices: int = 64) -> DataFrame:
     """Kolmogorov-Smirnov distance of pit to the uniform distribution, and its asymptotic p.
 
-    Ranks in two steps: counts of narrow slices of pit, then ranks within a slice, so that no task sorts all rows.
+    Equal values are counted first. Ranks come in two steps: slices of about as many values each, by approximate
+    quantiles of a group, then running counts within a slice, so that no task sorts all rows wherever pit gathers.
     """
-    d = s.where("pit IS NOT NULL").select(*by, "pit", F.least(F.floor(F.col("pit") * slices), F.lit(slices - 1)).cast("int").alias("slice"))
-    counts = d.groupBy(*by, "slice").agg(F.count("*").alias("m"))
+    each = s.where("pit IS NOT NULL").groupBy(*by, "pit").agg(F.count("*").alias("m"))
+    bounds = F.percentile_approx("pit", [i / slices for i in range(1, slices)], 100 * slices).alias("bounds")
+    limits = each.groupBy(*by).agg(bounds) if by else each.agg(bounds)  # one row a group
+    placed = each.join(limits, by) if by else each.crossJoin(F.broadcast(limits))
+    d = placed.select(*by, "pit", "m", F.size(F.filter("bounds", lambda b: b < F.col("pit"))).alias("slice"))
+    counts = d.groupBy(*by, "slice").agg(F.sum("m").alias("of_slice"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("m").over(w)).drop("m")
-    r = d.join(F.broadcast(counts), [*by, "slice"])  # at most `slices` rows a group
-    i = F.col("before") + F.row_number().over(Window.partitionBy(*by, "slice").orderBy("pit"))
-    r = r.withColumn("gap", F.greatest(i / F.col("total") - F.col("pit"), F.col("pit") - (i - 1) / F.col("total")))
+    counts = counts.withColumn("before", F.coalesce(F.sum("of_slice").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("of_slice").over(w)).drop("of_slice")
+    r = d.join(counts, [*by, "slice"])  # at most `slices` rows a group
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy(*by, "slice").orderBy("pit").rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("upto", upto).withColumn("gap", F.greatest(F.col("upto") / F.col("total") - F.col("pit"), F.col("pit") - (F.col("upto") - F.col("m")) / F.col("total")))
     agg = [F.max("gap").alias("ks"), F.first("total").alias("n")]
     g = r.groupBy(*by).agg(*agg) if by else r.agg(*agg)
     x = F.pow("ks", 2) * F.col("n")

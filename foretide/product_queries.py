@@ -207,3 +207,118 @@ def s_forecasts(spark, sf):
     raw = l.select(F.concat("l_linestatus", "l_returnflag").alias("model"), F.col("l_quantity").cast("long").alias("site"), F.year(init).alias("init_year"), F.month(init).alias("init_month"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.col("l_linenumber").alias("member"), value.alias("value"))
     d = readers.read_forecasts(raw, 1)
     return d.select("model", "site", "year", "month", F.round(F.log("vals_mean"), 9).alias("vals_mean"), F.round(F.log("vals_sd"), 9).alias("vals_sd"), "nr")
+
+
+# ---- places on the sphere ----
+
+HAVERSINE = "degrees(2 * asin(sqrt(least(1.0, pow(sin(radians(glat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(glat)) * pow(sin(radians(glon - lon) / 2), 2)))))"
+PLACES = """p AS (SELECT c_custkey AS id, CAST(c_custkey * 7 % 1741 AS DOUBLE) / 10 - 87 AS lat, CAST(c_custkey * 13 % 3593 AS DOUBLE) / 10 AS lon FROM customer),
+g AS (SELECT s_suppkey AS site, CAST(s_suppkey * 29 % 171 AS DOUBLE) - 85 AS glat, CAST(s_suppkey * 37 % 359 AS DOUBLE) AS glon, s_acctbal AS value FROM supplier)"""
+
+
+def _places(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers set down on the sphere by their keys."""
+    c, s = star.table(spark, sf, "customer"), star.table(spark, sf, "supplier")
+    at = lambda key, by, over: (F.col(key) * by % over).cast("double")
+    points = c.select(F.col("c_custkey").alias("id"), (at("c_custkey", 7, 1741) / 10 - 87).alias("lat"), (at("c_custkey", 13, 3593) / 10).alias("lon"))
+    return points, s.select(F.col("s_suppkey").alias("site"), (at("s_suppkey", 29, 171) - 85).alias("lat"), at("s_suppkey", 37, 359).alias("lon"), F.col("s_acctbal").alias("value"))
+
+
+@query(f"WITH {PLACES}, d AS (SELECT id, site, {HAVERSINE} AS d FROM p, g) SELECT id, site, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, site) = 1")
+def j_nearest_cell(spark, sf):
+    points, grid = _places(spark, sf)
+    return rounded(regrid.nearest_cell(points, grid, 10.0), 6)
+
+
+@query(f"WITH {PLACES}, d AS (SELECT id, value, {HAVERSINE} AS d FROM p, g) SELECT id, round(sum(exp(-d / 2) * value) / sum(exp(-d / 2)), 4) AS value FROM d WHERE d < 8 AND value IS NOT NULL GROUP BY id HAVING min(d) <= 3")
+def r_distance_weighted(spark, sf):
+    points, grid = _places(spark, sf)
+    return rounded(regrid.distance_weighted(points, grid, grid, scale=2.0, nearest=3.0))
+
+
+# ---- more grids: periodic axes, weights, equal areas ----
+
+CELLS = """c AS (SELECT CAST(l_quantity AS INTEGER) - 1 AS lat, CAST(l_partkey % 12 AS INTEGER) AS lon, avg(l_extendedprice) AS value, avg(l_discount) + 0.01 AS share FROM lineitem WHERE l_quantity <= 10 GROUP BY 1, 2)"""
+
+
+def sql_overlap(name: str, old: str, new: str, period: str = "") -> str:
+    """CTE of src, dst, w between the axes old and new (idx, lo, hi)."""
+    turned = f"(SELECT idx, lo + {period} * s AS lo, hi + {period} * s AS hi FROM {old}, (SELECT unnest([-1, 0, 1]) AS s))" if period else old
+    part = f"SELECT o.idx AS src, n.idx AS dst, sum(least(o.hi, n.hi) - greatest(o.lo, n.lo)) AS part FROM {turned} o JOIN {new} n ON o.lo < n.hi AND n.lo < o.hi GROUP BY 1, 2"
+    return f"{name} AS (SELECT src, dst, part / sum(part) OVER (PARTITION BY dst) AS w FROM ({part}))"
+
+
+def _cells(spark, sf) -> DataFrame:
+    d = star.table(spark, sf, "lineitem").where("l_quantity <= 10")
+    return d.groupBy((F.col("l_quantity").cast("int") - 1).alias("lat"), (F.col("l_partkey") % 12).cast("int").alias("lon")).agg(F.avg("l_extendedprice").alias("value"), (F.avg("l_discount") + 0.01).alias("share"))
+
+
+OLD_LON = "ol AS (SELECT i AS idx, 30.0 * i AS lo, 30.0 * i + 30 AS hi FROM range(0, 12) r(i))"
+NEW_LON = "nl AS (SELECT i AS idx, 40.0 * i - 20 AS lo, 40.0 * i + 20 AS hi FROM range(0, 9) r(i))"
+OLD_LAT = "oa AS (SELECT i AS idx, sin(radians(18.0 * i - 90)) AS lo, sin(radians(18.0 * i - 72)) AS hi FROM range(0, 10) r(i))"
+NEW_LAT = "na AS (SELECT i AS idx, sin(radians(30.0 * i - 90)) AS lo, sin(radians(30.0 * i - 60)) AS hi FROM range(0, 6) r(i))"
+ON_GRID = f"{CELLS}, {OLD_LON}, {NEW_LON}, {OLD_LAT}, {NEW_LAT}, {sql_overlap('wl', 'ol', 'nl', '360')}, {sql_overlap('wa', 'oa', 'na')}, x AS (SELECT CAST(wa.dst AS INTEGER) AS lat, CAST(wl.dst AS INTEGER) AS lon, wa.w * wl.w AS w, value, share FROM c JOIN wa ON c.lat = wa.src JOIN wl ON c.lon = wl.src)"
+
+
+def _grid_weights(spark) -> dict[str, DataFrame]:
+    lat = [regrid.axis_cells(spark, regrid.sine_limits([-90.0 + step * i for i in range(round(180 / step) + 1)])) for step in (18.0, 30.0)]
+    lon = [regrid.axis_cells(spark, [30.0 * i for i in range(13)]), regrid.axis_cells(spark, [40.0 * i - 20 for i in range(10)])]
+    return {"lat": regrid.overlap_weights(*lat), "lon": regrid.overlap_weights(*lon, 360.0)}
+
+
+@query(f"WITH {ON_GRID} SELECT lat, lon, round(sum(w * value), 4) AS value FROM x GROUP BY 1, 2")
+def r_periodic(spark, sf):
+    return rounded(regrid.regrid(_cells(spark, sf).select("lat", "lon", "value"), _grid_weights(spark)))
+
+
+@query(f"WITH {ON_GRID} SELECT lat, lon, round(sum(w * value * share) / sum(w * share), 4) AS value FROM x GROUP BY 1, 2")
+def r_weighted(spark, sf):
+    return rounded(regrid.weighted_regrid(_cells(spark, sf), _grid_weights(spark), "share"))
+
+
+BAND_POINTS = (4, 7, 9, 9, 7, 4)  # cells of about equal area
+BANDS = f"bp AS (SELECT b, n, p AS idx, 360.0 * p / n AS lo, 360.0 * (p + 1) / n AS hi FROM (SELECT unnest(range(0, {len(BAND_POINTS)})) AS b, unnest({list(BAND_POINTS)}) AS n), range(0, 9) r(p) WHERE p < n)"
+TO_BANDS = f"""{CELLS}, {OLD_LON}, {OLD_LAT}, {NEW_LAT}, {BANDS}, {sql_overlap('wa', 'oa', 'na')},
+la AS (SELECT wa.dst AS b, lon, sum(w * value) AS value FROM c JOIN wa ON c.lat = wa.src GROUP BY 1, 2),
+bw AS (SELECT b, o.idx AS lon, p.idx AS point, n, (least(o.hi, p.hi) - greatest(o.lo, p.lo)) AS part FROM ol o JOIN bp p ON o.lo < p.hi AND p.lo < o.hi),
+ea AS (SELECT b, point, sum(part * n / 360 * value) AS value FROM la JOIN bw USING (b, lon) GROUP BY 1, 2)"""
+
+
+def _bands(spark, sf) -> DataFrame:
+    lon = regrid.axis_cells(spark, [30.0 * i for i in range(13)])
+    by_band = regrid.bands_weights({b: regrid.overlap_weights(lon, regrid.axis_cells(spark, [360.0 * i / n for i in range(n + 1)])) for b, n in enumerate(BAND_POINTS)})
+    return regrid.to_equal_area(_cells(spark, sf).select("lat", "lon", "value"), _grid_weights(spark)["lat"], by_band)
+
+
+@query(f"WITH {TO_BANDS} SELECT CAST(b AS INTEGER) AS band, CAST(point AS INTEGER) AS point, round(value, 4) AS value FROM ea")
+def r_to_equal_area(spark, sf):
+    return rounded(_bands(spark, sf))
+
+
+@query(f"""WITH {TO_BANDS}, lo AS (SELECT b, lon, sum(part / 30 * value) AS value FROM ea JOIN bw USING (b, point) GROUP BY 1, 2), {sql_overlap('wb', 'na', 'oa')}
+SELECT CAST(dst AS INTEGER) AS lat, CAST(lon AS INTEGER) AS lon, round(sum(w * value), 4) AS value FROM lo JOIN wb ON b = wb.src GROUP BY 1, 2""")
+def r_from_equal_area(spark, sf):
+    lon = regrid.axis_cells(spark, [30.0 * i for i in range(13)])
+    back = regrid.bands_weights({b: regrid.overlap_weights(regrid.axis_cells(spark, [360.0 * i / n for i in range(n + 1)]), lon) for b, n in enumerate(BAND_POINTS)})
+    lat = [regrid.axis_cells(spark, regrid.sine_limits([-90.0 + step * i for i in range(round(180 / step) + 1)])) for step in (30.0, 18.0)]
+    return rounded(regrid.from_equal_area(_bands(spark, sf), regrid.overlap_weights(*lat), back))
+
+
+# ---- models, months, chances ----
+
+
+@query("""WITH e AS (SELECT event_type AS model, CAST(user_id % 50 AS BIGINT) AS site, CASE WHEN NOT (event_type = 'click' AND user_id % 50 = 3) THEN value END AS value FROM events),
+n AS (SELECT DISTINCT model FROM (SELECT model, site FROM e GROUP BY 1, 2 HAVING count(value) = 0)) SELECT model, site, count(*) AS n FROM e WHERE model NOT IN (SELECT model FROM n) GROUP BY 1, 2""")
+def p_usable_models(spark, sf):
+    e = star.table(spark, sf, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 50).cast("long").alias("site"), "value")
+    e = e.withColumn("value", F.when(~((F.col("model") == "click") & (F.col("site") == 3)), F.col("value")))
+    return panel.usable_models(e).groupBy("model", "site").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {OBS}, l AS ({LINE}), x AS (SELECT l.site, {sql_t_cdf('((mu - 250000) / sigma)', 'nu')} AS p, obs.value > 250000 AS above FROM l JOIN obs ON obs.site = l.site AND obs.t = 27)
+SELECT site, round(p, 6) AS p, above, round(-(CASE WHEN above THEN ln(p) ELSE ln(1 - p) END), 6) AS nll FROM x""")
+def f_exceedance(spark, sf):
+    obs = star.obs_panel(spark, sf)
+    p = predict.predict("linear", obs, None, OPTIONS).join(obs.where(f"t = {T_PRED}").select("site", (F.col("value") > 250000).alias("above")), "site")
+    p = p.withColumn("p", special.exceedance(F.col("mu"), F.col("sigma"), F.col("nu"), F.lit(250000.0)))
+    return rounded(p.select("site", "p", "above", special.log_score(F.col("p"), F.col("above")).alias("nll")), 6)

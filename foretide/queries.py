@@ -284,11 +284,7 @@ def r_regrid_2d(spark, sf):
 
 def _predictions(spark, sf, times=range(20, 28), name="linear") -> DataFrame:
     """Predictions of several target times from the history before each."""
-    out, obs = None, star.obs_panel(spark, sf)
-    for t in times:
-        p = predict.predict(name, obs, None, predict.Options(t_pred=t)).withColumn("t", F.lit(t))
-        out = p if out is None else out.unionByName(p)
-    return out
+    return predict.predict_targets(name, star.obs_panel(spark, sf), list(times))
 
 
 def _scored(spark, sf) -> DataFrame:

@@ -12,22 +12,23 @@ from pyspark.sql import functions as F
 def read_flat_grid(spark: SparkSession, path: str, n_lon: int, n_lat: int, start_year: int, missing: float = -999.0) -> DataFrame:
     """Records of big-endian 32-bit floats, one month each, every record between two 4-byte lengths.
 
-    Files are cut into one row a record by Spark, decoded where they are read: year, month, lat, lon (indices), value.
+    A task reads some records of a file, never a whole one: year, month, lat, lon (indices), value.
     """
     size = 4 * n_lon * n_lat + 8
-    raw = spark.read.format("binaryFile").load(path).select("content", F.explode(F.sequence(F.lit(0), (F.length("content") / size).cast("int") - 1)).alias("i"))
-    records = raw.select("i", F.expr(f"substring(content, {size} * i + 5, {size - 8})").alias("body"))
+    kind = "org.apache.hadoop.io.", "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, kind[1], f"{kind[0]}LongWritable", f"{kind[0]}BytesWritable", conf={f"{kind[1]}.recordLength": str(size)})
+    raw = spark.createDataFrame(records.map(lambda r: (r[0], bytearray(r[1]))), "i long, body binary")
 
     def decode(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in frames:
             for i, body in zip(pdf["i"], pdf["body"]):
-                v = np.frombuffer(body, ">f4").astype(float)
+                v = np.frombuffer(body, ">f4")[1:-1].astype(float)
                 lat, lon = np.divmod(np.arange(len(v)), n_lon)
                 yield pd.DataFrame({"year": np.int32(start_year + i // 12), "month": np.int32(i % 12 + 1), "lat": lat.astype(np.int32), "lon": lon.astype(np.int32), "value": v})
 
-    out = records.mapInPandas(decode, "year int, month int, lat int, lon int, value double")
+    out = raw.mapInPandas(decode, "year int, month int, lat int, lon int, value double")
     return out.withColumn("value", F.when((F.col("value") != missing) & ~F.isnan("value"), F.col("value")))
 
 
