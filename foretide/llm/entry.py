@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import chat, decontaminate, licenses, neardup, packing, pii, repeats, topk, toxicity, urls
+from foretide.llm import chat, decontaminate, licenses, merkle, neardup, packing, pii, repeats, topk, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
@@ -59,7 +59,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls}
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls, "op13_manifest": op13_manifest}
 
 
 def _op2_sql() -> str:
@@ -136,4 +140,37 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL = {"op4_topk": OP4_SQL, "op2_licenses": _op2_sql(), "op9_preference": OP9_SQL, "op10_urls": OP10_SQL}
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+# CRC-32 byte by byte and bit by bit; a tree is a list of digests a level; a proof is a list of "before|after"
+_BIT = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END"
+_CRC = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda x, y: {_BIT}))"
+_UP = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))"
+_RUN = "3 * (place // 3)"
+OP13_SQL = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS leaf,
+    sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {_field("replace(text, chr(10), '')")}) AS spoilt,
+    doc_id IS NOT NULL AND xor({_CRC}, CAST(4294967295 AS BIGINT)) % 2 = 0 AS chosen
+  FROM documents),
+d AS (SELECT *, CASE WHEN chosen THEN spoilt ELSE leaf END AS now, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM f),
+lv(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY i) FROM d GROUP BY tree UNION ALL SELECT tree, level + 1, {_UP} FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT tree, nodes[1] AS subroot FROM lv WHERE len(nodes) = 1),
+tv(level, nodes) AS (SELECT 0, list(subroot ORDER BY tree) FROM sub UNION ALL SELECT level + 1, {_UP} FROM tv WHERE len(nodes) > 1),
+steps AS (
+  SELECT d.tree, d.i, lv.level AS k, lv.nodes, i // CAST(pow(3, lv.level) AS BIGINT) AS place FROM d JOIN lv ON lv.tree = d.tree WHERE len(lv.nodes) > 1
+  UNION ALL SELECT d.tree, d.i, 1000 + tv.level, tv.nodes, d.tree // CAST(pow(3, tv.level) AS BIGINT) AS place FROM d, tv WHERE len(tv.nodes) > 1),
+sides AS (SELECT tree, i, k, array_to_string(nodes[{_RUN} + 1 : place], '') AS before, array_to_string(nodes[place + 2 : {_RUN} + 3], '') AS after FROM steps),
+proofs AS (SELECT tree, i, string_agg(before || after, '' ORDER BY k) AS proof, list(before || '|' || after ORDER BY k) AS pieces FROM sides GROUP BY 1, 2),
+folded AS (
+  SELECT d.doc_id, d.leaf, sub.subroot, (SELECT nodes[1] FROM tv WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(now, coalesce(pieces, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM d JOIN sub ON sub.tree = d.tree LEFT JOIN proofs p ON p.tree = d.tree AND p.i = d.i)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+SQL = {"op13_manifest": OP13_SQL, "op4_topk": OP4_SQL, "op2_licenses": _op2_sql(), "op9_preference": OP9_SQL, "op10_urls": OP10_SQL}
