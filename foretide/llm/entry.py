@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.llm import chat, decontaminate, licenses, merkle, neardup, negatives, packing, pii, repeats, topk, toxicity, urls
+from foretide.llm import chat, decontaminate, language, licenses, merkle, neardup, negatives, packing, pii, repeats, topk, toxicity, urls
 from foretide.llm.common import table
 
 #: The rules that op10 applies.
@@ -60,6 +60,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
@@ -69,7 +73,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls, "op12_negatives": op12_negatives, "op13_manifest": op13_manifest}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op4_topk": op4_topk, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_preference": op9_preference, "op10_urls": op10_urls, "op11_language": op11_language, "op12_negatives": op12_negatives, "op13_manifest": op13_manifest}
 
 
 def _op2_sql() -> str:
