@@ -39,40 +39,16 @@ def ols(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> Fit:
     return float(at @ beta), math.sqrt(rss / nu * (1 + float(inner @ inner))) if nu > 0 else math.nan, float(nu)
 
 
-def ols_parts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, their variances, and the residual variance."""
-    inverse = np.linalg.inv(x.T @ x)
-    beta = inverse @ (x.T @ y)
-    s2 = float(((y - x @ beta) ** 2).sum()) / (len(y) - x.shape[1])
-    return beta, s2 * np.diag(inverse), s2
-
-
 def walk_covariance(ahead: np.ndarray, gamma: float) -> np.ndarray:
     """White noise mixed with a random walk that ends at the target, `ahead` steps away."""
     return (1 - gamma) * np.eye(len(ahead)) + gamma * np.minimum.outer(ahead, ahead)
 
 
-def gls_functionals(x: np.ndarray, ahead: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
-    """For a design shared by all sites: a with mean a.y, and rows F with variance sum((F y)^2), for Q of walk_covariance."""
+def walk_weights(x: np.ndarray, ahead: np.ndarray, gamma: float) -> np.ndarray:
+    """The weights of the values of one series in its prediction (the first coefficient of x) under walk_covariance."""
     half = np.linalg.inv(np.linalg.cholesky(walk_covariance(ahead, gamma)))
     q, r = np.linalg.qr(half @ x)
-    inverse = np.linalg.inv(r)
-    weights = inverse @ q.T @ half
-    rest = half - q @ (q.T @ half)
-    scale = ((1 - gamma) + float(inverse[0] @ inverse[0])) / (len(ahead) - (x.shape[1] - 1))
-    return weights[0], rest * math.sqrt(scale)
-
-
-def ols_functionals(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    q, r = np.linalg.qr(x)
-    lever = np.linalg.solve(r.T, at)
-    rest = np.eye(len(x)) - q @ q.T
-    return q @ lever, rest * math.sqrt((1 + lever @ lever) / (len(x) - x.shape[1]))
-
-
-def gls(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, gamma: float) -> Fit:
-    a, rows = gls_functionals(x, ahead, gamma)
-    return float(a @ y), float(np.sqrt(((rows @ y) ** 2).sum())), float(len(y) - 1 - x.shape[1])
+    return (np.linalg.inv(r) @ q.T @ half)[0]
 
 
 def adaptive_gamma(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, low: float = 0.0, high: float = 1.0) -> float:

@@ -1,9 +1,10 @@
 """Prediction methods: site, mu, sigma, nu of a Student t for the target time.
 
-A method is one plan. Methods whose design all sites share are linear functionals of the history: its few numbers are
-worked out on the driver and applied by array expressions after one shuffle by site. Global coefficients come from one
-aggregate of cross products and enter as literals. Only fits with a design for each site run in Python, on batches of
-sites whose histories were gathered by one shuffle; a site's history is short by nature.
+A method is one plan. Means, lines and parabolas are aggregates by site. Random walks plus noise are fitted by the
+innovations of a filter, one fold over a site's history. Global coefficients come from one aggregate of cross products
+and enter as literals. Penalised fits, fits of several models and smoothing splines run in numpy on whole batches of
+sites (`functions.stacks`), whose histories were gathered by one shuffle; time and memory grow with the length of a
+history, and no plan holds more numbers than a history is long.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.functions import kernels
+from foretide.functions import kernels, stacks
 from foretide.functions.special import t_entropy
 
 
@@ -71,9 +72,9 @@ class Inputs:
         if detrend:
             fcst = with_trend(fcst, ["site", "model"], sorted({*self.times, o.t_pred}), o.t_pred, o.spline_p).withColumn("value", F.col("value") - F.col("trend"))
             obs = with_trend(obs, ["site"], self.times, o.t_pred, o.spline_p).withColumn("value", F.col("value") - F.col("trend") + F.col("trend_pred"))
-        wide = fcst.groupBy("site", "t").pivot("model", self.models).agg(F.first("value"))
+        wide = fcst.groupBy("site", "t").pivot("model", self.models).agg(F.avg("value"))
         wide = wide.toDF("site", "t", *names).withColumn("m", sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
-        raw = self.fcst.where(F.col("t") == o.t_pred).groupBy("site").pivot("model", self.models).agg(F.first("value")).toDF("site", *(f"p{n}" for n in names))
+        raw = self.fcst.where(F.col("t") == o.t_pred).groupBy("site").pivot("model", self.models).agg(F.avg("value")).toDF("site", *(f"p{n}" for n in names))
         d = wide.join(obs.select("site", "t", F.col("value").alias("y")), ["site", "t"], "left")
         d = d.where(F.col("y").isNotNull() | (F.col("t") == o.t_pred))
         at = lambda c: F.max(F.when(F.col("t") == o.t_pred, F.col(c))).over(_site())
@@ -84,27 +85,46 @@ class Inputs:
         return self.weighted(d.join(raw, "site") if detrend else d)
 
 
-def _smooth(keys: list[str], df: DataFrame, times: list[int], rows: np.ndarray) -> DataFrame:
-    """The linear functionals `rows` of each complete series, as an array; series with gaps are left out."""
-    s = df.where(F.col("t").isin(times)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s")).where(F.size("s") == len(times))
-    ys = F.transform("s", lambda x: x["value"])
-    matrix = F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in rows))
-    return s.select(*keys, F.transform(matrix, lambda r: F.aggregate(F.zip_with(r, ys, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).alias("z"), ys.alias("ys"))
+#: Numbers of a tensor of sites x times, about, at most.
+MOST_CELLS = 2_000_000
+
+
+def series_tensors(batch, columns: list[str]) -> Iterator[tuple]:
+    """A batch of series (s: list of structs t, columns) in parts: slice, times, which series has which (series x times), and the columns; 0 where there is none."""
+    lists, start = batch.column("s"), 0
+    sizes = np.diff(lists.offsets.to_numpy()[: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, np.int64)
+    while start < batch.num_rows:
+        n = max(1, min(batch.num_rows - start, MOST_CELLS // max(1, int(sizes[start:].max()) * (len(columns) + 1))))
+        flat = lists.slice(start, n).flatten()
+        own = np.repeat(np.arange(n), sizes[start : start + n])
+        times, place = np.unique(flat.field("t").to_numpy(zero_copy_only=False), return_inverse=True)
+        live = np.zeros((n, len(times)), bool)
+        live[own, place] = True
+        out = []
+        for c in columns:
+            x = np.zeros(live.shape)
+            x[own, place] = flat.field(c).to_numpy(zero_copy_only=False)
+            out.append(x)
+        yield slice(start, start + n), times.astype(float), live, *out
+        start += n
 
 
 def with_trend(df: DataFrame, keys: list[str], times: list[int], t_pred: int, p: float) -> DataFrame:
-    """Rows of complete series with the spline's trend there, and at the target."""
-    rows = kernels.smoother(np.asarray(times, float), np.asarray([*times, t_pred], float), p)
-    z = _smooth(keys, df, times, rows)
-    each = z.select(*keys, F.element_at("z", -1).alias("trend_pred"), F.explode(F.arrays_zip(F.array(*map(F.lit, times)).alias("t"), F.slice("z", 1, len(times)).alias("trend"))).alias("x"))
-    each = each.select(*keys, "trend_pred", "x.t", "x.trend")
-    return df.join(each, [*keys, "t"])
+    """df (keys, t, value) -> the same at the times given, of series complete there, with the spline's trend, and the trend at the target."""
+    s = df.where(F.col("t").isin(times)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s")).where(F.size("s") == len(times))
+    kinds = dict(df.dtypes)
+
+    def smoothed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            for rows, t, _, y in series_tensors(batch, ["value"]):
+                trend, ahead = stacks.spline_trend(t, y, p, t_pred)
+                place = pa.array(np.repeat(np.arange(rows.start, rows.stop), len(t)))
+                columns = [batch.column(k).take(place) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(t.astype(np.int32), len(y))), *(pa.array(x) for x in (y.ravel(), trend.ravel(), np.repeat(ahead, len(t))))], names=[*keys, "t", "value", "trend", "trend_pred"])
 
-def _functional(inputs: Inputs, a: np.ndarray, rest: np.ndarray, nu: float) -> DataFrame:
-    z = _smooth(["site"], inputs.obs, inputs.times, np.vstack([a, rest]))
-    square = F.aggregate(F.slice("z", 2, len(rest)), F.lit(0.0), lambda s, v: s + v * v)
-    return z.select("site", F.element_at("z", 1).alias("mu"), F.sqrt(square).alias("sigma"), F.lit(float(nu)).alias("nu"))
+    return s.mapInArrow(smoothed, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t int, value double, trend double, trend_pred double")
 
 
 def _moments(df: DataFrame, value: Column, shift: Column | float = 0.0, inflate: bool = False) -> DataFrame:
@@ -147,24 +167,60 @@ def centred(c: str) -> Column:
     return F.col(c) - F.avg(c).over(_site())
 
 
-def _by_site(df: DataFrame, columns: list[str], fit: Callable[..., tuple]) -> DataFrame:
-    """fit(arrays of the columns by time) for each site, in batches of sites."""
-    rows = df.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("t", *(c for c in columns if c != "t")))).alias("s"))
+def gathered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """site, s: each site's rows by time, after one shuffle."""
+    return df.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("t", *(c for c in columns if c != "t")))).alias("s"))
+
+
+def _by_batch(df: DataFrame, columns: list[str], fit: Callable[..., tuple]) -> DataFrame:
+    """fit(times, live, the columns as sites x times) -> mean, scale and degrees of freedom of all sites of a batch; NaN is null."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows, t, live, *arrays in series_tensors(batch, columns):
+                out = fit(t, live, *arrays)
+                yield pa.RecordBatch.from_arrays([batch.column("site").slice(rows.start, len(live)), *(pa.array(x, from_pandas=True) for x in out)], names=["site", "mu", "sigma", "nu"])
+
+    return gathered(df, columns).mapInArrow(run, f"site {dict(df.dtypes)['site']}, mu double, sigma double, nu double")
+
+
+def innovations(s: DataFrame, xs: list[str], gamma: float, lost: int) -> DataFrame:
+    """s (site, s: structs v, y, xs by v, the steps to the target) -> mean, scale, degrees of freedom n - lost at the target.
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    y is a constant and xs (0 at the target), plus white noise of variance 1 - gamma, plus gamma times a random walk that
+    is 0 at the target. Seen from the target the walk is filtered step by step; the innovations of y and of each column
+    are independent, so one fold that sums their products gives the normal equations. The constant is eliminated last.
+    """
+    names, p = [*xs, "one"], len(xs) + 1
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i:], "y"]] + [("y", "y")]
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("p"), zero.alias("v"), *(zero.alias(f"a_{n}") for n in [*names, "y"]), *(zero.alias(f"s_{a}_{b}") for a, b in pairs))
 
-        for pdf in frames:
-            out = []
-            for site, s in zip(pdf["site"], pdf["s"]):
-                try:
-                    mu, sigma, nu = fit(*(np.asarray([x[c] for x in s], float) for c in columns))
-                except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
-                    mu = sigma = nu = None
-                out.append((site, mu, sigma, nu))
-            yield pd.DataFrame(out, columns=["site", "mu", "sigma", "nu"])
+    def step(acc: Column, x: Column) -> Column:
+        walk = acc["p"] + gamma * (x["v"] - acc["v"])
+        f = walk + (1 - gamma)
+        e = {n: (F.lit(1.0) if n == "one" else x[n]) - acc[f"a_{n}"] for n in [*names, "y"]}
+        moved = [(acc[f"a_{n}"] + walk / f * e[n]).alias(f"a_{n}") for n in e]
+        return F.struct((walk * (1 - gamma) / f).alias("p"), x["v"].alias("v"), *moved, *((acc[f"s_{a}_{b}"] + e[a] * e[b] / f).alias(f"s_{a}_{b}") for a, b in pairs))
 
-    return rows.mapInPandas(run, "site long, mu double, sigma double, nu double")
+    level = F.col("s")[0]["y"]
+    shifted = F.transform("s", lambda x: F.struct(x["v"].alias("v"), (x["y"] - level).alias("y"), *(x[c].alias(c) for c in xs if c != "v")))
+    d = s.select("site", F.size("s").alias("n"), level.alias("level"), F.aggregate(shifted, start, step).alias("g")).select("site", "n", "level", "g.*")
+    # Cholesky's factor and the solution column by column; a dependent column gives nulls
+    for j, b in enumerate(names):
+        rest = F.col(f"s_{b}_{b}") - sum((F.pow(f"l{j}_{k}", 2) for k in range(j)), zero)
+        d = d.withColumn(f"l{j}_{j}", F.when(rest > stacks.DEPENDENT * F.col(f"s_{b}_{b}"), F.sqrt(rest)))
+        solved = [((F.col(f"s_{b}_y") - sum((F.col(f"l{j}_{k}") * F.col(f"z{k}") for k in range(j)), zero)) / F.col(f"l{j}_{j}")).alias(f"z{j}")]
+        below = [((F.col(f"s_{b}_{names[i]}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), zero)) / F.col(f"l{j}_{j}")).alias(f"l{i}_{j}") for i in range(j + 1, p)]
+        d = d.select("*", *solved, *below)
+    rss = F.greatest(F.col("s_y_y") - sum((F.pow(f"z{k}", 2) for k in range(p)), zero), zero)
+    last = F.col(f"l{p - 1}_{p - 1}")
+    variance = rss / (F.col("n") - (p - 1)) * (1 - gamma + 1 / (last * last))
+    nu = (F.col("n") - lost).cast("double")
+    some = (F.col("n") >= p) & last.isNotNull()
+    return d.select("site", F.when(some, F.col("level") + F.col(f"z{p - 1}") / last).alias("mu"), F.when(some & (nu > 0), F.sqrt(variance)).alias("sigma"), F.when(some, nu).alias("nu"))
 
 
 def global_series(inputs: Inputs) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +256,19 @@ def linear(i: Inputs) -> DataFrame:
 
 @method("quadratic")
 def quadratic(i: Inputs) -> DataFrame:
+    """By polynomials orthogonal over the times, which all sites share."""
     t = np.asarray(i.times, float)
-    x = lambda v: np.stack([np.ones_like(v), v, v * v], -1)
-    a, rest = kernels.ols_functionals(x(t - t.mean()), x(np.asarray(i.o.t_pred - t.mean())))
-    return _functional(i, a, rest, len(t) - 3)
+    n, middle, at = len(t), float(t.mean()), float(i.o.t_pred - t.mean())
+    u = t - middle
+    flat, tilt = float((u**2).mean()), float((u**3).sum() / (u**2).sum())
+    s1, s2 = float((u**2).sum()), float(((u**2 - flat - tilt * u) ** 2).sum())
+    x1 = F.col("t") - middle
+    d = i.obs.where(F.col("t").isin(i.times)).select("site", F.col("value").alias("y"), x1.alias("x1"), (x1 * x1 - flat - tilt * x1).alias("x2"))
+    g = d.groupBy("site").agg(F.count("y").alias("n"), F.avg("y").alias("a"), (n * F.covar_pop("x1", "y") / s1).alias("b1"), (n * F.covar_pop("x2", "y") / s2).alias("b2"), (n * F.var_pop("y")).alias("syy"))
+    far = at**2 - flat - tilt * at
+    rss = F.greatest(F.col("syy") - F.pow("b1", 2) * s1 - F.pow("b2", 2) * s2, F.lit(0.0))
+    sigma = F.sqrt(rss / (n - 3) * (1 + 1 / n + at**2 / s1 + far**2 / s2)) if n > 3 else F.lit(None).cast("double")
+    return g.where(F.col("n") == n).select("site", (F.col("a") + F.col("b1") * at + F.col("b2") * far).alias("mu"), sigma.alias("sigma"), F.lit(float(n - 3)).alias("nu"))
 
 
 @method("ma", "MA")
@@ -222,39 +287,49 @@ def moving_average_corrected(i: Inputs) -> DataFrame:
     return _global_shift(i, moving_average(i), lambda t, y: y[np.abs(i.o.t_pred - t) <= i.o.timescale].mean())
 
 
+def _splines(t: np.ndarray, live: np.ndarray, y: np.ndarray, at: float) -> tuple:
+    """Splines of the sites of a batch, each on the times it has."""
+    out = np.full((3, len(y)), np.nan)
+    for places, rows in stacks.patterns(live):
+        out[:, places] = stacks.spline_fit(t[rows], y[places][:, rows], at)
+    return tuple(out)
+
+
 @method("spline")
 def spline(i: Inputs) -> DataFrame:
     at = i.o.t_pred
-    return _by_site(i.obs, ["t", "value"], lambda t, y: kernels.spline_fit(t, y, at))
+    return _by_batch(i.obs, ["value"], lambda t, live, y: _splines(t, live, y, at))
 
 
 @method("spline_scaled")
 def spline_scaled(i: Inputs) -> DataFrame:
     at = i.o.t_pred
 
-    def fit(t, y):
-        s = y.std(ddof=1)
-        mu, sigma, nu = kernels.spline_fit(t, y / s, at)
+    def fit(t, live, y):
+        n = live.sum(1)
+        with np.errstate(all="ignore"):
+            centred = np.where(live, y - (y.sum(1) / n)[:, None], 0.0)
+            s = np.sqrt((centred**2).sum(1) / (n - 1))
+            mu, sigma, nu = _splines(t, live, np.where(live, y / s[:, None], 0.0), at)
         return mu * s, sigma * s, nu
 
-    return _by_site(i.obs, ["t", "value"], fit)
+    return _by_batch(i.obs, ["value"], fit)
 
 
-def _walk(i: Inputs, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ahead = i.o.t_pred - np.asarray(i.times, float)
-    a, rest = kernels.gls_functionals(np.stack([ahead**d for d in range(degree + 1)], -1), ahead, i.o.gamma)
-    return ahead, a, rest
+def _ahead(i: Inputs, d: DataFrame, *columns: Column) -> DataFrame:
+    """site, s: v and the columns of each site from the target backwards."""
+    return d.groupBy("site").agg(F.sort_array(F.collect_list(F.struct((i.o.t_pred - F.col("t")).cast("double").alias("v"), *columns))).alias("s"))
 
 
 @method("ewma", "EW")
 def ewma(i: Inputs, degree: int = 0) -> DataFrame:
-    ahead, a, rest = _walk(i, degree)
-    return _functional(i, a, rest, len(ahead) - 1 - degree)
+    s = _ahead(i, i.obs, F.col("value").alias("y")).where(F.size("s") == len(i.times))
+    return innovations(s, ["v"] * degree, i.o.gamma, degree + 1)
 
 
 @method("ewma_globcorr", "EW-a")
 def ewma_corrected(i: Inputs, degree: int = 0) -> DataFrame:
-    return _global_shift(i, ewma(i, degree), lambda t, y: float(_walk(i, degree)[1] @ y))
+    return _global_shift(i, ewma(i, degree), lambda t, y: float(kernels.walk_weights(np.stack([(i.o.t_pred - t) ** d for d in range(degree + 1)], -1), i.o.t_pred - t, i.o.gamma) @ y))
 
 
 @method("ewma_linear")
@@ -334,24 +409,20 @@ def model_and_trend_of_global_mean(i: Inputs) -> DataFrame:
 # ---- forecasts with coefficients by site ----
 
 
+def _models_fit(t, live, y, *xs) -> tuple:
+    """Least squares on a constant and xs, which are 0 at the target."""
+    x = np.stack([np.ones_like(y), *xs], -1)
+    return stacks.ols(x, y, live, np.eye(x.shape[2])[:1].repeat(len(y), 0))
+
+
 @method("rawmultimodel")
 def multimodel(i: Inputs) -> DataFrame:
-    def fit(y, *xs):
-        x = np.stack([np.ones_like(y), *xs], -1)
-        return kernels.ols(x, y, np.eye(x.shape[1])[0])
-
-    return _by_site(i.joined(), ["y", *_names(i)], fit)
+    return _by_batch(i.joined(), ["y", *_names(i)], _models_fit)
 
 
 @method("ewma_model")
 def ewma_model(i: Inputs, trend: bool = False) -> DataFrame:
-    at, gamma = i.o.t_pred, i.o.gamma
-
-    def fit(t, y, m):
-        ahead = at - t
-        return kernels.gls(np.stack([np.ones_like(y), *([ahead] if trend else []), m], -1), y, ahead, gamma)
-
-    return _by_site(i.joined(), ["t", "y", "m"], fit)
+    return innovations(_ahead(i, i.joined(), F.col("y"), F.col("m")), [*(["v"] if trend else []), "m"], i.o.gamma, 4 if trend else 3)
 
 
 @method("ewma_linear_model")
@@ -361,16 +432,24 @@ def ewma_linear_model(i: Inputs) -> DataFrame:
 
 def _regularised(i: Inputs, xs: list[str], walk: bool) -> DataFrame:
     """Offset and trend free, coefficients of xs pulled to their global values."""
-    d, at, gamma = i.joined().withColumn("v", (i.o.t_pred - F.col("t")).cast("double")).cache(), i.o.t_pred, i.o.gamma
+    d, at, gamma = i.joined().withColumn("v", (i.o.t_pred - F.col("t")).cast("double")), i.o.t_pred, i.o.gamma
     prior = np.append([0.0, 0.0], global_coefficients(d, F.col("y"), [F.lit(1.0), F.col("v"), *(centred(x) for x in xs)])[2:])
 
-    def fit(t, y, *models):
+    def fit(t, live, y, *models):
         ahead = at - t
-        x = np.stack([np.ones_like(y), ahead, *models], -1)
-        upper = np.linalg.cholesky(kernels.walk_covariance(ahead, gamma)).T if walk else None
-        return kernels.shrunk(x, y, np.eye(x.shape[1])[0], prior, 2, upper=upper)
+        x = np.stack([np.ones_like(y), np.broadcast_to(ahead, y.shape), *models], -1)
+
+        def whiten(live, columns):
+            out = np.zeros_like(columns)
+            for places, rows in stacks.patterns(live):
+                upper = np.linalg.cholesky(kernels.walk_covariance(ahead[rows], gamma)).T
+                own = columns[places][:, rows]
+                out[np.ix_(places, rows)] = np.linalg.solve(upper, own)
+            return out
 
-    return _by_site(d, ["t", "y", *xs], fit)
+        return stacks.shrunk(x, y, live, np.eye(x.shape[2])[:1].repeat(len(y), 0), prior, 2, whiten=whiten if walk else None)
+
+    return _by_batch(d, ["y", *xs], fit)
 
 
 @method("model_linear_reg")
@@ -395,38 +474,40 @@ def ewma_linear_multimodel_reg(i: Inputs) -> DataFrame:
 
 def _partially_pooled(i: Inputs, xs: list[str], trend: bool = False) -> DataFrame:
     """Empirical Bayes in two passes: fits by site give a common mean and spread of each coefficient, then sites shrink to it."""
-    d, at, k = i.joined(centred=True).cache(), float(i.o.t_pred), 1 + trend + len(xs)
-    columns = ["t", "y", *xs, *(f"at_{x}" for x in xs)]
-
-    def design(t, y, *rest):
-        cols = [np.ones_like(y), *([t] if trend else []), *rest[: len(xs)]]
-        return np.stack(cols, -1), np.asarray([1.0, *([at] if trend else []), *(r[0] for r in rest[len(xs) :])])
+    d, at, k = i.joined(centred=True), float(i.o.t_pred), 1 + trend + len(xs)
+    columns = ["y", *xs, *(f"at_{x}" for x in xs)]
 
-    rows = d.groupBy("site").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("s"))
+    def design(t, live, *rest):
+        cols = [np.ones(live.shape), *([np.broadcast_to(t, live.shape)] if trend else []), *rest[: len(xs)]]
+        some = np.arange(len(live)), live.argmax(1)
+        return np.stack(cols, -1), np.stack([np.ones(len(live)), *([np.full(len(live), at)] if trend else []), *(r[some] for r in rest[len(xs) :])], -1)
 
-    def first(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def first(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        for pdf in frames:
-            out = []
-            for s in pdf["s"]:
-                x, _ = design(*(np.asarray([r[c] for r in s], float) for c in columns))
-                beta, var, _ = kernels.ols_parts(x, np.asarray([r["y"] for r in s], float))
-                out.append((beta, var))
-            yield pd.DataFrame(out, columns=["b", "v"])
+        for batch in batches:
+            for _, t, live, y, *rest in series_tensors(batch, columns):
+                b, v, s2 = stacks.ols_parts(design(t, live, *rest)[0], y, live)
+                good = np.isfinite(s2)
+                yield pa.RecordBatch.from_arrays([pa.array(list(b[good]), pa.list_(pa.float64())), pa.array(list(v[good]), pa.list_(pa.float64()))], names=["b", "v"])
 
-    fits = rows.mapInPandas(first, "b array<double>, v array<double>").cache()
+    fits = gathered(d, columns).mapInArrow(first, "b array<double>, v array<double>")
     b, v = (lambda j: F.col("b")[j]), (lambda j: F.col("v")[j])
-    means = fits.agg(*(F.sum(b(j) / v(j)) / F.sum(1 / v(j)) for j in range(k))).first()  # k numbers
-    spread = fits.agg(*(F.avg(F.pow(b(j) - float(means[j]), 2) - v(j)) for j in range(k))).first()
+    # k times five numbers: the weighted mean of each coefficient, and its spread about that
+    parts = {"w": lambda j: F.sum(1 / v(j)), "wb": lambda j: F.sum(b(j) / v(j)), "a": lambda j: F.avg(b(j)), "s": lambda j: F.var_pop(b(j)), "v": lambda j: F.avg(v(j))}
+    sums = fits.agg(*(f(j).alias(f"{n}{j}") for j in range(k) for n, f in parts.items())).first()
+    means = [sums[f"wb{j}"] / sums[f"w{j}"] for j in range(k)]
+    spread = [sums[f"s{j}"] + (sums[f"a{j}"] - means[j]) ** 2 - sums[f"v{j}"] for j in range(k)]
     prior, scale = np.asarray(means, float), np.sqrt(np.maximum(np.asarray(spread, float), kernels.EPS))
 
-    def fit(*arrays):
-        x, star = design(*arrays)
-        s2 = kernels.ols_parts(x, arrays[1])[2]
-        return kernels.shrunk(x, arrays[1], star, prior, 0, scale, np.eye(len(x)) / math.sqrt(s2), penalty=1.0)
+    def fit(t, live, y, *rest):
+        x, star = design(t, live, *rest)
+        s2 = stacks.ols_parts(x, y, live)[2]
+        known = np.where(np.isfinite(s2), s2, 1.0)
+        mu, sigma, nu = stacks.shrunk(x, y, live, star, prior, 0, scale, lambda live, c: c * np.sqrt(known)[:, None, None], 1.0)
+        return tuple(np.where(np.isfinite(s2), a, np.nan) for a in (mu, sigma, nu))
 
-    return _by_site(d, columns, fit)
+    return _by_batch(d, columns, fit)
 
 
 @method("rawmodel_pooled")
@@ -465,17 +546,13 @@ def model_trend(i: Inputs) -> DataFrame:
 
 @method("multimodel_trend")
 def multimodel_trend(i: Inputs) -> DataFrame:
-    def fit(y, *xs):
-        x = np.stack([np.ones_like(y), *xs], -1)
-        return kernels.ols(x, y, np.eye(x.shape[1])[0])
-
-    return _by_site(i.joined(detrend=True), ["y", *_names(i)], fit)
+    return _by_batch(i.joined(detrend=True), ["y", *_names(i)], _models_fit)
 
 
 @method("globalmultimodel_trend")
 def global_multimodel_trend(i: Inputs) -> DataFrame:
     """The target's raw forecasts enter the mean, as in the values to match."""
-    d, xs = i.joined(detrend=True).cache(), _names(i)
+    d, xs = i.joined(detrend=True), _names(i)
     c = global_coefficients(d, F.col("y"), [*map(F.col, xs), F.lit(1.0)])
     linear_part = lambda names: sum((float(b) * F.col(n) for b, n in zip(c, names)), F.lit(float(c[-1])))
     out = _fewer_freedoms(_moments(d, F.col("y") - linear_part(xs)), i.o.dof_spline)
@@ -486,15 +563,16 @@ def global_multimodel_trend(i: Inputs) -> DataFrame:
 @method("regmultimodel_trend")
 def regularised_multimodel_trend(i: Inputs) -> DataFrame:
     """Ridge to the global weights: one more row for each model."""
-    d, xs, lamda = i.joined(detrend=True).cache(), _names(i), i.o.lamda
+    d, xs, lamda = i.joined(detrend=True), _names(i), i.o.lamda
     c = global_coefficients(d, F.col("y"), [*map(F.col, xs), F.lit(1.0)])[:-1]
 
-    def fit(y, *models):
-        k = len(models)
-        x = np.vstack([np.stack([np.ones_like(y), *models], -1), np.hstack([np.zeros((k, 1)), lamda * np.eye(k)])])
-        return kernels.ols(x, np.append(y, lamda * c), np.eye(k + 1)[0])
+    def fit(t, live, y, *models):
+        k, n = len(models), len(y)
+        more = np.broadcast_to(np.hstack([np.zeros((k, 1)), lamda * np.eye(k)]), (n, k, k + 1))
+        x = np.concatenate([np.stack([np.ones_like(y), *models], -1), more], 1)
+        return stacks.ols(x, np.hstack([y, np.tile(lamda * c, (n, 1))]), np.hstack([live, np.ones((n, k), bool)]), np.eye(k + 1)[:1].repeat(n, 0))
 
-    return _by_site(d, ["y", *xs], fit)
+    return _by_batch(d, ["y", *xs], fit)
 
 
 @method("multimethod")
