@@ -266,8 +266,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(sign(docs))
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stored(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    # rows that share an id but not a set are one document
-    same_id = some.join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    # rows that share an id but not a set are one document: a star from the id's least representative to all its others
+    own = some.join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a")
+    same_id = own.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     centres = stored(buckets(reps).groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a"))
     # the places of representatives in buckets that are shared; later steps read these only
     members = stored(buckets(reps).join(centres.hint("merge"), "bucket"))

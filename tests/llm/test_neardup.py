@@ -136,3 +136,13 @@ def test_link_against_all_pairs():
                 both = got[a] | got[b]
                 got |= {c: both for c in both}
             assert got == parent
+
+
+@pytest.mark.parametrize("n", [3, 10])
+def test_one_id_with_many_texts(spark, n):
+    """All texts of an id are one document: documents that share any of them are linked, whatever is the least of each."""
+    r = random.Random(n)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(40)) for _ in range(n)]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(50, t) for t in texts] + [(60, texts[-1]), (61, "none of these at all here"), (70, texts[1] + " more"), (70, "some other words stand in this text")]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and {g[2] for g in got if g[0] != 61} == {1}
