@@ -7,7 +7,9 @@ The panel may not have gaps: every site and model has every quarter, as at scale
 
 from __future__ import annotations
 
-from foretide.queries import FCST, METHOD_SQL, OBS, OPTIONS, SQL, _plain, sql_entropy, sql_moments
+import re
+
+from foretide.queries import FCST, HUGE, METHOD_SQL, OBS, OPTIONS, SQL, _plain, sql_by_supplier, sql_entropy, sql_line, sql_logpdf, sql_moments
 
 MODELS = 5  # order priorities
 LINES = [f"x{i}" for i in range(1, MODELS + 1)]
@@ -182,4 +184,57 @@ METHODS = {
     "regmultimodel_trend": f"{_smooth}, {global_fit('jd', 'y', [*LINES, 'one'])}, {least_squares(listed(['one', *LINES], '(SELECT jd.*, b FROM jd, gb)', ', any_value(b) AS b'), _penalty, '(CASE WHEN i > 1 THEN b[i - 1] ELSE 0.0 END)', MODELS)}",
     "multimethod": f"WITH {OBS}, u AS ({' UNION ALL '.join(f'SELECT *, {n} AS place FROM ({p})' for n, p in enumerate(_pieces))}), e AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {sql_entropy('nu')} + ln(sigma), place) AS r FROM u) SELECT site, round(mu, 4) AS mu, round(sigma, 4) AS sigma, nu FROM e WHERE r = 1",
 }
-SQL |= {f"m_{n}": s for n, s in METHODS.items()}
+SQL |= {f"m_{n}": s for n, s in METHODS.items()} | {f"ms_{n}": sql_by_supplier(s, n in HUGE) for n, s in METHODS.items()}
+
+
+# ---- many targets and leads: a site stands for one site, target and lead ----
+
+TARGETS, LEADS = range(20, 28), (1, 2)
+EACH = "((lag * 100 + tp) * 1000 + site)"
+TARGET_PANEL = f"""{OBS}, {FCST}, tt AS (SELECT CAST(i AS INTEGER) AS tp, unnest({list(LEADS)}) AS lag FROM range({TARGETS.start}, {TARGETS.stop}) r(i)),
+fl AS (SELECT site, t + lag - 1 AS t, lag, list(value ORDER BY model) AS x FROM fcst, (SELECT unnest({list(LEADS)}) AS lag) GROUP BY ALL),
+hh AS (SELECT {EACH} AS site, lag * 100 + tp AS grp, tp, o.t, o.value AS y, 1.0::DOUBLE AS one, (o.t - tp) / 10.0 AS u, pow((o.t - tp) / 10.0, 2) AS uu FROM obs o JOIN tt ON o.t < tp),
+jj AS (SELECT {EACH.replace('lag', 'tt.lag').replace('site', 'o.site')} AS site, tt.lag * 100 + tp AS grp, tp, o.t, o.value AS y, 1.0::DOUBLE AS one, CAST(o.t AS DOUBLE) AS tt, {XS}, list_sum(a.x) / {MODELS} - list_sum(b.x) / {MODELS} AS m, w
+  FROM obs o JOIN tt ON o.t < tp JOIN fl a ON a.site = o.site AND a.t = o.t AND a.lag = tt.lag JOIN fl b ON b.site = o.site AND b.t = tp AND b.lag = tt.lag JOIN w ON w.site = o.site),
+jc AS (SELECT *, {', '.join(f'{c} - avg({c}) OVER s AS {c}_c' for c in ['y', 'm', 'tt', *LINES])}, y - m - avg(y - m) OVER s AS r_c FROM jj WINDOW s AS (PARTITION BY site))"""
+
+
+def grouped_fit(name: str, y: str, xs: list[str]) -> str:
+    """CTE of grp, b: the coefficients of xs over the rows of a target and lead, with squared weights."""
+    rows = ", ".join("[" + ", ".join(f"sum(w * w * {a} * {b})" for b in [*xs, y]) + "]" for a in xs)
+    return f"{name}_n AS (SELECT grp, [{rows}] AS a FROM jc GROUP BY grp), {solved(f'{name}_s', f'{name}_n')}, {name} AS (SELECT grp, {column('len(a) + 1')} AS b FROM {name}_s)"
+
+
+def pooled_method(fit: str, response: str, xs: list[str]) -> str:
+    rest = " - ".join([response, *(f"b[{i}] * {x}" for i, x in enumerate(xs, 1))])
+    shift = f"any_value(b)[{xs.index('tt') + 1}] * any_value(tp)" if "tt" in xs else "0"
+    return _plain(sql_moments(f"(SELECT jj.*, b FROM jj JOIN {fit} USING (grp))", rest, shift, True))
+
+
+_GROUPED = {"rawmodel_globlinear": ("g1", "r_c", ["tt"], "y - m"), "rawmodel_globscaled": ("g2", "y_c", ["m"], "y"), "rawmodel_globscaled_globlinear": ("g3", "y_c", ["m", "tt"], "y"), "rawmultimodel_glob": ("g4", "y_c", LINES, "y"), "rawmultimodel_glob_globlinear": ("g5", "y_c", [*LINES, "tt"], "y")}
+_TARGET_METHODS = {
+    "history": _plain(sql_moments("hh", "y")),
+    "linear": _plain(sql_line("hh", "y", "t", "any_value(tp)")),
+    "ma": _plain(sql_moments("(SELECT * FROM hh WHERE tp - t <= 12)", "y")),
+    "rawmodel": _plain(sql_moments("jj", "y - m", inflate=True)),
+    "rawmodel_scaled": _plain(sql_line("jj", "y", "m", "0")),
+    "rawmodel_linear": _plain(sql_line("jj", "(y - m)", "t", "any_value(tp)")),
+    "rawmodel_globcorr": _plain(sql_moments("(SELECT jj.*, b FROM jj JOIN gc USING (grp))", "y - m - b * t", "any_value(b) * any_value(tp)", True)),
+    **{n: pooled_method(fit, response, xs) for n, (fit, _, xs, response) in _GROUPED.items()},
+}
+
+
+def _with_table(name: str, source: str, columns: list[str]) -> str:
+    """A method by normal equations, its tables named apart from others'."""
+    text = _plain(least_squares(listed(columns, source)))
+    for c in ("ne", "so_g", "so", "be", "re", "rs"):
+        text = re.sub(rf"\b{c}\b", f"{name}_{c}", text)
+    return re.sub(r"\nSELECT (?!.*\nSELECT )", f",\n{name} AS (SELECT ", text) + ")"
+
+
+SQL["v_targets"] = f"""WITH RECURSIVE {TARGET_PANEL}, {', '.join(grouped_fit(fit, y, [f'{x}_c' for x in xs]) for fit, y, xs, _ in _GROUPED.values())},
+gc AS (SELECT grp, regr_slope(g, t) AS b FROM (SELECT grp, t, sum(w * (y - m)) / sum(w) AS g FROM jj GROUP BY 1, 2) GROUP BY 1),
+{_with_table('qq', 'hh', ['one', 'u', 'uu'])}, {_with_table('mm', 'jj', ['one', *LINES])},
+al AS ({' UNION ALL '.join(f"SELECT '{n}' AS method, site, mu, sigma, nu FROM ({q})" for n, q in _TARGET_METHODS.items())} UNION ALL SELECT 'quadratic', site, mu, sigma, nu FROM qq UNION ALL SELECT 'rawmultimodel', site, mu, sigma, nu FROM mm),
+sc AS (SELECT method, CAST(al.site // 100000 AS INTEGER) AS lag, CAST(al.site // 1000 % 100 AS INTEGER) AS t, w, mu - value AS error, {sql_logpdf('((value - mu) / sigma)', 'nu')} - ln(sigma) AS ll FROM al JOIN obs ON obs.site = al.site % 1000 AND obs.t = al.site // 1000 % 100 JOIN w ON w.site = obs.site)
+SELECT method, lag, t, count(*) AS n, round(sqrt(sum(w * error * error) / sum(w)), 4) AS rmse, round(sum(w * error) / sum(w), 4) AS bias, round(-sum(w * ll) / sum(w), 6) AS nll FROM sc GROUP BY 1, 2, 3"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions.special import exceedance, log_score, t_ppf
 from foretide.operators import panel
-from foretide.plans import predict, verify
+from foretide.plans import predict, targets, verify
 
 
 def clipped(p: Column, low: Column, high: Column) -> Column:
@@ -80,12 +80,17 @@ def skill_by_climate(scored: DataFrame, clim: DataFrame, n: int) -> DataFrame:
 
 
 def verify_methods(obs: DataFrame, fcst: DataFrame | None, methods: list[str], times: list[int], options: predict.Options, weights: DataFrame | None, lags: list[int] | None = None) -> DataFrame:
-    """All methods at all target times (and leads, where fcst has a column lag): one row for each prediction, all scores as columns."""
-    out = None
+    """All methods at all target times (and leads, where fcst has a column lag): one row for each prediction, all scores as columns.
+
+    Methods of `targets.METHODS` share one plan; any other is a plan for each target and lead.
+    """
+    together = [m for m in methods if m in targets.METHODS] if options.clim is None else []
+    out = targets.predict_many(together, obs, fcst, times, options, weights, lags) if together else None
     for lag in lags or [None]:
         f = fcst if lag is None or fcst is None else fcst.where(F.col("lag") == lag).drop("lag")
         for t in times:
             for name in methods:
-                p = predict.predict(name, obs, f, replace(options, t_pred=t), weights).select("site", "mu", "sigma", "nu", F.lit(t).alias("t"), F.lit(name).alias("method"), F.lit(lag).cast("int").alias("lag"))
-                out = p if out is None else out.unionByName(p)
+                if name not in together:
+                    p = predict.predict(name, obs, f, replace(options, t_pred=t), weights).select("site", F.lit(lag).cast("int").alias("lag"), F.lit(t).alias("t"), F.lit(name).alias("method"), "mu", "sigma", "nu")
+                    out = p if out is None else out.unionByName(p)
     return verify.scored(out, obs.select("site", "t", "value"), ["site", "t"], weights)

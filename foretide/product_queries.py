@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foretide.functions import special
 from foretide.operators import panel, regrid
-from foretide.plans import predict, study, verify
-from foretide.queries import FCST, HAZEN, METHOD_SQL, OBS, OPTIONS, PRED, SQL, SUMMARY, T_PRED, _plain, _predictions, _scored, query, rounded, sql_hazen, sql_line, sql_t_cdf
+from foretide.plans import predict, study, targets, verify
+from foretide.queries import FCST, HAZEN, METHOD_SQL, OBS, OPTIONS, PRED, SQL, SUMMARY, T_PRED, _plain, _predictions, _scored, query, rounded, sql_by_supplier, sql_hazen, sql_line, sql_t_cdf
 from foretide.sources import readers, star
 
 LINE = _plain(sql_line("h", "value", "t", "27"))
@@ -19,6 +19,7 @@ SQL["m_quadratic"] = f"""WITH {OBS}, u AS (SELECT *, t - avg(t) OVER s AS p, cou
 v AS (SELECT *, p * p - avg(p * p) OVER s - p * (sum(p * p * p) OVER s) / (sum(p * p) OVER s) AS q, 27 - avg(t) OVER s AS a1, avg(p * p) OVER s AS pp, (sum(p * p * p) OVER s) / (sum(p * p) OVER s) AS k FROM u WINDOW s AS (PARTITION BY site)),
 f AS (SELECT site, count(*) AS n, avg(value) AS y0, sum(p * value) / sum(p * p) AS b1, sum(q * value) / sum(q * q) AS b2, any_value(a1) AS a1, any_value(a1 * a1 - pp - a1 * k) AS a2, sum(p * p) AS s1, sum(q * q) AS s2, var_pop(value) * count(*) AS syy FROM v GROUP BY site)
 SELECT site, round(y0 + b1 * a1 + b2 * a2, 4) AS mu, round(sqrt((syy - b1 * b1 * s1 - b2 * b2 * s2) / (n - 3) * (1 + 1.0 / n + a1 * a1 / s1 + a2 * a2 / s2)), 4) AS sigma, CAST(n - 3 AS DOUBLE) AS nu FROM f WHERE n = (SELECT count(DISTINCT t) FROM h)"""
+SQL["ms_quadratic"] = sql_by_supplier(SQL["m_quadratic"], False)
 
 
 @query(f"""WITH RECURSIVE {OBS}, p AS ({LINE}), q AS (SELECT *, unnest([0.05, 0.5, 0.9]) AS prob FROM p),
@@ -138,6 +139,14 @@ def v_methods(spark, sf):
     return rounded(verify.summary(s, ["method", "t"]).select("method", "t", "rmse", "bias"))
 
 
+@query(name="v_targets")  # its SQL is in method_sql
+def v_targets(spark, sf):
+    """All methods of one plan at eight targets and two leads."""
+    s = study.verify_methods(star.obs_panel(spark, sf), star.fcst_leads(spark, sf), list(targets.LINES), list(range(20, 28)), OPTIONS, star.site_weights(spark, sf), [1, 2])
+    g = s.groupBy("method", "lag", "t").agg(F.count("*").alias("n"), *((F.sum(F.col("w") * e) / F.sum("w")).alias(n) for n, e in (("square", F.col("error") * F.col("error")), ("bias", F.col("error")), ("nll", F.col("nll")))))
+    return g.select("method", "lag", "t", "n", F.round(F.sqrt("square"), 4).alias("rmse"), F.round("bias", 4).alias("bias"), F.round("nll", 6).alias("nll"))
+
+
 @query("""WITH a AS (SELECT CAST(i AS INTEGER) AS idx, -90.0 + 7.5 * i + 0.1 * (i % 3) AS centre FROM range(0, 25) r(i)),
 l AS (SELECT idx, coalesce((lag(centre) OVER o + centre) / 2, -90.0) AS lo, coalesce((lead(centre) OVER o + centre) / 2, 90.0) AS hi FROM a WINDOW o AS (ORDER BY idx))
 SELECT idx, round(lo, 9) AS lo, round(hi, 9) AS hi, round(sin(radians(hi)) - sin(radians(lo)), 9) AS area FROM l""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,29 @@ OBS = """o_ AS (SELECT c_nationkey, o_orderdate, o_orderpriority, o_totalprice F
 obs AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS t, avg(o_totalprice) AS value FROM o_ GROUP BY 1, 2),
 obsm AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS t, avg(o_totalprice) AS value FROM o_ GROUP BY 1, 2),
 h AS (SELECT * FROM obs WHERE t < 27)"""
-FCST = """f_ AS (SELECT n_regionkey, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS t, o_orderpriority AS model, avg(o_totalprice) AS value FROM o_ JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
-fcst AS (SELECT CAST(n_nationkey AS BIGINT) AS site, t, model, value FROM nation JOIN f_ USING (n_regionkey)),
-fm AS (SELECT site, t, avg(value) AS m FROM fcst GROUP BY 1, 2),
-w AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST(count(*) AS DOUBLE) AS w FROM customer GROUP BY 1),
+FCST_TAIL = """fm AS (SELECT site, t, avg(value) AS m FROM fcst GROUP BY 1, 2),
 j AS (SELECT h.site, h.t, h.value AS y, a.m - b.m AS m, w FROM h JOIN fm a USING (site, t) JOIN fm b ON b.site = h.site AND b.t = 27 JOIN w ON w.site = h.site),
 c AS (SELECT *, t - avg(t) OVER s AS tc, m - avg(m) OVER s AS mc, y - avg(y) OVER s AS yc, y - m - avg(y - m) OVER s AS rc FROM j WINDOW s AS (PARTITION BY site))"""
+FCST = f"""f_ AS (SELECT n_regionkey, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS t, o_orderpriority AS model, avg(o_totalprice) AS value FROM o_ JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+fcst AS (SELECT CAST(n_nationkey AS BIGINT) AS site, t, model, value FROM nation JOIN f_ USING (n_regionkey)),
+w AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST(count(*) AS DOUBLE) AS w FROM customer GROUP BY 1),
+{FCST_TAIL}"""
+
+#: The same panels by supplier: as many sites as there are suppliers.
+OBS_SUPPLIER = """o_ AS (SELECT CAST(l_suppkey AS BIGINT) AS site, CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) AS INTEGER) AS t, 'line' || least(l_linenumber, 5) AS model, l_extendedprice FROM lineitem),
+obs AS (SELECT site, t, avg(l_extendedprice) AS value FROM o_ GROUP BY 1, 2),
+h AS (SELECT * FROM obs WHERE t < 27)"""
+FCST_SUPPLIER = f"""f_ AS (SELECT n_regionkey, t, model, avg(l_extendedprice) AS value FROM o_ JOIN supplier ON s_suppkey = o_.site JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
+fcst AS (SELECT CAST(s_suppkey AS BIGINT) AS site, t, model, value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN f_ USING (n_regionkey)),
+w AS (SELECT site, CAST(count(*) AS DOUBLE) AS w FROM o_ GROUP BY 1),
+{FCST_TAIL}"""
+
+
+def sql_by_supplier(sql: str, huge: bool) -> str:
+    """A method's SQL over the panels by supplier, less rounded, as there are more numbers to agree."""
+    whole = re.sub(r"round\(((?:(?!round\().)*?), [04]\) AS (mu|sigma|nu)", r"(\1) AS \2", sql, flags=re.S)
+    inner = whole.replace(OBS, OBS_SUPPLIER).replace(FCST, FCST_SUPPLIER)
+    return f"SELECT site, round(mu, 2) AS mu, round(sigma, {-4 if huge else 2}) AS sigma, round(nu, 2) AS nu FROM ({inner})"
 
 
 def sql_moments(source: str, value: str, shift: str = "0", inflate: bool = False) -> str:
@@ -126,8 +144,23 @@ def _method(name: str):
     return run
 
 
+def _method_by_supplier(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fcst = star.supplier_fcst(spark, sf_dir)
+        out = predict.predict(name, star.supplier_obs(spark, sf_dir), fcst, OPTIONS, star.supplier_weights(spark, sf_dir))
+        return rounded(out.withColumn("sigma", F.round("sigma", -4)) if name in HUGE else out, 2)
+
+    return run
+
+
+def add_method(name: str, sql: str | None) -> None:
+    """The queries of a method by nation and by supplier."""
+    query(sql, f"m_{name}")(_method(name))
+    query(sql and sql_by_supplier(sql, name in HUGE), f"ms_{name}")(_method_by_supplier(name))
+
+
 for _name in METHODS:
-    query(METHOD_SQL.get(_name), f"m_{_name}")(_method(_name))
+    add_method(_name, METHOD_SQL.get(_name))
 
 
 # ---- time, quality, filling ----

@@ -40,6 +40,32 @@ def fcst_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.join(regional, "n_regionkey").select("site", "t", "model", "value")
 
 
+def fcst_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, model, lag, value: lead 1 as fcst_panel, lead 2 what that gave for the quarter before."""
+    both = fcst_panel(spark, sf_dir).withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2))))
+    return both.withColumn("t", (F.col("t") + F.col("lag") - 1).cast("int"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("site"), quarter("l_shipdate").alias("t"), F.concat(F.lit("line"), F.least("l_linenumber", F.lit(5)).cast("string")).alias("model"), "l_extendedprice")
+
+
+def supplier_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, value: prices by supplier and quarter, so that the number of sites grows with the tables."""
+    return _lines(spark, sf_dir).groupBy("site", "t").agg(F.avg("l_extendedprice").alias("value"))
+
+
+def supplier_fcst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, model, value: each supplier has the prices of its region by place on the order."""
+    region = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("long").alias("site"), "n_regionkey")
+    regional = _lines(spark, sf_dir).join(region, "site").groupBy("n_regionkey", "t", "model").agg(F.avg("l_extendedprice").alias("value"))
+    return region.join(regional, "n_regionkey").select("site", "t", "model", "value")
+
+
+def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).groupBy("site").agg(F.count("*").cast("double").alias("w"))
+
+
 def fcst_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).groupBy("site", quarter().alias("t"), F.col("o_orderpriority").alias("model")).agg(F.avg("o_totalprice").alias("value"))
 
