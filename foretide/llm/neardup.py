@@ -277,7 +277,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = stored(agree(members.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), reps))
     ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
     sets = stored(full_sets(docs.where("doc_id IS NOT NULL"), ids.hint("merge")))
-    label = components(same_id.unionByName(links(stars(edges), sets)))
+    # stored, as components reads its links in both directions
+    starred = stored(same_id.unionByName(links(stars(edges), sets)))
+    label = components(starred)
+    discard(starred)
 
     placed = members.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n_shingles", "bucket", F.coalesce("comp", "rep").alias("comp"))
     placed = stored(placed)
@@ -285,7 +288,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     new = rows.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id", "left_anti")
     if not new.isEmpty():
         sets = sets.unionByName(stored(full_sets(docs, new)))
-    joined = components(links(rows, sets))
+    blocked = stored(links(rows, sets))
+    joined = components(blocked)
+    discard(blocked)
     discard(members, edges, placed, rows)
 
     whole = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("node"))
