@@ -129,6 +129,58 @@ def shrunk(x: np.ndarray, y: np.ndarray, live: np.ndarray, at: np.ndarray, prior
     return np.where(good, (at * beta).sum(1), np.nan), np.where(good, sigma, np.nan), np.where(good, nu, np.nan)
 
 
+# ---- random walks plus noise ----
+
+
+def innovate(z: np.ndarray, live: np.ndarray, ahead: np.ndarray, gamma: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of the innovations of columns z (sites x times x columns), and log det Q, for Q = (1 - gamma) I + gamma min(ahead, ahead').
+
+    The walk is 0 at the target, so it is filtered from the nearest time outwards; gamma may differ from site to site.
+    """
+    n, _, k = z.shape
+    a, p, last, logdet, total = np.zeros((n, k)), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, k, k))
+    for i in np.argsort(ahead):
+        on = live[:, i]
+        walk = p + gamma * (ahead[i] - last)
+        f = walk + (1 - gamma)
+        e = np.where(on[:, None], z[:, i] - a, 0.0)
+        total += e[:, :, None] * e[:, None, :] / f[:, None, None]
+        logdet += np.where(on, np.log(f), 0.0)
+        a = a + (walk / f)[:, None] * e
+        p, last = np.where(on, walk * (1 - gamma) / f, p), np.where(on, ahead[i], last)
+    return total, logdet
+
+
+def normal_equations(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sums of products of columns and, last, a response: whether they can be solved, the last column's coefficient, its unit variance, and the residual sum."""
+    k = total.shape[1] - 1
+    with np.errstate(all="ignore"):
+        size = np.sqrt(np.diagonal(total, axis1=1, axis2=2))[:, :k]
+        scaled = total[:, :k, :k] / size[:, :, None] / size[:, None]
+        good = np.isfinite(scaled).all((1, 2))
+        scaled = np.where(good[:, None, None], scaled, np.eye(k))
+        good &= np.linalg.eigvalsh(scaled)[:, 0] > DEPENDENT
+        scaled = np.where(good[:, None, None], scaled, np.eye(k))
+        b = total[:, :k, k] / size
+        solved = np.linalg.solve(scaled, np.stack([b, np.eye(k)[-1:].repeat(len(total), 0)], -1))
+        rss = np.maximum(total[:, k, k] - (b * solved[..., 0]).sum(1), 0)
+        return good, solved[:, -1, 0] / size[:, -1], solved[:, -1, 1] / size[:, -1] ** 2, rss
+
+
+def adaptive_gamma(z: np.ndarray, live: np.ndarray, ahead: np.ndarray, grid: np.ndarray, refine: bool) -> np.ndarray:
+    """For each site the mixing weight with the least r' Q^-1 r + log det Q: the best of a grid, then, if asked, by golden section beside it."""
+
+    def cost(gamma: np.ndarray) -> np.ndarray:
+        total, logdet = innovate(z, live, ahead, gamma)
+        good, *_, rss = normal_equations(total)
+        return np.where(good, rss + logdet, np.inf)
+
+    best = np.stack([cost(np.full(len(z), g)) for g in grid]).argmin(0)
+    if not refine:
+        return grid[best]
+    return golden(cost, grid[np.maximum(0, best - 1)], grid[np.minimum(len(grid) - 1, best + 1)], 45)
+
+
 # ---- smoothing splines ----
 
 

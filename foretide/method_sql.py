@@ -15,11 +15,12 @@ MODELS = 5  # order priorities
 LINES = [f"x{i}" for i in range(1, MODELS + 1)]
 
 
-def solved(name: str, source: str) -> str:
-    """CTE `name`: the rows of source, its matrix `a` reduced."""
+def solved(name: str, source: str, logdet: bool = False) -> str:
+    """CTE `name`: the rows of source, its matrix `a` reduced, and if asked the logarithm of its square part's determinant."""
     other = "list_transform(range(1, len(a[1]) + 1), lambda j: a[i][j] - a[i][k] * a[k][j] / a[k][k])"
     step = f"list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = k THEN list_transform(a[k], lambda v: v / a[k][k]) ELSE {other} END)"
-    return f"""{name}_g AS (SELECT *, 1 AS k FROM {source} UNION ALL SELECT * REPLACE ({step} AS a, k + 1 AS k) FROM {name}_g WHERE k <= len(a)),
+    first, more = (", 0.0::DOUBLE AS logdet", ", logdet + ln(a[k][k]) AS logdet") if logdet else ("", "")
+    return f"""{name}_g AS (SELECT *, 1 AS k{first} FROM {source} UNION ALL SELECT * REPLACE ({step} AS a, k + 1 AS k{more}) FROM {name}_g WHERE k <= len(a)),
 {name} AS (SELECT * EXCLUDE (k) FROM {name}_g WHERE k = len(a) + 1)"""
 
 

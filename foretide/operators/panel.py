@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def shift_month(year: Column, month: Column, by: Column | int) -> tuple[Column,
 
 
 def expand_months(spark, years: list[int], months: list[int], how: str = "cross") -> DataFrame:
-    """Target months: 'zip' pairs the lists, 'cross' takes all pairs, months fastest."""
+    """Target months: 'zip' pairs the lists, 'cross' takes all pairs, months fastest; `months_of` takes years from a table."""
     pairs = list(zip(years, months, strict=True)) if how == "zip" else [(y, m) for y in years for m in months]
     return spark.createDataFrame(pairs, "year int, month int")
 
@@ -34,6 +36,33 @@ def season_mean(monthly: DataFrame, keys: list[str], months: list[int]) -> DataF
     return g.where(F.col("n") == len(months)).drop("n")
 
 
+def months_of(years: DataFrame, months: list[int]) -> DataFrame:
+    """years (year) -> year, month: each year once with each of the months."""
+    return years.select("year").distinct().select(F.col("year").cast("int").alias("year"), F.explode(F.array(*map(F.lit, months))).alias("month"))
+
+
+def right_aligned(panel: DataFrame, targets: list[tuple[int, int]], length: int, values: list[str], keys: list[str]) -> DataFrame:
+    """Means by days over the months of a season that may run over the end of a year: keys, year (of the first month), values.
+
+    panel (keys, year, month, values); targets: year and month of each month of the season that is to be predicted. The
+    years of each month count backwards from its target (rank 1: the year before), so that a December meets the January
+    after it; `length` ranks are kept, as many as the first month has years. Ranks that lack a month are left out. The
+    target itself is rank 0 and is kept where the panel has it, as trends do.
+    """
+    days = {m: days_of(y, m) for y, m in targets}
+    at = F.create_map(*(F.lit(x) for y, m in targets for x in (m, y)))
+    share = F.create_map(*(x for m, n in days.items() for x in (F.lit(m), F.lit(n / sum(days.values())))))
+    d = panel.where(F.col("month").isin([m for _, m in targets])).withColumn("rank", at[F.col("month")] - F.col("year")).where(F.col("rank").between(0, length))
+    n = len(targets)
+    sums = [F.when(F.count(v) == n, F.sum(share[F.col("month")] * F.col(v))).alias(v) for v in values]
+    g = d.groupBy(*keys, "rank").agg(F.count("*").alias("_n"), *sums).where(F.col("_n") == n)
+    return g.select(*keys, (F.lit(targets[0][0]) - F.col("rank")).cast("int").alias("year"), *values)
+
+
+def days_of(year: int, month: int) -> int:
+    return calendar.monthrange(year, month)[1]
+
+
 # ---- quality ----
 
 
@@ -60,20 +89,40 @@ def ensemble_summary(raw: DataFrame, keys: list[str]) -> DataFrame:
     return raw.groupBy(*keys).agg(F.avg("value").alias("vals_mean"), F.stddev_samp("value").alias("vals_sd"), F.count("value").alias("nr"))
 
 
-def fill_missing_years(fcst: DataFrame) -> DataFrame:
-    """fcst (site, t, model, value): a model without a year takes that year's mean of the others plus its mean offset at the site.
+def times_of(present: DataFrame, times: list[int]) -> DataFrame:
+    """The times as rows; one that no row has is an error."""
+    known = present.groupBy("t").agg(F.count("*").alias("n"))
+    asked = present.sparkSession.createDataFrame([(t,) for t in times], f"t {dict(present.dtypes)['t']}")
+    lacks = F.raise_error(F.concat(F.lit("no forecasts in year "), F.col("t").cast("string"))).cast("int")
+    return asked.join(known, "t", "left").select(F.when(F.col("n").isNotNull(), F.col("t")).otherwise(lacks).alias("t"))
+
+
+def fill_missing_years(fcst: DataFrame, times: list[int] | None = None) -> DataFrame:
+    """fcst (site, t, model, value, and sd if there is a spread): rows for every model in every year of a site.
 
-    Offsets come from the years in which all models have values. `filled` marks the rows made.
+    A model without a year takes the mean of the models present in that year, plus its mean difference from the mean of
+    those models over the years in which all models are present; its spread is the root of its mean square over years.
+    Without any such year, or any model in the year at a site, the value stays null. `filled` marks the rows made. times:
+    the years of each site; one without a forecast of any model anywhere is an error.
     """
-    present = fcst.where(F.col("value").isNotNull())
-    models = present.select("model").distinct()
-    n_models = F.lit(models.count())
-    mean = present.groupBy("site", "t").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    full = mean.where(F.col("n") == n_models)
-    offset = present.join(full, ["site", "t"]).groupBy("site", "model").agg(F.avg(F.col("value") - F.col("mean")).alias("offset"))
-    grid = mean.select("site", "t", "mean").crossJoin(F.broadcast(models))  # models are a handful
-    out = grid.join(present.select("site", "t", "model", "value"), ["site", "t", "model"], "left").join(offset, ["site", "model"], "left")
-    return out.select("site", "t", "model", F.coalesce("value", F.col("mean") + F.coalesce("offset", F.lit(0.0))).alias("value"), F.col("value").isNull().alias("filled"))
+    spread = "sd" in fcst.columns
+    present = fcst.where(F.col("value").isNotNull()).select("site", "t", "model", "value", *(["sd"] if spread else [])).repartition("site")
+    models = F.broadcast(present.agg(F.sort_array(F.collect_set("model")).alias("models")))  # one row, a handful of names
+    d = present.crossJoin(models).withColumn("n", F.count("*").over(Window.partitionBy("site", "t")))
+    whole = F.when(F.col("n") == F.size("models"), F.col("value"))
+    rms = [F.sqrt(F.avg(F.col("sd") * F.col("sd"))).alias("rms")] if spread else []
+    # means over the same years: their differences are the means of differences, whichever models a gap has beside it
+    base = d.groupBy("site", "model").agg(F.avg(whole).alias("base"), *rms)
+    year = d.join(base.select("site", "model", "base"), ["site", "model"]).groupBy("site", "t").agg(F.avg("value").alias("mean"), F.avg("base").alias("mean_base"))
+    if times is not None:
+        any_ = times_of(present, times)
+        year = present.select("site").distinct().crossJoin(F.broadcast(any_)).join(year, ["site", "t"], "left")
+    grid = year.crossJoin(models).select("site", "t", "mean", "mean_base", F.explode("models").alias("model"))
+    out = grid.join(present, ["site", "t", "model"], "left").join(base, ["site", "model"], "left")
+    made = F.col("value").isNull()
+    columns = [F.coalesce("value", F.col("mean") + F.col("base") - F.col("mean_base")).alias("value")]
+    columns += [F.when(made, F.col("rms")).otherwise(F.col("sd")).alias("sd")] if spread else []
+    return out.select("site", "t", "model", *columns, made.alias("filled"))
 
 
 def fill_from_neighbours(df: DataFrame, keys: list[str], order: str, period: int | None = None) -> DataFrame:
@@ -162,6 +211,80 @@ def transform_scores(other: DataFrame, base: DataFrame, keys: list[str], cap: bo
     return j.drop("_x0", "_x1", "_y0", "_y1", "_i", "_k", "_n")
 
 
+def values_at(base: DataFrame, wanted: DataFrame, keys: list[str], column: str = "quantile") -> DataFrame:
+    """The inverse of normal scores: wanted (keys, quantile) -> value, on the line between the sorted values of base (keys, value) at scores of k / (n + 1).
+
+    End pieces go on. A key with one value has that value at every quantile; quantiles outside (0, 1) give null.
+    """
+    s = base.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_s"))
+    d = wanted.join(s, keys).withColumn("_n", F.size("_s"))
+    k = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col(column) * (F.col("_n") + 1)).cast("int")))
+    d = d.withColumn("_k", k)
+    score = lambda i: norm_ppf(i / (F.col("_n") + 1))
+    low, high = F.element_at("_s", F.col("_k")), F.element_at("_s", F.least(F.col("_k") + 1, F.col("_n")))
+    z0, z1 = score(F.col("_k")), score(F.col("_k") + 1)
+    z = norm_ppf(F.col(column))
+    value = F.when(z.isNull(), None).when(F.col("_n") == 1, low).otherwise(low + (z - z0) / (z1 - z0) * (high - low))
+    return d.withColumn("value", value).drop("_s", "_n", "_k")
+
+
+#: Bins of a histogram that narrows quantiles down, values of a bin that are sorted at once, keys at most.
+BINS, FEW, MOST_KEYS = 1024, 4096, 10_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], qs: list[float], hazen: bool = True) -> DataFrame:
+    """As `quantiles`, for few keys (up to MOST_KEYS, else an error) of any size: no task holds a key's values.
+
+    Every order statistic is narrowed down by histograms of its key's range, counted in all tasks: a round keeps the bin
+    that holds it, from that bin's least to its greatest value, until few values are left, which are sorted. A round is
+    a job that sends a row for each key and open order statistic to the driver.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    d = df.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"))
+    shape = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("n > 0").limit(MOST_KEYS + 1).collect()
+    if len(shape) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys")
+    kinds = dict(df.dtypes)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    found, open_, shares = {}, {}, {}
+    for r in shape:
+        key = tuple(r[k] for k in keys)
+        for i, q in enumerate(qs):
+            place = max(1.0, min(float(r["n"]), q * r["n"] + 0.5)) if hazen else 1 + q * (r["n"] - 1)
+            low = int(place + 1e-12)
+            shares[key, i] = place - low
+            for j in (0, 1):
+                open_[key, i, j] = (min(low + j, r["n"]), r["lo"], r["hi"], r["n"])
+    while open_:
+        found |= {k: lo for k, (_, lo, hi, _) in open_.items() if lo == hi}
+        open_ = {k: v for k, v in open_.items() if k not in found}
+        few = sorted({(k[0], lo, hi) for k, (_, lo, hi, n) in open_.items() if n <= FEW}, key=str)
+        many = sorted({(k[0], lo, hi) for k, (_, lo, hi, n) in open_.items() if n > FEW}, key=str)
+
+        def inside(spans: list) -> DataFrame:
+            rows = spark.createDataFrame([(*k, n, lo, hi) for n, (k, lo, hi) in enumerate(spans)], f"{schema}span long, lo double, hi double")
+            met = d.join(F.broadcast(rows), keys) if keys else d.crossJoin(F.broadcast(rows))  # at most MOST_KEYS times the order statistics
+            return met.where(F.col("value").between(F.col("lo"), F.col("hi")))
+
+        if few:
+            got = {few[r["span"]]: r["s"] for r in inside(few).groupBy("span").agg(F.sort_array(F.collect_list("value")).alias("s")).collect()}
+            found |= {k: got[k[0], lo, hi][rank - 1] for k, (rank, lo, hi, _) in open_.items() if (k[0], lo, hi) in got}
+            open_ = {k: v for k, v in open_.items() if k not in found}
+        if many:
+            at = F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)
+            hist = inside(many).groupBy("span", F.least(F.lit(BINS - 1), at).alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+            upto = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("span").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+            names = {s: n for n, s in enumerate(many)}
+            asked = list(open_)
+            wanted = spark.createDataFrame([(n, names[k[0], open_[k][1], open_[k][2]], open_[k][0]) for n, k in enumerate(asked)], "w long, span long, rank long")
+            hit = upto.join(F.broadcast(wanted), "span").where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+            for r in hit.select("w", "rank", "upto", "n", "lo", "hi").collect():
+                open_[asked[r["w"]]] = (r["rank"] - (r["upto"] - r["n"]), r["lo"], r["hi"], r["n"])
+    values = {(k, i): (found[k, i, 0], found[k, i, 1]) for k, i in shares}
+    rows = [(*key, [a + shares[key, i] * (b - a) for i in range(len(qs)) for a, b in [values[key, i]]]) for key in dict.fromkeys(k for k, _ in shares)]
+    return spark.createDataFrame(rows, f"{schema}quantiles array<double>")
+
+
 def quantile(df: DataFrame, keys: list[str], q: float, hazen: bool = True) -> DataFrame:
     """Quantiles with (k - 1/2)/n at the kth value (Hazen), or (k - 1)/(n - 1)."""
     return quantiles(df, keys, [q], hazen).select(*keys, F.col("quantiles")[0].alias("quantile"))

@@ -33,6 +33,16 @@ def nearest_index(x: Column, first: float, step: float, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.round((x - first) / step).cast("int")))
 
 
+def nearest_on_axis(x: Column, centres: list[float]) -> Column:
+    """The place, from 0, of the nearest of unevenly spaced centres (rising or falling), between two of them by the straight line; ends hold beyond."""
+    sign = 1.0 if centres[-1] >= centres[0] else -1.0
+    rising = [sign * c for c in centres]
+    axis, z = F.array(*map(F.lit, rising)), sign * x
+    i = F.greatest(F.lit(1), F.least(F.lit(len(rising) - 1), F.size(F.filter(axis, lambda c: c <= z))))
+    low, high = F.element_at(axis, i), F.element_at(axis, i + 1)
+    return F.greatest(F.lit(0), F.least(F.lit(len(rising) - 1), F.floor(i - 1 + (z - low) / (high - low) + 0.5).cast("int")))
+
+
 def sine_limits(limits: list[float]) -> list[float]:
     """Latitude limits as sines, so that differences are areas."""
     return np.sin(np.radians(limits)).tolist()

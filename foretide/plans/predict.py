@@ -172,8 +172,8 @@ def gathered(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("t", *(c for c in columns if c != "t")))).alias("s"))
 
 
-def _by_batch(df: DataFrame, columns: list[str], fit: Callable[..., tuple]) -> DataFrame:
-    """fit(times, live, the columns as sites x times) -> mean, scale and degrees of freedom of all sites of a batch; NaN is null."""
+def _by_batch(df: DataFrame, columns: list[str], fit: Callable[..., tuple], names: tuple[str, ...] = ("mu", "sigma", "nu")) -> DataFrame:
+    """fit(times, live, the columns as sites x times) -> mean, scale and degrees of freedom (or other names) of all sites of a batch; NaN is null."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,9 +181,9 @@ def _by_batch(df: DataFrame, columns: list[str], fit: Callable[..., tuple]) -> D
         for batch in batches:
             for rows, t, live, *arrays in series_tensors(batch, columns):
                 out = fit(t, live, *arrays)
-                yield pa.RecordBatch.from_arrays([batch.column("site").slice(rows.start, len(live)), *(pa.array(x, from_pandas=True) for x in out)], names=["site", "mu", "sigma", "nu"])
+                yield pa.RecordBatch.from_arrays([batch.column("site").slice(rows.start, len(live)), *(pa.array(x, from_pandas=True) for x in out)], names=["site", *names])
 
-    return gathered(df, columns).mapInArrow(run, f"site {dict(df.dtypes)['site']}, mu double, sigma double, nu double")
+    return gathered(df, columns).mapInArrow(run, f"site {dict(df.dtypes)['site']}, " + ", ".join(f"{n} double" for n in names))
 
 
 def innovations(s: DataFrame, xs: list[str], gamma: float, lost: int) -> DataFrame:
@@ -342,6 +342,26 @@ def ewma_linear_corrected(i: Inputs) -> DataFrame:
     return ewma_corrected(i, 1)
 
 
+def adaptive_walk(i: Inputs, degree: int = 0, grid: int = 33, refine: bool = True, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """site, gamma, mu, sigma, nu: `ewma` with the mixing weight of each site that is likeliest between low and high, out of a grid and, if asked, beside its best."""
+    at, gammas = i.o.t_pred, np.linspace(low, high, grid)
+
+    def fit(t, live, y):
+        ahead, n = at - t, live.sum(1)
+        level = np.where(live, y, 0).sum(1) / np.maximum(n, 1)
+        shifted = np.where(live, y - level[:, None], 0.0)
+        z = np.stack([*([np.broadcast_to(ahead, y.shape)] if degree else []), np.ones(y.shape), shifted], -1)
+        gamma = stacks.adaptive_gamma(z, live, ahead, gammas, refine)
+        good, mu, unc, rss = stacks.normal_equations(stacks.innovate(z, live, ahead, gamma)[0])
+        nu = n - 1 - degree
+        good &= n >= degree + 1
+        with np.errstate(all="ignore"):
+            sigma = np.sqrt(rss / np.where(nu > 0, n - degree, np.nan) * (1 - gamma + unc))
+        return tuple(np.where(good, a, np.nan) for a in (gamma, mu + level, sigma, nu.astype(float)))
+
+    return _by_batch(i.obs, ["value"], fit, ("gamma", "mu", "sigma", "nu"))
+
+
 # ---- forecasts with an offset, and global coefficients ----
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.functions.special import exceedance, log_score, t_ppf
+from foretide.functions.special import exceedance, log_score, t_cdf, t_ppf
 from foretide.operators import panel
 from foretide.plans import predict, targets, verify
 
@@ -72,11 +73,31 @@ def place(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def climate_classes(clim: DataFrame, n: int) -> DataFrame:
+    """clim (site, mean) -> site, class: n classes of sites of about equal number by mean, from 1."""
+    cuts = panel.exact_quantiles(clim.select(F.col("mean").alias("value")), [], [k / n for k in range(1, n)])
+    return clim.join(F.broadcast(cuts), F.lit(True)).select("site", (1 + place(F.col("mean"), F.col("quantiles"))).alias("class"))  # one row
+
+
+def conditional_skill(pred: DataFrame, placed: DataFrame, clim: DataFrame, classes: DataFrame, on: list[str], n: int = 100, floor: float = math.exp(-40)) -> DataFrame:
+    """class, category, n_rows, mean_log (of the category's chance over all predictions of the class), n_seen, mean_log_seen (over those it came true for).
+
+    pred (on, mu, sigma, nu), placed (on, category: the observed one), clim (site, mean, sd), classes (site, class).
+    Chances are at least `floor`. Rows go out as one for each category and are added up where they are.
+    """
+    inner = verify.category_bounds(n)
+    bounds = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip([float("-inf"), *inner], [*inner, float("inf")])))
+    d = pred.join(placed.select(*on, F.col("category").alias("seen")), on).join(clim, "site").join(classes, "site")
+    d = d.select("class", "seen", "mu", "sigma", "nu", "mean", "sd", F.posexplode(bounds).alias("i", "b"))
+    below = lambda z: t_cdf((F.col("mean") + F.col("sd") * z - F.col("mu")) / F.col("sigma"), F.col("nu"))
+    p = F.log(F.greatest(F.lit(floor), below(F.col("b.high")) - below(F.col("b.low"))))
+    d = d.select("class", (F.col("i") + 1).alias("category"), (F.col("i") + 1 == F.col("seen")).alias("hit"), p.alias("p"))
+    return d.groupBy("class", "category").agg(F.count("p").alias("n_rows"), F.avg("p").alias("mean_log"), F.count(F.when(F.col("hit"), F.col("p"))).alias("n_seen"), F.avg(F.when(F.col("hit"), F.col("p"))).alias("mean_log_seen"))
+
+
 def skill_by_climate(scored: DataFrame, clim: DataFrame, n: int) -> DataFrame:
     """scored (site, error, nll, w), clim (site, mean) -> weighted scores in n classes of sites of about equal number by mean."""
-    cuts = panel.quantiles(clim.select(F.lit(0).alias("all"), F.col("mean").alias("value")), ["all"], [k / n for k in range(1, n)])
-    d = clim.join(F.broadcast(cuts), F.lit(True)).select("site", (1 + place(F.col("mean"), F.col("quantiles"))).alias("class"))  # one row
-    return verify.summary(scored.join(d, "site"), ["class"])
+    return verify.summary(scored.join(climate_classes(clim, n), "site"), ["class"])
 
 
 def verify_methods(obs: DataFrame, fcst: DataFrame | None, methods: list[str], times: list[int], options: predict.Options, weights: DataFrame | None, lags: list[int] | None = None) -> DataFrame:

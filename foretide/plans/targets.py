@@ -115,38 +115,20 @@ def line(s: Systems, at: float, g: np.ndarray, response: np.ndarray, columns: np
 
 def walk(s: Systems, at: float, columns: tuple[str, ...], gamma: float) -> stacks.Fits:
     """White noise mixed with a random walk that is 0 at the target: products of innovations, step by step from the target."""
-    before = np.flatnonzero(s.t < at)[::-1]
+    before = np.flatnonzero(s.t < at)
     goal = s.goal(at)
-    n_s = len(s.y)
-    names = [*columns, "one", "y"]
-    a, p, last = np.zeros((n_s, len(names))), np.zeros(n_s), np.zeros(n_s)
-    total = np.zeros((n_s, len(names), len(names)))
-    mean = None if not s.k else (s.x - s.level[:, None, 3:-1] - goal[:, None, 3:-1]).mean(2)
-    for i in before:
-        on, v = s.live[:, i], at - s.t[i]
-        z = np.stack([{"v": np.full(n_s, v), "one": np.ones(n_s), "y": s.y[:, i] - s.level[:, -1], "m": mean[:, i] if "m" in names else 0}[c] for c in names], 1)
-        ahead = p + gamma * (v - last)
-        f = ahead + (1 - gamma)
-        e = np.where(on[:, None], z - a, 0.0)
-        total += e[:, :, None] * e[:, None, :] / f[:, None, None]
-        a = a + (ahead / f)[:, None] * e
-        p, last = np.where(on, ahead * (1 - gamma) / f, p), np.where(on, v, last)
-    n, k = s.live[:, before].sum(1), len(names) - 1
-    size = np.sqrt(np.diagonal(total, axis1=1, axis2=2))[:, :k]
+    mean = (s.x - s.level[:, None, 3:-1] - goal[:, None, 3:-1])[:, before].mean(2) if s.k else None
+    ahead = at - s.t[before]
+    y = s.y[:, before] - s.level[:, -1:]
+    z = np.stack([*({"v": np.broadcast_to(ahead, y.shape), "m": mean}[c] for c in columns), np.ones(y.shape), y], -1)
+    total, _ = stacks.innovate(z, s.live[:, before], ahead, gamma)
+    good, level, unc, rss = stacks.normal_equations(total)
+    n, k = s.live[:, before].sum(1), len(columns) + 1
+    good &= (n >= k) & np.isfinite(goal).all(1)
     with np.errstate(all="ignore"):
-        scaled = total[:, :k, :k] / size[:, :, None] / size[:, None]
-        good = (n >= k) & np.isfinite(scaled).all((1, 2)) & np.isfinite(goal).all(1)
-        scaled = np.where(good[:, None, None], scaled, np.eye(k))
-        good &= np.linalg.eigvalsh(scaled)[:, 0] > stacks.DEPENDENT
-        scaled = np.where(good[:, None, None], scaled, np.eye(k))
-        b = total[:, :k, k] / size
-        solved = np.linalg.solve(scaled, np.stack([b, np.eye(k)[-1:].repeat(n_s, 0)], -1))
-        rss = np.maximum(total[:, k, k] - (b * solved[..., 0]).sum(1), 0)
-        mu = solved[:, -1, 0] / size[:, -1] + s.level[:, -1]
-        unc = solved[:, -1, 1] / size[:, -1] ** 2
         nu = n - k - (1 if s.k else 0)
         sigma = np.sqrt(rss / np.where(nu > 0, n - (k - 1), np.nan) * (1 - gamma + unc))
-    return np.where(good, mu, np.nan), np.where(good, sigma, np.nan), np.where(good, nu, np.nan)
+    return np.where(good, level + s.level[:, -1], np.nan), np.where(good, sigma, np.nan), np.where(good, nu, np.nan)
 
 
 def gather(obs: DataFrame, fcst: DataFrame | None, weights: DataFrame | None, models: list[str], lags: list, last: int) -> DataFrame:

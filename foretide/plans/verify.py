@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions import kernels
 from foretide.functions.special import t_cdf, t_crps, t_entropy, t_logpdf, t_ppf_value
+from foretide.operators import panel
 
 
 def scored(pred: DataFrame, obs: DataFrame, on: list[str], weights: DataFrame | None = None) -> DataFrame:
@@ -167,3 +168,10 @@ def tercile_map(pred: DataFrame, terciles: DataFrame) -> DataFrame:
 def values_cdf(pred: DataFrame, values: list[float]) -> DataFrame:
     """Probability of not exceeding each value."""
     return pred.select("*", F.explode(F.array(*map(F.lit, values))).alias("value")).withColumn("p", _cdf_at(F.col("value")))
+
+
+def quantiles_cdf(pred: DataFrame, clim: DataFrame, qs: list[float], factors: tuple[float, float] | None = None) -> DataFrame:
+    """Probability of not exceeding the quantiles of each site's climatology, clim (site, value); factors: logarithms of calibration (`calibrate`)."""
+    d = pred if factors is None else adjusted(pred, *factors)
+    at = panel.quantiles(clim, ["site"], qs).select("site", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("quantiles").alias("value"))).alias("z")).select("site", "z.q", "z.value")
+    return d.join(at, "site").withColumn("p", _cdf_at(F.col("value")))

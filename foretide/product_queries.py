@@ -147,11 +147,12 @@ def v_targets(spark, sf):
     return g.select("method", "lag", "t", "n", F.round(F.sqrt("square"), 4).alias("rmse"), F.round("bias", 4).alias("bias"), F.round("nll", 6).alias("nll"))
 
 
-@query("""WITH a AS (SELECT CAST(i AS INTEGER) AS idx, -90.0 + 7.5 * i + 0.1 * (i % 3) AS centre FROM range(0, 25) r(i)),
+@query("""WITH a AS (SELECT CAST(l_quantity AS INTEGER) AS idx, -90.0 + 3.5 * CAST(l_quantity AS INTEGER) + avg(l_discount) AS centre FROM lineitem GROUP BY l_quantity),
 l AS (SELECT idx, coalesce((lag(centre) OVER o + centre) / 2, -90.0) AS lo, coalesce((lead(centre) OVER o + centre) / 2, 90.0) AS hi FROM a WINDOW o AS (ORDER BY idx))
 SELECT idx, round(lo, 9) AS lo, round(hi, 9) AS hi, round(sin(radians(hi)) - sin(radians(lo)), 9) AS area FROM l""")
 def p_cell_limits(spark, sf):
-    axis = spark.range(25).select(F.col("id").cast("int").alias("idx"), (-90.0 + 7.5 * F.col("id") + 0.1 * (F.col("id") % 3)).alias("centre"))
+    quantity = F.col("l_quantity").cast("int")
+    axis = star.table(spark, sf, "lineitem").groupBy(quantity.alias("idx")).agg(F.avg("l_discount").alias("d")).select("idx", (-90.0 + 3.5 * F.col("idx") + F.col("d")).alias("centre"))
     d = regrid.cell_limits(axis, -90.0, 90.0)
     return d.select("idx", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), F.round(regrid.cell_area(F.col("lo"), F.col("hi")), 9).alias("area"))
 

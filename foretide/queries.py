@@ -179,9 +179,9 @@ def p_init_time(spark, sf):
     return d.withColumn("init_year", y).withColumn("init_month", m)
 
 
-@query("SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month FROM range(1996, 1999) a(y), range(3, 6) b(m)")
+@query("SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, m AS month FROM orders, (SELECT unnest([3, 4, 5]) AS m)")
 def p_expand_months(spark, sf):
-    return panel.expand_months(spark, [1996, 1997, 1998], [3, 4, 5])
+    return panel.months_of(star.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")), [3, 4, 5])
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_quantity <= 40 AND l_quantity <> 7 THEN l_quantity END AS value FROM lineitem")
@@ -202,12 +202,18 @@ def a_ensemble_summary(spark, sf):
     return rounded(panel.ensemble_summary(e, ["model", "grp"]), 6)
 
 
-GAPPY = """g AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS t, o_orderpriority AS model, avg(o_totalprice) AS value FROM o_ GROUP BY 1, 2, 3),
-gm AS (SELECT site, t, avg(value) AS mean, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT DISTINCT model FROM g),
-off AS (SELECT g.site, model, avg(value - mean) AS off FROM g JOIN gm USING (site, t) WHERE n = (SELECT count(*) FROM k) GROUP BY 1, 2)"""
+# offsets year by year, each gap with the models that are there beside it
+GAPPY = """g AS (SELECT CAST(c_nationkey AS BIGINT) AS site, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS t, o_orderpriority AS model, avg(o_totalprice) AS value, stddev_samp(o_totalprice) AS sd FROM o_ GROUP BY 1, 2, 3),
+gm AS (SELECT site, t, avg(value) AS mean, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT DISTINCT model FROM g), rms AS (SELECT site, model, sqrt(avg(sd * sd)) AS rms FROM g GROUP BY 1, 2),
+whole AS (SELECT site, t FROM gm WHERE n = (SELECT count(*) FROM k)),
+gap AS (SELECT gm.site, gm.t, k.model FROM gm CROSS JOIN k WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.site = gm.site AND g.t = gm.t AND g.model = k.model)),
+beside AS (SELECT gap.site, gap.t, gap.model, b.t AS year, avg(b.value) AS mean FROM gap JOIN g a ON a.site = gap.site AND a.t = gap.t JOIN g b ON b.site = gap.site AND b.model = a.model GROUP BY ALL),
+adj AS (SELECT o.site, o.t, o.model, avg(f.value - o.mean) AS adj FROM beside o JOIN whole y ON y.site = o.site AND y.t = o.year JOIN g f ON f.site = o.site AND f.t = o.year AND f.model = o.model GROUP BY ALL),
+filled AS (SELECT gm.site, gm.t, k.model, coalesce(g.value, gm.mean + adj) AS value, CASE WHEN g.value IS NULL THEN rms ELSE g.sd END AS sd, g.value IS NULL AS filled
+  FROM gm CROSS JOIN k LEFT JOIN g ON g.site = gm.site AND g.t = gm.t AND g.model = k.model LEFT JOIN adj ON adj.site = gm.site AND adj.t = gm.t AND adj.model = k.model LEFT JOIN rms ON rms.site = gm.site AND rms.model = k.model)"""
 
 
-@query(f"WITH {OBS}, {GAPPY} SELECT gm.site, gm.t, k.model, round(ln(coalesce(g.value, gm.mean + coalesce(off, 0))), 9) AS value, g.value IS NULL AS filled FROM gm CROSS JOIN k LEFT JOIN g ON g.site = gm.site AND g.t = gm.t AND g.model = k.model LEFT JOIN off ON off.site = gm.site AND off.model = k.model")
+@query(f"WITH {OBS}, {GAPPY} SELECT site, t, model, round(ln(value), 9) AS value, filled FROM filled")
 def b_fill_missing_years(spark, sf):
     return logged(panel.fill_missing_years(star.fcst_gappy(spark, sf)), "value")
 

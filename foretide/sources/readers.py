@@ -36,6 +36,8 @@ def read_observations(df: DataFrame, dataset: str, axes: dict[str, DataFrame], p
     keys tell months apart (default year, month); lat and lon are numbers of cells; period is the number of longitudes.
     """
     keys, s = keys or ["year", "month"], DATA_SETS[dataset]
+    if s.nearest:
+        raise ValueError(f"{dataset} holds points: read_points")
     d = df.where(F.col("year") >= s.start) if "year" in df.columns else df
     d = d.withColumn("value", F.when(~F.isnan("value") & ~F.expr(s.missing), F.col("value")))
     valid = None
@@ -53,6 +55,20 @@ def read_observations(df: DataFrame, dataset: str, axes: dict[str, DataFrame], p
     return out.join(share, on).select(*on, F.when(F.col("share") >= s.least_valid, F.col("value")).alias("value"))
 
 
+def read_points(df: DataFrame, dataset: str, lats: list[float], lons: list[float], keys: list[str] | None = None) -> DataFrame:
+    """df (keys, ordinal, lat, lon, value) of a data set of points -> keys, lat, lon (numbers of cells), value.
+
+    Each point goes to its nearest cell on the axes of centres given; nothing is averaged: of the points of one cell the
+    one with the greatest ordinal counts, even if its value is missing. Longitudes under 0 are turned once.
+    """
+    keys, s = keys or ["year", "month"], DATA_SETS[dataset]
+    d = df.where(F.col("year") >= s.start) if "year" in df.columns else df
+    value = F.when(~F.isnan("value") & ~F.expr(s.missing), F.col("value"))
+    lon = F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon"))
+    d = d.select(*keys, "ordinal", regrid.nearest_on_axis(F.col("lat"), lats).alias("lat"), regrid.nearest_on_axis(lon, lons).alias("lon"), F.struct(value.alias("v")).alias("value"))
+    return d.groupBy(*keys, "lat", "lon").agg(F.max_by("value", "ordinal").alias("value")).select(*keys, "lat", "lon", F.col("value.v").alias("value"))
+
+
 def read_forecasts(raw: DataFrame, lag: int, zero_is_missing: bool = False) -> DataFrame:
     """raw (model, site, init_year, init_month, year, month, member, value) -> mean, spread and count of members, for targets `lag` months on."""
     y, m = panel.shift_month(F.col("year"), F.col("month"), -lag)

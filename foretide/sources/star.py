@@ -66,8 +66,10 @@ def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy("site").agg(F.count("*").cast("double").alias("w"))
 
 
-def fcst_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).groupBy("site", quarter().alias("t"), F.col("o_orderpriority").alias("model")).agg(F.avg("o_totalprice").alias("value"))
+def fcst_gappy(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """site, t, model, value and, if asked, sd: by nation, so that some are missing."""
+    more = [F.stddev_samp("o_totalprice").alias("sd")] if spread else []
+    return _orders(spark, sf_dir).groupBy("site", quarter().alias("t"), F.col("o_orderpriority").alias("model")).agg(F.avg("o_totalprice").alias("value"), *more)
 
 
 def site_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from foretide import method_sql, product_queries, queries  # noqa: F401
+from foretide import method_sql, panel_queries, product_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -106,3 +106,28 @@ def test_long_histories(spark, name):
     rows = P.predict(name, obs, fcst, P.Options(t_pred=408)).collect()
     assert len(rows) == 20 and all(math.isfinite(r["mu"]) and r["sigma"] > 0 for r in rows)
     assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("degree", [0, 1])
+def test_adaptive_weight(spark, degree):
+    """The searched mixing weight against the search over dense matrices, and its fit against the method at that weight."""
+    r = np.random.default_rng(4)
+    n = 25
+    y = np.cumsum(r.normal(size=(6, n)), 1) * np.array([0, 0.3, 0.7, 1, 1.5, 3])[:, None] + r.normal(size=(6, n))
+    obs = spark.createDataFrame([(s, t, float(y[s, t])) for s in range(6) for t in range(n)], "site long, t int, value double")
+    got = P.adaptive_walk(P.Inputs(obs, None, None, P.Options(t_pred=n)), degree).orderBy("site").collect()
+    ahead = n - np.arange(n, dtype=float)
+    x = np.stack([ahead**d for d in range(degree + 1)], 1)
+
+    def cost(g, v):
+        q = kernels.walk_covariance(ahead, g)
+        qi = np.linalg.inv(q)
+        rest = v - x @ np.linalg.solve(x.T @ qi @ x, x.T @ qi @ v)
+        return rest @ qi @ rest + np.linalg.slogdet(q)[1]
+
+    for s, g in enumerate(got):
+        best = min(cost(c, y[s]) for c in np.linspace(1e-9, 1, 2001))
+        assert cost(max(g["gamma"], 1e-9), y[s]) <= best + 1e-3
+        o = P.Options(t_pred=n, timescale=math.sqrt(1 / max(g["gamma"], 1e-12) - 1)) if g["gamma"] < 1 else P.Options(t_pred=n, timescale=0.0)
+        want = P.predict("ewma_linear" if degree else "ewma", obs.where(f"site = {s}"), None, o).first()
+        np.testing.assert_allclose(tuple(g)[2:], tuple(want)[1:], rtol=1e-6)
