@@ -10,7 +10,8 @@ more than one rule. The longest of what the levels of its host give is the url's
 where a host has many urls, by salt: the ends of its rules go to each salt.
 
 Rows: a null url, or one without `://`, has an empty host and an empty path and meets no rule. Repeated rows are
-judged each on its own; each different host and path is swept once. Rules with equal host and path: the one that blocks
+judged each on its own; each different host and path is swept once. A host of any number of labels is looked up under as
+many parent domains as the longest host of a rule has labels. Rules with equal host and path: the one that blocks
 wins. An empty rule table leaves every page to the default verdict. Extra columns of either table are ignored.
 """
 
@@ -55,8 +56,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep
     # the levels of each url's host that have rules
     ends = rule_ends(rules)
     ruled = ends.groupBy(F.col("host").alias("level")).agg(F.count("*").alias("n_ends"))
-    levels = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> array_join(slice(split(host, '[.]'), n, size(split(host, '[.]'))), '.'))")
-    urls = p.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(levels).alias("level")).join(ruled, "level")
+    # a parent domain of more labels than any rule's host has no rules
+    deepest = ends.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("deepest"))  # one row
+    asked_hosts = p.select("host", "path").where("host != ''").distinct().crossJoin(F.broadcast(deepest)).withColumn("labels", F.split("host", r"\."))
+    levels = F.expr("transform(filter(sequence(0, least(size(labels), deepest)), n -> n > 0), n -> array_join(slice(labels, size(labels) - n + 1, n), '.'))")
+    urls = asked_hosts.select("host", "path", F.explode(levels).alias("level")).join(ruled, "level")
     salts = urls.groupBy("level").agg(F.ceil(F.count("*") / F.greatest(F.lit(sweep_rows), F.max("n_ends"))).alias("salts"))
     asked = urls.join(salts, "level").select(F.col("level"), F.pmod(F.xxhash64("host", "path"), "salts").alias("salt"), key_of(F.col("level"), F.col("path")).alias("key"), F.lit(True).alias("is_url"), "host", "path")
     swept = asked.unionByName(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -49,6 +50,19 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    """A host of 100,000 labels takes no longer than its length; parent domains deeper than any rule's are not looked up."""
+    rules = spark.createDataFrame([("block", "b.org", "/"), ("allow", "a.b.org", "/x"), ("block", "", "/")], "verdict string, host string, path string")
+    long = "x." * 100_000
+    urls_ = [f"http://{long}a.b.org/x", f"http://{long}b.org/x", f"http://{long}org/", "http://b.org/", f"http://{'.' * 50_000}/", "http://a.b.org/y"]
+    began = time.monotonic()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame(list(enumerate(urls_)), "page_id int, url string"), rules).collect()}
+    assert got == {0: ("a.b.org/x", "allow"), 1: ("b.org/", "block"), 2: (None, "allow"), 3: ("b.org/", "block"), 4: ("/", "block"), 5: ("b.org/", "block")}
+    assert time.monotonic() - began < 60
+    none = urls.judge_urls(spark.createDataFrame([(1, f"http://{long}org/")], "page_id int, url string"), rules.limit(0)).first()
+    assert (none["rule"], none["verdict"]) == (None, "allow")
+
+
 def test_many_url_rules(spark):
     """Nested hosts and paths by chance against a scan of all rules, with a hot host split."""
     r = random.Random(6)
