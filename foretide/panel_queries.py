@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from foretide.method_sql import P, SERIES, solved, spline
 from foretide.operators import panel
 from foretide.plans import assemble, predict, study, verify
 from foretide.product_queries import CLIM, LINE, sql_norm_ppf
-from foretide.queries import GAPPY, HAZEN, OBS, OPTIONS, PRED, T_PRED, _predictions, query, rounded, sql_hazen, sql_t_cdf
+from foretide.queries import GAPPY, HAZEN, OBS, OPTIONS, PRED, SQL, T_PRED, _predictions, query, rounded, sql_hazen, sql_t_cdf, unrounded
 from foretide.sources import readers, star
 
 # ---- gap filling and assembly ----
@@ -148,3 +150,56 @@ def v_conditional_skill(spark, sf):
     placed = verify.climatology_category(obs, clim, _CATEGORIES)
     d = study.conditional_skill(_predictions(spark, sf), placed, clim, study.climate_classes(clim.select("site", "mean"), 5), ["site", "t"], _CATEGORIES)
     return rounded(d, 5)
+
+
+# ---- long histories, and very many sites ----
+
+LONG_PRED = 400
+LONG = """o_ AS (SELECT CAST(n_regionkey AS BIGINT) AS site, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 6) AS INTEGER) AS t, l_extendedprice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+obs AS (SELECT site, t, avg(l_extendedprice) AS value FROM o_ GROUP BY 1, 2), h AS (SELECT * FROM obs WHERE t < 400)"""
+_TIMES = "(SELECT count(DISTINCT t) FROM h)"
+
+
+def sql_filter(degree: int) -> str:
+    """A random walk plus noise, filtered step by step from the target back, a row a step."""
+    g = repr(OPTIONS.gamma)
+    names = ["y", "o"] + ["v"] * degree
+    value = {"y": "x.y", "o": "1.0", "v": "x.v"}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    step = ", ".join([f"f.a{a} + w / (w + 1 - {g}) * ({value[a]} - f.a{a})" for a in names] + [f"f.s{a}{b} + ({value[a]} - f.a{a}) * ({value[b]} - f.a{b}) / (w + 1 - {g})" for a, b in pairs])
+    columns = ", ".join([f"a{a}" for a in names] + [f"s{a}{b}" for a, b in pairs])
+    zeros = ", ".join("0.0::DOUBLE" for _ in [*names, *pairs])
+    if degree:
+        b, w, rss = "(syo * svv - syv * sov) / (soo * svv - sov * sov)", "svv / (soo * svv - sov * sov)", "syy - (syo * syo * svv - 2 * syo * syv * sov + syv * syv * soo) / (soo * svv - sov * sov)"
+    else:
+        b, w, rss = "syo / soo", "1 / soo", "syy - syo * syo / soo"
+    return f"""WITH RECURSIVE {LONG}, l AS (SELECT site, avg(value) AS level FROM h GROUP BY 1),
+x AS (SELECT site, value - level AS y, CAST({LONG_PRED} - t AS DOUBLE) AS v, row_number() OVER (PARTITION BY site ORDER BY t DESC) AS i, count(*) OVER (PARTITION BY site) AS n FROM h JOIN l USING (site)),
+f(site, i, p, last, {columns}) AS (SELECT site, 0, 0.0::DOUBLE, 0.0::DOUBLE, {zeros} FROM l UNION ALL
+  SELECT site, i, w * (1 - {g}) / (w + 1 - {g}), v, {step.replace('x.', '').replace('f.', '')} FROM (SELECT f.* EXCLUDE (i), x.i, x.y, x.v, f.p + {g} * (x.v - f.last) AS w FROM f JOIN x ON x.site = f.site AND x.i = f.i + 1))
+SELECT f.site, round(level + {b}, 3) AS mu, round(sqrt(({rss}) / (n - {degree}) * (1 - {g} + {w})), 3) AS sigma, CAST(n - {1 + degree} AS DOUBLE) AS nu FROM f JOIN l USING (site) JOIN (SELECT DISTINCT site, n FROM x) USING (site) WHERE f.i = n AND n = {_TIMES}"""
+
+
+def _long(name: str):
+    def run(spark, sf) -> DataFrame:
+        return rounded(predict.predict(name, star.long_obs(spark, sf), None, replace(OPTIONS, t_pred=LONG_PRED)), 3)
+
+    return run
+
+
+query(sql_filter(0), "ml_ewma")(_long("ewma"))
+query(sql_filter(1), "ml_ewma_linear")(_long("ewma_linear"))
+query(f"SELECT site, round(mu, 3) AS mu, round(sigma, 3) AS sigma, nu FROM ({unrounded(SQL['m_quadratic']).replace(OBS, LONG).replace('27 - avg', f'{LONG_PRED} - avg')})", "ml_quadratic")(_long("quadratic"))
+for _name in ("spline", "trend"):
+    query(None, f"ml_{_name}")(_long(_name))
+
+
+def _parts(name: str):
+    def run(spark, sf) -> DataFrame:
+        return rounded(predict.predict(name, star.part_obs(spark, sf), star.part_fcst(spark, sf), replace(OPTIONS, t_pred=13)), 3)
+
+    return run
+
+
+for _name in ("rawmultimodel", "multimodel_linear_reg", "ewma_linear_model_reg"):
+    query(None, f"mp_{_name}")(_parts(_name))

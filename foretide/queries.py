@@ -62,10 +62,14 @@ w AS (SELECT site, CAST(count(*) AS DOUBLE) AS w FROM o_ GROUP BY 1),
 {FCST_TAIL}"""
 
 
+def unrounded(sql: str) -> str:
+    """A method's SQL with all decimals of its results."""
+    return re.sub(r"round\(((?:(?!round\().)*?), [04]\) AS (mu|sigma|nu)", r"(\1) AS \2", sql, flags=re.S)
+
+
 def sql_by_supplier(sql: str, huge: bool) -> str:
     """A method's SQL over the panels by supplier, less rounded, as there are more numbers to agree."""
-    whole = re.sub(r"round\(((?:(?!round\().)*?), [04]\) AS (mu|sigma|nu)", r"(\1) AS \2", sql, flags=re.S)
-    inner = whole.replace(OBS, OBS_SUPPLIER).replace(FCST, FCST_SUPPLIER)
+    inner = unrounded(sql).replace(OBS, OBS_SUPPLIER).replace(FCST, FCST_SUPPLIER)
     return f"SELECT site, round(mu, 2) AS mu, round(sigma, {-4 if huge else 2}) AS sigma, round(nu, 2) AS nu FROM ({inner})"
 
 

@@ -66,6 +66,29 @@ def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy("site").agg(F.count("*").cast("double").alias("w"))
 
 
+def long_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, value: prices by region and six days, over 400 times long."""
+    region = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").cast("long").alias("site"))
+    d = table(spark, sf_dir, "lineitem").join(region, "l_suppkey")
+    return d.groupBy("site", F.floor(F.datediff("l_shipdate", F.lit("1995-01-01")) / 6).cast("int").alias("t")).agg(F.avg("l_extendedprice").alias("value"))
+
+
+def part_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, value: prices by part and half-year: very many sites, with gaps."""
+    half = ((F.year("l_shipdate") - 1995) * 2 + F.ceil(F.month("l_shipdate") / 6)).cast("int")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("site"), half.alias("t")).agg(F.avg("l_extendedprice").alias("value"))
+
+
+def part_fcst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, t, model, value: each part has the prices of its size by place on the order."""
+    half = ((F.year("l_shipdate") - 1995) * 2 + F.ceil(F.month("l_shipdate") / 6)).cast("int")
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("site"), "p_size")
+    model = F.concat(F.lit("line"), F.least("l_linenumber", F.lit(3)).cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("site"), half.alias("t"), model.alias("model"), "l_extendedprice")
+    by_size = lines.join(sizes, "site").groupBy("p_size", "t", "model").agg(F.avg("l_extendedprice").alias("value"))
+    return sizes.join(by_size, "p_size").select("site", "t", "model", "value")
+
+
 def fcst_gappy(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """site, t, model, value and, if asked, sd: by nation, so that some are missing."""
     more = [F.stddev_samp("o_totalprice").alias("sd")] if spread else []
