@@ -7,7 +7,7 @@ import calendar
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.functions.special import norm_ppf
+from foretide.functions.special import norm_ppf, t_ppf
 
 
 # ---- time ----
@@ -23,6 +23,12 @@ def shift_month(year: Column, month: Column, by: Column | int) -> tuple[Column,
     return F.floor(index / 12).cast("int"), (F.pmod(index, F.lit(12)) + 1).cast("int")
 
 
+def target_of(day: Column, ahead: int = 2, ready: int = 8) -> tuple[Column, Column, Column]:
+    """Year, month and lead of the forecast `ahead` months after a date: forecasts of a month are there after its day `ready`, before that those of the month before."""
+    y, m = shift_month(F.year(day), F.month(day), ahead)
+    return y.alias("year"), m.alias("month"), (F.when(F.day(day) > ready, ahead).otherwise(ahead + 1)).alias("lag")
+
+
 def expand_months(spark, years: list[int], months: list[int], how: str = "cross") -> DataFrame:
     """Target months: 'zip' pairs the lists, 'cross' takes all pairs, months fastest; `months_of` takes years from a table."""
     pairs = list(zip(years, months, strict=True)) if how == "zip" else [(y, m) for y in years for m in months]
@@ -173,6 +179,11 @@ def zero_mean_test(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("t", F.sqrt("n_adj") * F.col("mean") / F.col("sd"))
 
 
+def zero_mean_width(test: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The parts of `zero_mean_test` with dt, half the width of the mean's interval."""
+    return test.withColumn("dt", F.col("sd") / F.sqrt("n_adj") * t_ppf(F.lit(1 - alpha / 2), F.col("n_adj") - 1))
+
+
 def records(df: DataFrame, keys: list[str]) -> DataFrame:
     """df (keys, t, value): the level to beat, whether it is a record, and its chance without a trend, 1 / (earlier + 1)."""
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)

@@ -134,13 +134,16 @@ def _near(points: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
 def nearest_cell(points: DataFrame, grid: DataFrame, reach: float = 2.0) -> DataFrame:
     """points (id, lat, lon) with the site of the nearest grid cell, the smaller site of equally near ones.
 
-    Cells within `reach` degrees come from an equi-join; only points that have none are compared with the whole grid.
+    Cells within `reach` degrees come from an equi-join; points that have none ask again with three times the reach, until
+    it spans the sphere.
     """
-    near = _near(points, grid, reach)
-    far = points.join(near.select("id").distinct(), "id", "left_anti")
-    d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-    rest = far.crossJoin(grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon"))).select("id", "site", d.alias("d"))
-    return near.unionByName(rest).groupBy("id").agg(F.min_by("site", F.struct("d", "site")).alias("site"), F.min("d").alias("distance"))
+    best, open_ = None, points
+    while True:
+        near = _near(open_, grid, reach).groupBy("id").agg(F.min_by("site", F.struct("d", "site")).alias("site"), F.min("d").alias("distance"))
+        best = near if best is None else best.unionByName(near)
+        if reach >= 180:
+            return best
+        open_, reach = open_.join(near.select("id"), "id", "left_anti"), min(180.0, 3 * reach)
 
 
 def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5) -> DataFrame:

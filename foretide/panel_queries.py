@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from foretide.method_sql import P, SERIES, solved, spline
 from foretide.operators import panel
 from foretide.plans import assemble, predict, study, verify
-from foretide.product_queries import CLIM, LINE, sql_norm_ppf
-from foretide.queries import GAPPY, HAZEN, OBS, OPTIONS, PRED, SQL, T_PRED, _predictions, query, rounded, sql_hazen, sql_t_cdf, unrounded
+from foretide.product_queries import CLIM, LINE, MODEL_LINE, ON_GRID, _grid_weights, sql_norm_ppf
+from foretide.queries import FCST, GAPPY, HAZEN, OBS, OPTIONS, PRED, SQL, T_PRED, ZERO, _predictions, query, rounded, sql_hazen, sql_t_cdf, unrounded
 from foretide.sources import readers, star
 
 # ---- gap filling and assembly ----
@@ -203,3 +203,58 @@ def _parts(name: str):
 
 for _name in ("rawmultimodel", "multimodel_linear_reg", "ewma_linear_model_reg"):
     query(None, f"mp_{_name}")(_parts(_name))
+
+
+# ---- products, targets, masks, correlations by lead and subset ----
+
+_BOTH = f"""{OBS}, {FCST}, pt AS ({LINE}), pm AS ({MODEL_LINE}), q AS (SELECT site, {sql_hazen('(1.0 / 3)')} AS lower, {sql_hazen('(2.0 / 3)')} AS upper FROM {HAZEN}), cm AS (SELECT site, avg(value) AS clim_mean FROM h GROUP BY 1)"""
+_CLASS = "CAST(CASE WHEN {b} > {a} THEN -len(list_filter(range(1, 7), lambda k: {b} > 0.3 + k / 10)) WHEN {a} > {b} THEN len(list_filter(range(1, 7), lambda k: {a} > 0.3 + k / 10)) ELSE 0 END AS INTEGER)"
+
+
+def _bisected(target: str) -> str:
+    return f"CASE WHEN {sql_t_cdf('((lo + hi) / 2)', 'tnu')} < {target} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {sql_t_cdf('((lo + hi) / 2)', 'tnu')} < {target} THEN hi ELSE (lo + hi) / 2 END"
+
+
+@query(f"""WITH RECURSIVE {_BOTH}, d AS (SELECT pt.site, pt.mu AS tmu, pt.sigma AS tsigma, pt.nu AS tnu, pm.mu AS mmu, pm.sigma AS msigma, pm.nu AS mnu, lower, upper, clim_mean FROM pt JOIN pm USING (site) JOIN q USING (site) JOIN cm USING (site)),
+b(site, tnu, lo, hi, k) AS (SELECT site, tnu, CAST(0 AS DOUBLE), CAST(100 AS DOUBLE), 0 FROM d UNION ALL SELECT site, tnu, {_bisected('2.0 / 3')}, k + 1 FROM b WHERE k < 50),
+e AS (SELECT d.*, tmu - tsigma * (lo + hi) / 2 AS own_lower, tmu + tsigma * (lo + hi) / 2 AS own_upper FROM d JOIN b ON b.site = d.site AND k = 50),
+cl AS (SELECT *, {sql_t_cdf('((lower - tmu) / tsigma)', 'tnu')} AS tb, 1 - {sql_t_cdf('((upper - tmu) / tsigma)', 'tnu')} AS ta, {sql_t_cdf('((lower - mmu) / msigma)', 'mnu')} AS mb, 1 - {sql_t_cdf('((upper - mmu) / msigma)', 'mnu')} AS ma, {sql_t_cdf('((own_lower - mmu) / msigma)', 'mnu')} AS ob, 1 - {sql_t_cdf('((own_upper - mmu) / msigma)', 'mnu')} AS oa FROM e)
+SELECT site, round(mmu - tmu, 4) AS model_less_trend, round(tmu - clim_mean, 4) AS trend_anomaly, round(mmu - clim_mean, 4) AS model_anomaly, round(100 * (1 - msigma * sqrt(mnu / (mnu - 2)) / (tsigma * sqrt(tnu / (tnu - 2)))), 4) AS sd_reduction,
+  {_CLASS.format(b='tb', a='ta')} AS trend_tercile, {_CLASS.format(b='mb', a='ma')} AS model_tercile, {_CLASS.format(b='ob', a='oa')} AS model_trend_tercile FROM cl""")
+def v_forecast_maps(spark, sf):
+    obs = star.obs_panel(spark, sf)
+    model = predict.predict("rawmodel_linear", obs, star.fcst_panel(spark, sf), OPTIONS, star.site_weights(spark, sf))
+    return rounded(study.forecast_maps(predict.predict("linear", obs, None, OPTIONS), model, obs.where(f"t < {T_PRED}")))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT d, CAST(year(d + INTERVAL 2 MONTH) AS INTEGER) AS year, CAST(month(d + INTERVAL 2 MONTH) AS INTEGER) AS month, CASE WHEN day(d) > 8 THEN 2 ELSE 3 END AS lag FROM d""")
+def f_target_of_date(spark, sf):
+    d = star.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return d.select("d", *panel.target_of(F.col("d")))
+
+
+@query(ZERO.replace("WITH e AS", "WITH RECURSIVE e AS").split("SELECT site, n, round(mean, 6)")[0] + f""", b(site, tnu, lo, hi, k) AS (SELECT site, n_adj - 1, CAST(0 AS DOUBLE), CAST(100 AS DOUBLE), 0 FROM y UNION ALL SELECT site, tnu, {_bisected('0.975')}, k + 1 FROM b WHERE k < 50)
+SELECT y.site, round(mean, 6) AS mean, round(sd / sqrt(n_adj) * (lo + hi) / 2, 6) AS dt FROM y JOIN b ON b.site = y.site AND k = 50""")
+def f_zero_width(spark, sf):
+    e = star.table(spark, sf, "events").groupBy(F.col("event_type").alias("site"), F.datediff("ts", F.lit("2024-01-01")).alias("t")).agg((F.avg("value") - 100).alias("value"))
+    return rounded(panel.zero_mean_width(panel.zero_mean_test(e, ["site"])).select("site", "mean", "dt"), 6)
+
+
+@query(f"WITH {ON_GRID.replace(' WHERE l_quantity <= 10', '').replace('CAST(l_quantity AS INTEGER) - 1 AS lat', 'CAST(l_quantity AS INTEGER) % 10 AS lat')} SELECT CAST(lat * 9 + lon AS BIGINT) AS site, round(greatest(0.0, least(1.0, sum(w * share * 10))), 6) AS share FROM x GROUP BY 1")
+def s_land_share(spark, sf):
+    d = star.table(spark, sf, "lineitem").groupBy((F.col("l_quantity").cast("int") % 10).alias("lat"), (F.col("l_partkey") % 12).cast("int").alias("lon")).agg(((F.avg("l_discount") + 0.01) * 10).alias("value"))
+    return rounded(readers.land_share(d, _grid_weights(spark), 9), 6)
+
+
+@query(f"""WITH {OBS}, {FCST}, fl AS (SELECT site, t + lag - 1 AS t, lag, m FROM fm, (SELECT unnest([1, 2]) AS lag)), s0 AS (SELECT DISTINCT t FROM fl), sd AS (SELECT t, unnest([1, 2]) AS seed FROM s0),
+k AS (SELECT seed, t, t % 4 AS season, row_number() OVER (PARTITION BY seed, t % 4 ORDER BY t) AS i, row_number() OVER (PARTITION BY seed, t % 4 ORDER BY md5(seed || ':' || t)) AS jj FROM sd),
+o AS (SELECT 0 AS seed, t, t AS other FROM s0 UNION ALL SELECT a.seed, a.t, b.t AS other FROM k a JOIN k b ON a.seed = b.seed AND a.season = b.season AND a.i = b.jj),
+r AS (SELECT lag, seed, obs.site, obs.t % 4 AS season, corr(obs.value, fl.m) AS r, corr(obs.value, obs.t) AS ry, corr(fl.m, obs.t) AS rx FROM o JOIN fl ON fl.t = o.other JOIN obs ON obs.site = fl.site AND obs.t = o.t GROUP BY 1, 2, 3, 4),
+z AS (SELECT *, (r - ry * rx) / sqrt((1 - ry * ry) * (1 - rx * rx)) AS rd FROM r), ws AS (SELECT site, w, unnest(['all', CASE WHEN n_regionkey <= 1 THEN 'inside' ELSE 'outside' END]) AS subset FROM w JOIN nation ON n_nationkey = site)
+SELECT CAST(lag AS INTEGER) AS lag, subset, CAST(seed AS INTEGER) AS seed, CAST(season AS INTEGER) AS season, round(sum(w * r) / sum(w), 6) AS r, round(sum(w * rd) / sum(w), 6) AS r_detrended FROM z JOIN ws USING (site) GROUP BY 1, 2, 3, 4""")
+def v_correlation_study(spark, sf):
+    fcst = star.fcst_leads(spark, sf).groupBy("site", "t", "lag").agg(F.avg("value").alias("value"))
+    inside = F.when(F.col("n_regionkey") <= 1, "inside").otherwise("outside")
+    nations = star.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("site"), F.explode(F.array(F.lit("all"), inside)).alias("subset"))
+    return rounded(study.correlation_study(star.obs_panel(spark, sf), fcst, 4, star.site_weights(spark, sf).join(nations, "site"), [1, 2]), 6)

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.functions.special import exceedance, log_score, t_cdf, t_ppf
+from foretide.functions.special import exceedance, log_score, predictive_quantile, predictive_sd, t_cdf, t_ppf
 from foretide.operators import panel
 from foretide.plans import predict, targets, verify
 
@@ -68,6 +68,52 @@ def correlations(obs: DataFrame, fcst: DataFrame, period: int, weights: DataFram
     return d.join(weights, "site").groupBy("seed", "season").agg((F.sum(F.when(F.col("r").isNotNull(), F.col("w") * F.col("r"))) / F.sum(F.when(F.col("r").isNotNull(), F.col("w")))).alias("r"))
 
 
+def correlation_study(obs: DataFrame, fcst: DataFrame, period: int, weights: DataFrame, seeds: list[int]) -> DataFrame:
+    """obs (site, t, value), fcst (site, t, lag, value), weights (site, subset, w) -> lag, subset, seed (0: as they are), season, r and r_detrended.
+
+    Means over the sites of a subset by weight of the correlations over the years of a season; detrended ones are of what
+    lines in time leave of both series, which is the correlation given time. All come from one aggregate.
+    """
+    own = fcst.select("t").distinct().select(F.lit(0).alias("seed"), "t", F.col("t").alias("other"))
+    orders = own.unionByName(permutation(fcst.select("t").distinct(), period, seeds))
+    moved = fcst.select("site", "lag", F.col("t").alias("other"), F.col("value").alias("x")).join(orders, "other")  # a row a seed for each
+    year = F.col("t").cast("double")
+    d = obs.join(moved, ["site", "t"]).where("value IS NOT NULL AND x IS NOT NULL")
+    g = d.groupBy("lag", "seed", "site", (F.col("t") % period).alias("season")).agg(F.corr("value", "x").alias("r"), F.corr("value", year).alias("ry"), F.corr("x", year).alias("rx"))
+    left = (F.col("r") - F.col("ry") * F.col("rx")) / F.sqrt((1 - F.col("ry") * F.col("ry")) * (1 - F.col("rx") * F.col("rx")))
+    g = g.withColumn("left", F.when((F.abs("ry") < 1) & (F.abs("rx") < 1), left))
+    mean = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w") * F.col(c))) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))
+    return g.join(weights, "site").groupBy("lag", "subset", "seed", "season").agg(mean("r").alias("r"), mean("left").alias("r_detrended"))
+
+
+def forecast_maps(trend: DataFrame, model: DataFrame, clim: DataFrame) -> DataFrame:
+    """trend, model (site, mu, sigma, nu), clim (site, value) -> site, differences of means, percent less spread, and classes of terciles.
+
+    model_less_trend, trend_anomaly and model_anomaly (from the mean of clim), sd_reduction; trend_tercile and
+    model_tercile (of the climatology), model_trend_tercile (of the trend's own distribution).
+    """
+    q = panel.quantiles(clim, ["site"], [1 / 3, 2 / 3]).select("site", F.col("quantiles")[0].alias("lower"), F.col("quantiles")[1].alias("upper"))
+    mean = clim.groupBy("site").agg(F.avg("value").alias("clim_mean"))
+    named = lambda d, n: d.select("site", *(F.col(c).alias(f"{n}_{c}") for c in ("mu", "sigma", "nu")))
+    d = named(trend, "t").join(named(model, "m"), "site").join(q, "site").join(mean, "site")
+    sd = lambda n: predictive_sd(F.col(f"{n}_sigma"), F.col(f"{n}_nu"))
+    below = lambda n, level: t_cdf((level - F.col(f"{n}_mu")) / F.col(f"{n}_sigma"), F.col(f"{n}_nu"))
+    classed = lambda n, low, high: verify.tercile_class(below(n, low), 1 - below(n, high))
+    own = [predictive_quantile(F.col("t_mu"), F.col("t_sigma"), F.col("t_nu"), F.lit(p)) for p in (1 / 3, 2 / 3)]
+    d = d.withColumn("own_lower", own[0]).withColumn("own_upper", own[1])
+    lower, upper = F.col("lower"), F.col("upper")
+    return d.select(
+        "site", (F.col("m_mu") - F.col("t_mu")).alias("model_less_trend"), (F.col("t_mu") - F.col("clim_mean")).alias("trend_anomaly"), (F.col("m_mu") - F.col("clim_mean")).alias("model_anomaly"),
+        (100 * (1 - sd("m") / sd("t"))).alias("sd_reduction"), classed("t", lower, upper).alias("trend_tercile"), classed("m", lower, upper).alias("model_tercile"), classed("m", F.col("own_lower"), F.col("own_upper")).alias("model_trend_tercile"),
+    )
+
+
+def map_limit(maps: DataFrame, column: str) -> DataFrame:
+    """One row: the limit of a map's colours, the greater size of its 5 and 95 percent quantiles."""
+    q = panel.exact_quantiles(maps.select(F.col(column).alias("value")), [], [0.05, 0.95])
+    return q.select(F.greatest(F.abs(F.col("quantiles")[0]), F.abs(F.col("quantiles")[1])).alias("limit"))
+
+
 def place(value: Column, edges: Column) -> Column:
     """The number of edges (sorted) at or under a value: 0 below the first."""
     return F.size(F.filter(edges, lambda e: e <= value))
@@ -100,10 +146,11 @@ def skill_by_climate(scored: DataFrame, clim: DataFrame, n: int) -> DataFrame:
     return verify.summary(scored.join(climate_classes(clim, n), "site"), ["class"])
 
 
-def verify_methods(obs: DataFrame, fcst: DataFrame | None, methods: list[str], times: list[int], options: predict.Options, weights: DataFrame | None, lags: list[int] | None = None) -> DataFrame:
+def verify_methods(obs: DataFrame, fcst: DataFrame | None, methods: list[str], times: list[int], options: predict.Options, weights: DataFrame | None, lags: list[int] | None = None, factors: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """All methods at all target times (and leads, where fcst has a column lag): one row for each prediction, all scores as columns.
 
-    Methods of `targets.METHODS` share one plan; any other is a plan for each target and lead.
+    Methods of `targets.METHODS` share one plan; any other is a plan for each target and lead. factors: logarithms of a
+    method's calibration (`verify.calibrate`), by which its predictions are adjusted before they are scored.
     """
     together = [m for m in methods if m in targets.METHODS] if options.clim is None else []
     out = targets.predict_many(together, obs, fcst, times, options, weights, lags) if together else None
@@ -114,4 +161,7 @@ def verify_methods(obs: DataFrame, fcst: DataFrame | None, methods: list[str], t
                 if name not in together:
                     p = predict.predict(name, obs, f, replace(options, t_pred=t), weights).select("site", F.lit(lag).cast("int").alias("lag"), F.lit(t).alias("t"), F.lit(name).alias("method"), "mu", "sigma", "nu")
                     out = p if out is None else out.unionByName(p)
+    if factors:
+        of = lambda i, sign: F.coalesce(F.create_map(*(F.lit(x) for n, by in factors.items() for x in (n, math.exp(sign * by[i]))))[F.col("method")], F.lit(1.0))
+        out = out.withColumns({"sigma": F.col("sigma") * of(0, 1), "nu": F.col("nu") * of(1, -1)})
     return verify.scored(out, obs.select("site", "t", "value"), ["site", "t"], weights)

@@ -171,7 +171,11 @@ def values_cdf(pred: DataFrame, values: list[float]) -> DataFrame:
 
 
 def quantiles_cdf(pred: DataFrame, clim: DataFrame, qs: list[float], factors: tuple[float, float] | None = None) -> DataFrame:
-    """Probability of not exceeding the quantiles of each site's climatology, clim (site, value); factors: logarithms of calibration (`calibrate`)."""
-    d = pred if factors is None else adjusted(pred, *factors)
+    """Probability of not exceeding the quantiles of each site's climatology, clim (site, value).
+
+    factors: logarithms of calibration (`calibrate`). Here, as in the values to be matched, the second multiplies the
+    degrees of freedom, where `adjusted` divides them.
+    """
+    d = pred if factors is None else adjusted(pred, factors[0], -factors[1])
     at = panel.quantiles(clim, ["site"], qs).select("site", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("quantiles").alias("value"))).alias("z")).select("site", "z.q", "z.value")
     return d.join(at, "site").withColumn("p", _cdf_at(F.col("value")))

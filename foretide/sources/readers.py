@@ -69,6 +69,12 @@ def read_points(df: DataFrame, dataset: str, lats: list[float], lons: list[float
     return d.groupBy(*keys, "lat", "lon").agg(F.max_by("value", "ordinal").alias("value")).select(*keys, "lat", "lon", F.col("value.v").alias("value"))
 
 
+def land_share(mask: DataFrame, axes: dict[str, DataFrame], n_lon: int) -> DataFrame:
+    """mask (lat, lon, value: the share of land of a cell) -> site (lat * n_lon + lon), share, on new cells, between 0 and 1."""
+    d = regrid.regrid(mask.where(F.col("value").isNotNull()), axes)
+    return d.select((F.col("lat") * n_lon + F.col("lon")).cast("long").alias("site"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))).alias("share"))
+
+
 def read_forecasts(raw: DataFrame, lag: int, zero_is_missing: bool = False) -> DataFrame:
     """raw (model, site, init_year, init_month, year, month, member, value) -> mean, spread and count of members, for targets `lag` months on."""
     y, m = panel.shift_month(F.col("year"), F.col("month"), -lag)

@@ -157,7 +157,7 @@ def test_climatology_quantiles_with_factors(spark):
     assert plain[0]["p"] == pytest.approx(0.5) and plain[1]["value"] == pytest.approx(4.4)
     from foretide.functions.special import t_cdf_value
 
-    assert plain[1]["p"] == pytest.approx(t_cdf_value(4.4, 8.0)) and wide[1]["p"] == pytest.approx(t_cdf_value(2.2, 4.0))
+    assert plain[1]["p"] == pytest.approx(t_cdf_value(4.4, 8.0)) and wide[1]["p"] == pytest.approx(t_cdf_value(2.2, 16.0))
 
 
 def test_repeated_forecasts_are_averaged(spark):
@@ -168,3 +168,29 @@ def test_repeated_forecasts_are_averaged(spark):
     twice = [(s, t, m, v + d) for s, t, m, v in rows for d in (-1.0, 1.0)]
     a, b = (P.predict("rawmodel_scaled", obs, spark.createDataFrame(x, FCST), P.Options(t_pred=12)).orderBy("site").collect() for P, x in ((predict, rows), (predict, twice)))
     np.testing.assert_allclose(np.asarray(a, float), np.asarray(b, float), rtol=1e-9)
+
+
+def test_target_of_a_date(spark):
+    days = ["2015-01-08", "2015-01-09", "2015-10-31", "2015-11-08", "2015-12-20"]
+    d = spark.createDataFrame([(x,) for x in days], "d string").select(*panel.target_of(F.to_date("d"), 2))
+    assert [tuple(r) for r in d.collect()] == [(2015, 3, 3), (2015, 3, 2), (2015, 12, 2), (2016, 1, 3), (2016, 2, 2)]
+
+
+def test_detrended_correlation(spark):
+    """The partial correlation equals the correlation of what is left of both series by their lines, after permutation too."""
+    r = np.random.default_rng(4)
+    y, x = r.normal(size=(3, 12)) + 0.4 * np.arange(12), r.normal(size=(3, 12)) + 0.2 * np.arange(12)
+    obs = spark.createDataFrame([(s, t, float(y[s, t])) for s in range(3) for t in range(12)], "site long, t int, value double")
+    fcst = spark.createDataFrame([(s, t, lag, float(x[s, t] * lag)) for s in range(3) for t in range(12) for lag in (1, 2)], "site long, t int, lag int, value double")
+    weights = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (1, "b", 1.0), (2, "b", 0.0)], "site long, subset string, w double")
+    got = {(g["lag"], g["subset"], g["seed"]): g for g in study.correlation_study(obs, fcst, 1, weights, [5]).collect()}
+    order = {p["t"]: p["other"] for p in study.permutation(obs.select("t").distinct(), 1, [5]).collect()}
+    rest = lambda v: v - np.polyval(np.polyfit(np.arange(12), v, 1), np.arange(12))
+    assert len(got) == 8
+    for seed, places in ((0, np.arange(12)), (5, np.asarray([order[t] for t in range(12)]))):
+        raw = [np.corrcoef(y[s], x[s][places])[0, 1] for s in range(3)]
+        left = [np.corrcoef(rest(y[s]), rest(x[s][places]))[0, 1] for s in range(3)]
+        for lag in (1, 2):
+            g = got[lag, "a", seed]
+            assert g["r"] == pytest.approx((raw[0] + 3 * raw[1]) / 4) and g["r_detrended"] == pytest.approx((left[0] + 3 * left[1]) / 4)
+            assert got[lag, "b", seed]["r_detrended"] == pytest.approx(left[1])

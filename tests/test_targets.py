@@ -131,3 +131,16 @@ def test_adaptive_weight(spark, degree):
         o = P.Options(t_pred=n, timescale=math.sqrt(1 / max(g["gamma"], 1e-12) - 1)) if g["gamma"] < 1 else P.Options(t_pred=n, timescale=0.0)
         want = P.predict("ewma_linear" if degree else "ewma", obs.where(f"site = {s}"), None, o).first()
         np.testing.assert_allclose(tuple(g)[2:], tuple(want)[1:], rtol=1e-6)
+
+
+def test_calibrated_methods(panel):
+    """Factors of one method change its scale and degrees of freedom and no other's."""
+    from foretide.plans import study
+
+    obs, fcst, weights = panel
+    run = lambda f: {(r["method"], r["site"]): (r["sigma"], r["nu"]) for r in study.verify_methods(obs, fcst.where("lag = 1").drop("lag"), ["linear", "rawmodel", "trend"], [17], P.Options(t_pred=0), weights, factors=f).collect()}
+    plain, changed = run(None), run({"rawmodel": (math.log(2), math.log(4)), "trend": (0.0, math.log(0.5))})
+    assert plain.keys() == changed.keys() and {m for m, _ in plain} == {"linear", "rawmodel", "trend"}
+    for (m, s), (sigma, nu) in plain.items():
+        a, b = {"linear": (1, 1), "rawmodel": (2, 0.25), "trend": (1, 2)}[m]
+        assert changed[m, s] == (pytest.approx(sigma * a), pytest.approx(nu * b))
