@@ -153,5 +153,19 @@ def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, sca
     return j.groupBy("id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"), F.max("w").alias("best")).where(F.col("best") >= F.exp(F.lit(-nearest / scale))).drop("best")
 
 
+def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:
+    """Whether a place lies in a box of latitudes and longitudes, ends included; a box may run over the date line (west > east)."""
+    turn = lambda x: F.pmod(x, F.lit(360.0))
+    w, e = west % 360.0, east % 360.0
+    across = (turn(lon) >= w) & (turn(lon) <= e) if w <= e else (turn(lon) >= w) | (turn(lon) <= e)
+    return (lat >= south) & (lat <= north) & (across if east - west < 360 else F.lit(True))
+
+
+def region(cells: DataFrame, box: tuple[float, float, float, float], least_land: float | None = None) -> DataFrame:
+    """cells (site, lat, lon and, if land counts, share) -> the sites in a box (south, north, west, east) with more than a share of land."""
+    d = cells.where(in_box(F.col("lat"), F.col("lon"), *box))
+    return (d if least_land is None else d.where(F.col("share") > least_land)).select("site")
+
+
 def cell_area(lat_lo: Column, lat_hi: Column) -> Column:
     return F.sin(F.radians(lat_hi)) - F.sin(F.radians(lat_lo))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretide.method_sql import P, SERIES, solved, spline
-from foretide.operators import panel
+from foretide.operators import panel, regrid
 from foretide.plans import assemble, predict, study, verify
-from foretide.product_queries import CLIM, LINE, MODEL_LINE, ON_GRID, _grid_weights, sql_norm_ppf
+from foretide.product_queries import CLIM, LINE, MODEL_LINE, ON_GRID, QUANTITIES, _grid_weights, sql_norm_ppf
 from foretide.queries import FCST, GAPPY, HAZEN, OBS, OPTIONS, PRED, SQL, T_PRED, ZERO, _predictions, query, rounded, sql_hazen, sql_t_cdf, unrounded
 from foretide.sources import readers, star
 
@@ -258,3 +258,21 @@ def v_correlation_study(spark, sf):
     inside = F.when(F.col("n_regionkey") <= 1, "inside").otherwise("outside")
     nations = star.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("site"), F.explode(F.array(F.lit("all"), inside)).alias("subset"))
     return rounded(study.correlation_study(star.obs_panel(spark, sf), fcst, 4, star.site_weights(spark, sf).join(nations, "site"), [1, 2]), 6)
+
+
+# ---- a gridded data set with missing numbers, filled along longitudes, then latitudes ----
+
+
+@query(f"""WITH {QUANTITIES}, g0 AS (SELECT year, month, lat, lon, CASE WHEN (3 * lat + lon + month) % 7 > 0 AND lat % 11 <> 5 THEN value END AS value FROM (SELECT DISTINCT year, month FROM u) CROSS JOIN (SELECT unnest(range(0, 50)) AS lat) CROSS JOIN (SELECT unnest(range(0, 4)) AS lon) LEFT JOIN u USING (year, month, lat, lon)),
+turned AS (SELECT year, month, lat, lon + 4 * c AS lon, value FROM g0, (SELECT unnest([-1, 0, 1]) AS c) WHERE value IS NOT NULL),
+g1 AS (SELECT year, month, lat, lon, coalesce(value, (SELECT v.value FROM turned v WHERE v.year = g.year AND v.month = g.month AND v.lat = g.lat ORDER BY abs(v.lon - g.lon), v.lon LIMIT 1)) AS value FROM g0 g),
+g2 AS (SELECT year, month, lat, lon, coalesce(value, (SELECT v.value FROM g1 v WHERE v.value IS NOT NULL AND v.year = g.year AND v.month = g.month AND v.lon = g.lon ORDER BY abs(v.lat - g.lat), v.lat LIMIT 1)) AS value FROM g1 g)
+SELECT g2.year, g2.month, CAST(lat // 10 AS INTEGER) AS lat, CAST(lon // 2 AS INTEGER) AS lon, CASE WHEN avg(CASE WHEN g0.value IS NULL THEN 0 ELSE 1 END) >= 0.5 THEN round(avg(g2.value), 6) END AS value FROM g2 JOIN g0 USING (year, month, lat, lon) GROUP BY 1, 2, 3, 4""")
+def s_cams(spark, sf):
+    l = star.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), (F.col("l_quantity").cast("int") - 1).alias("lat"), (F.col("l_linenumber").cast("int") % 4).alias("lon"))
+    u = l.groupBy("year", "month", "lat", "lon").agg(F.count("*").cast("double").alias("value"))
+    cells = u.select("year", "month").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("lat")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lon"))
+    there = ((3 * F.col("lat") + F.col("lon") + F.col("month")) % 7 > 0) & (F.col("lat") % 11 != 5) & F.col("value").isNotNull()
+    d = cells.join(u, ["year", "month", "lat", "lon"], "left").withColumn("value", F.when(there, F.col("value")).otherwise(-999.0))
+    axes = {"lat": regrid.overlap_weights(regrid.axis_cells(spark, [float(i) for i in range(51)]), regrid.axis_cells(spark, [10.0 * i for i in range(6)])), "lon": regrid.overlap_weights(regrid.axis_cells(spark, [float(i) for i in range(5)]), regrid.axis_cells(spark, [0.0, 2.0, 4.0]))}
+    return rounded(readers.read_observations(d, "cams", axes, period=4), 6)

@@ -52,7 +52,7 @@ def read_observations(df: DataFrame, dataset: str, axes: dict[str, DataFrame], p
         return out
     share = regrid.regrid(valid, axes, keys).withColumnRenamed("value", "share")
     on = [*keys, *axes]
-    return out.join(share, on).select(*on, F.when(F.col("share") >= s.least_valid, F.col("value")).alias("value"))
+    return out.join(share, on).select(*on, F.when(F.col("share") >= s.least_valid - 1e-12, F.col("value")).alias("value"))
 
 
 def read_points(df: DataFrame, dataset: str, lats: list[float], lons: list[float], keys: list[str] | None = None) -> DataFrame:

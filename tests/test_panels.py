@@ -194,3 +194,47 @@ def test_detrended_correlation(spark):
             g = got[lag, "a", seed]
             assert g["r"] == pytest.approx((raw[0] + 3 * raw[1]) / 4) and g["r_detrended"] == pytest.approx((left[0] + 3 * left[1]) / 4)
             assert got[lag, "b", seed]["r_detrended"] == pytest.approx(left[1])
+
+
+@pytest.mark.parametrize("dataset", ["ncep", "best", "gpcp", "hadsst", "cams"])
+def test_data_sets(spark, dataset):
+    """Start, missing numbers, gaps and new cells of each gridded data set, against plain loops."""
+    r = np.random.default_rng(7)
+    start, n_lat, n_lon = readers.DATA_SETS[dataset].start, 6, 4
+    u = r.uniform(1, 9, size=(n_lat, n_lon))
+    bad = (r.uniform(size=u.shape) < 0.3) & (dataset != "ncep")
+    bad[2] = dataset != "ncep"  # a whole row
+    mark = {"gpcp": -5.0, "cams": -999.0}.get(dataset, float("nan"))
+    rows = [(y, 1, i, j, mark if bad[i, j] else float(u[i, j])) for y in (start - 1, start) for i in range(n_lat) for j in range(n_lon)]
+    cells = lambda n, step: regrid.axis_cells(spark, [float(step * i) for i in range(n + 1)])
+    axes = {"lat": regrid.overlap_weights(cells(n_lat, 1), cells(2, 3)), "lon": regrid.overlap_weights(cells(n_lon, 1), cells(2, 2))}
+    got = {(g["lat"], g["lon"]): g["value"] for g in readers.read_observations(spark.createDataFrame(rows, "year int, month int, lat int, lon int, value double"), dataset, axes, n_lon).collect()}
+    v = np.where(bad, np.nan, u)
+    if dataset == "cams":
+        for axis, turn in ((1, n_lon), (0, 0)):
+            w = v.copy()
+            for i, j in np.argwhere(np.isnan(v)):
+                line, at = (v[i], j) if axis else (v[:, j], i)
+                near = [(abs(p + c * turn - at), p + c * turn, line[p]) for p in range(len(line)) for c in ((-1, 0, 1) if turn else (0,)) if not np.isnan(line[p])]
+                w[i, j] = min(near)[2] if near else np.nan
+            v = w
+    elif dataset != "ncep":
+        means = np.array([np.nanmean(x) if not np.isnan(x).all() else np.nan for x in v])
+        known = [i for i in range(n_lat) if not np.isnan(means[i])]
+        means = [means[min(known, key=lambda k: (abs(k - i), k))] for i in range(n_lat)]
+        v = np.where(np.isnan(v), np.array(means)[:, None], v)
+    assert len(got) == 4
+    for (a, b), value in got.items():
+        block = np.ix_(range(3 * a, 3 * a + 3), range(2 * b, 2 * b + 2))
+        if dataset == "cams" and (~bad[block]).mean() < 0.5:
+            assert value is None
+        else:
+            assert value == pytest.approx(v[block].mean())
+
+
+def test_regions(spark):
+    places = [(1, 10.0, 350.0, 0.9), (2, 10.0, -5.0, 0.2), (3, 10.0, 20.0, 0.9), (4, 60.0, 0.0, 0.9), (5, -10.0, 0.0, 0.51), (6, 0.0, 180.0, 1.0)]
+    cells = spark.createDataFrame(places, "site int, lat double, lon double, share double")
+    sites = lambda *a: sorted(r[0] for r in regrid.region(cells, *a).collect())
+    assert sites((-10.0, 30.0, -20.0, 10.0)) == [1, 2, 5] and sites((-10.0, 30.0, -20.0, 10.0), 0.5) == [1, 5]
+    assert sites((-90.0, 90.0, 0.0, 360.0)) == [1, 2, 3, 4, 5, 6] and sites((-90.0, 90.0, 170.0, 190.0)) == [6]
