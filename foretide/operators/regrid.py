@@ -146,11 +146,15 @@ def nearest_cell(points: DataFrame, grid: DataFrame, reach: float = 2.0) -> Data
         open_, reach = open_.join(near.select("id"), "id", "left_anti"), min(180.0, 3 * reach)
 
 
-def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5) -> DataFrame:
-    """Means of site values around each point with weights exp(-distance/scale) within a radius, where some site is near."""
+def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Means of site values (one or several columns, such as those of predictions) around each point with weights exp(-distance/scale) within a radius, where some site is near.
+
+    Sites that lack any of the columns take no part.
+    """
     w = _near(points, grid, radius).where(F.col("d") < radius).withColumn("w", F.exp(-F.col("d") / scale))
-    j = w.join(values.select("site", "value").where(F.col("value").isNotNull()), "site")
-    return j.groupBy("id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"), F.max("w").alias("best")).where(F.col("best") >= F.exp(F.lit(-nearest / scale))).drop("best")
+    j = w.join(values.select("site", *columns).dropna(subset=list(columns)), "site")
+    means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns]
+    return j.groupBy("id").agg(*means, F.max("w").alias("best")).where(F.col("best") >= F.exp(F.lit(-nearest / scale))).drop("best")
 
 
 def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:
@@ -162,9 +166,9 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
 
 
 def region(cells: DataFrame, box: tuple[float, float, float, float], least_land: float | None = None) -> DataFrame:
-    """cells (site, lat, lon and, if land counts, share) -> the sites in a box (south, north, west, east) with more than a share of land."""
+    """cells (site, lat, lon and, if land counts, share) -> the sites in a box (south, north, west, east) with at least a share of land."""
     d = cells.where(in_box(F.col("lat"), F.col("lon"), *box))
-    return (d if least_land is None else d.where(F.col("share") > least_land)).select("site")
+    return (d if least_land is None else d.where(F.col("share") >= least_land)).select("site")
 
 
 def cell_area(lat_lo: Column, lat_hi: Column) -> Column:

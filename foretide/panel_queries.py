@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretide.method_sql import P, SERIES, solved, spline
+from foretide.method_sql import METHODS, P, SERIES, solved, spline
 from foretide.operators import panel, regrid
 from foretide.plans import assemble, predict, study, verify
-from foretide.product_queries import CLIM, LINE, MODEL_LINE, ON_GRID, QUANTITIES, _grid_weights, sql_norm_ppf
-from foretide.queries import FCST, GAPPY, HAZEN, OBS, OPTIONS, PRED, SQL, T_PRED, ZERO, _predictions, query, rounded, sql_hazen, sql_t_cdf, unrounded
+from foretide.product_queries import CLIM, HAVERSINE, LINE, MODEL_LINE, ON_GRID, PLACES, QUANTITIES, _grid_weights, _places, sql_norm_ppf
+from foretide.queries import FCST, GAPPY, HAZEN, METHOD_SQL, OBS, OBS_SUPPLIER, OPTIONS, PRED, SQL, T_PRED, ZERO, _plain, _predictions, query, rounded, sql_hazen, sql_moments, sql_t_cdf, unrounded
 from foretide.sources import readers, star
 
 # ---- gap filling and assembly ----
@@ -276,3 +276,27 @@ def s_cams(spark, sf):
     d = cells.join(u, ["year", "month", "lat", "lon"], "left").withColumn("value", F.when(there, F.col("value")).otherwise(-999.0))
     axes = {"lat": regrid.overlap_weights(regrid.axis_cells(spark, [float(i) for i in range(51)]), regrid.axis_cells(spark, [10.0 * i for i in range(6)])), "lon": regrid.overlap_weights(regrid.axis_cells(spark, [float(i) for i in range(5)]), regrid.axis_cells(spark, [0.0, 2.0, 4.0]))}
     return rounded(readers.read_observations(d, "cams", axes, period=4), 6)
+
+
+# ---- usual time scales, last values, predictions at points ----
+
+_EW = unrounded(METHODS["ewma"]).replace(repr(OPTIONS.gamma), repr(1 / 226))
+
+
+@query(f"""WITH c AS ({unrounded(METHOD_SQL['history'])}), m AS ({unrounded(METHOD_SQL['ma']).replace('27 - t <= 12', '27 - t <= 30')}), e AS ({_EW})
+SELECT site, method, round(mu, 4) AS mu, round(sigma, 4) AS sigma, nu FROM (SELECT 'C' AS method, * FROM c UNION ALL SELECT 'MA', * FROM m UNION ALL SELECT 'EW', * FROM e)""")
+def o_usual_methods(spark, sf):
+    return rounded(predict.predict_usual(["C", "MA", "EW"], star.obs_panel(spark, sf), None, OPTIONS))
+
+
+@query(f"WITH {OBS} SELECT site, round(avg(value), 4) AS mu, round(stddev_samp(value), 4) AS sigma, CAST(count(*) - 1 AS DOUBLE) AS nu FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY site ORDER BY t DESC) <= 8) GROUP BY 1")
+def w_last_values(spark, sf):
+    return rounded(predict.last_values(star.obs_panel(spark, sf).where(f"t < {T_PRED}"), 8))
+
+
+@query(f"""WITH {OBS_SUPPLIER}, pr AS ({_plain(sql_moments('h', 'value'))}), {PLACES}, d AS (SELECT id, g.site, {HAVERSINE} AS d, mu, sigma, nu FROM p, g JOIN pr ON pr.site = g.site)
+SELECT id, round(sum(exp(-d / 2) * mu) / sum(exp(-d / 2)), 3) AS mu, round(sum(exp(-d / 2) * sigma) / sum(exp(-d / 2)), 3) AS sigma, round(sum(exp(-d / 2) * nu) / sum(exp(-d / 2)), 3) AS nu FROM d WHERE d < 8 GROUP BY id HAVING min(d) <= 3""")
+def r_predictions_at_points(spark, sf):
+    points, grid = _places(spark, sf)
+    pred = predict.predict("history", star.supplier_obs(spark, sf), None, OPTIONS)
+    return rounded(regrid.distance_weighted(points, grid, pred, scale=2.0, nearest=3.0, columns=("mu", "sigma", "nu")), 3)

@@ -597,15 +597,41 @@ def regularised_multimodel_trend(i: Inputs) -> DataFrame:
 
 @method("multimethod")
 def multimethod(i: Inputs) -> DataFrame:
-    """By site, the method that claims the least entropy; the earlier of equal ones."""
-    union = None
+    """By site, the method that claims the least entropy; the earlier of equal ones. Methods that `targets` knows share one plan."""
+    from foretide.plans import targets
+
+    at = i.o.t_pred
+    together = [n for n in i.o.of if n in targets.METHODS] if i.o.clim is None else []
+    place = F.array_position(F.array(*map(F.lit, i.o.of)), F.col("method"))
+    union = targets.predict_many(together, i.obs, i.fcst, [at], i.o, i.weights).select("site", "mu", "sigma", "nu", place.alias("place")) if together else None
     for n, name in enumerate(i.o.of):
-        part = REGISTRY[name](i).withColumn("place", F.lit(n))
-        union = part if union is None else union.unionByName(part)
+        if name not in together:
+            part = REGISTRY[name](i).select("site", "mu", "sigma", "nu", F.lit(n + 1).cast("long").alias("place"))
+            union = part if union is None else union.unionByName(part)
     union = union.where(F.col("sigma").isNotNull()).withColumn("entropy", t_entropy(F.col("nu")) + F.log("sigma"))
     return union.groupBy("site").agg(F.min_by(F.struct("mu", "sigma", "nu"), F.struct("entropy", "place")).alias("b")).select("site", "b.*")
 
 
+def last_values(obs: DataFrame, n: int) -> DataFrame:
+    """site, mu, sigma, nu of the last n values of each site, all if it has fewer."""
+    late = F.row_number().over(_site().orderBy(F.desc("t")))
+    return _moments(obs.where(F.col("value").isNotNull()).withColumn("late", late).where(F.col("late") <= n), F.col("value"))
+
+
+def usual(name: str, options: Options) -> Options:
+    """The options of a method with its usual time scale: 15 for weights that fall off (EW), 30 for others."""
+    return replace(options, timescale=15.0 if name.startswith("EW") else 30.0)
+
+
+def predict_usual(names: list[str], obs: DataFrame, fcst: DataFrame | None, options: Options, weights: DataFrame | None = None) -> DataFrame:
+    """site, method, mu, sigma, nu of several methods, each at its usual time scale."""
+    out = None
+    for name in names:
+        part = predict(name, obs, fcst, usual(name, options), weights).select("site", F.lit(name).alias("method"), "mu", "sigma", "nu")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def predict(name: str, obs: DataFrame, fcst: DataFrame | None, options: Options, weights: DataFrame | None = None) -> DataFrame:
     """site, mu, sigma, nu of the named method."""
     if name not in REGISTRY:

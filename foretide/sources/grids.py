@@ -40,5 +40,6 @@ def read_panel(spark: SparkSession, path: str, years: tuple[int, int] | None = N
     return df if month is None else df.where(F.col("month") == month)
 
 
-def write_panel(df: DataFrame, path: str) -> None:
-    df.repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+def write_panel(df: DataFrame, path: str, parts: int = 16) -> None:
+    """A panel by month; each month is written by up to `parts` tasks, whole sites to one."""
+    df.repartition(12 * parts, "month", F.pmod(F.xxhash64("site"), F.lit(parts))).write.mode("overwrite").partitionBy("month").parquet(path)

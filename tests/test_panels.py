@@ -236,5 +236,5 @@ def test_regions(spark):
     places = [(1, 10.0, 350.0, 0.9), (2, 10.0, -5.0, 0.2), (3, 10.0, 20.0, 0.9), (4, 60.0, 0.0, 0.9), (5, -10.0, 0.0, 0.51), (6, 0.0, 180.0, 1.0)]
     cells = spark.createDataFrame(places, "site int, lat double, lon double, share double")
     sites = lambda *a: sorted(r[0] for r in regrid.region(cells, *a).collect())
-    assert sites((-10.0, 30.0, -20.0, 10.0)) == [1, 2, 5] and sites((-10.0, 30.0, -20.0, 10.0), 0.5) == [1, 5]
+    assert sites((-10.0, 30.0, -20.0, 10.0)) == [1, 2, 5] and sites((-10.0, 30.0, -20.0, 10.0), 0.51) == [1, 5]
     assert sites((-90.0, 90.0, 0.0, 360.0)) == [1, 2, 3, 4, 5, 6] and sites((-90.0, 90.0, 170.0, 190.0)) == [6]
