@@ -45,3 +45,42 @@ def test_edge_rows(spark):
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(none) == 5 and all(r["predicted"] == 0 for r in none)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_fit_and_score_by_brute_force():
+    """The fitted weights against the objective written out: no move within the bounds lowers it; scores against the product over sentences."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    texts, toxic = [], []
+    for d in range(160):
+        ws = list(r.choice(words, 20))
+        bad = d % 4 == 0
+        if bad:
+            ws[3:3] = list(r.choice(["zork", "grumf"], 2)) if r.uniform() < 0.9 else []
+        elif r.uniform() < 0.05:
+            ws[0] = "zork"
+        texts.append(". ".join(" ".join(ws[k : k + 5]) for k in range(0, len(ws), 5)) + ".")
+        toxic.append(int(bad))
+    model = toxicity.fit(texts, toxic, steps=3000)
+    assert {b"zork", b"grumf"} <= model.weights.keys()
+    names = sorted(model.weights)
+    counts = np.array([[sum(w in toxicity.features_of(s.encode()) for s in t.split(".") if s.strip()) for w in names] for t in texts], float)
+    y, share = np.array(toxic, bool), np.mean(toxic)
+    weight = np.where(y, 1.0, y.sum() / (~y).sum() * (1 - share) / share)
+
+    def objective(theta, leak):
+        s = leak + counts @ theta
+        return (weight * np.where(y, -np.log1p(-np.exp(-s)), s)).sum() + 2.0 * theta.sum()
+
+    theta, leak = np.array([model.weights[n] for n in names]), model.leak
+    best = objective(theta, leak)
+    for i in range(len(names)):
+        for step in (-0.05, 0.05):
+            moved = theta.copy()
+            moved[i] = max(0, moved[i] + step)
+            assert objective(moved, leak) > best - 0.05
+    assert objective(theta, leak + 0.05) > best - 0.05 and objective(theta, max(1e-6, leak - 0.05)) > best - 0.05
+    for t, c in zip(texts[:20], counts):
+        chance = 1 - np.exp(-leak) * np.prod([np.exp(-sum(model.weights.get(w, 0) for w in toxicity.features_of(s.encode()))) for s in t.split(".")])
+        assert abs(model.score(model.sentence_scores(t)) - chance) < 1e-9
+        assert abs(chance - (1 - np.exp(-leak - c @ theta))) < 1e-9
