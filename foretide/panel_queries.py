@@ -12,7 +12,7 @@ from foretide.operators import panel, regrid
 from foretide.plans import assemble, predict, study, verify
 from foretide.product_queries import CLIM, HAVERSINE, LINE, MODEL_LINE, ON_GRID, PLACES, QUANTITIES, _grid_weights, _places, sql_norm_ppf
 from foretide.queries import FCST, GAPPY, HAZEN, METHOD_SQL, OBS, OBS_SUPPLIER, OPTIONS, PRED, SQL, T_PRED, ZERO, _plain, _predictions, query, rounded, sql_hazen, sql_moments, sql_t_cdf, unrounded
-from foretide.sources import readers, star
+from foretide.sources import hyperslab, readers, star
 
 # ---- gap filling and assembly ----
 
@@ -300,3 +300,20 @@ def r_predictions_at_points(spark, sf):
     points, grid = _places(spark, sf)
     pred = predict.predict("history", star.supplier_obs(spark, sf), None, OPTIONS)
     return rounded(regrid.distance_weighted(points, grid, pred, scale=2.0, nearest=3.0, columns=("mu", "sigma", "nu")), 3)
+
+
+# ---- hyperslabs of flat files ----
+
+
+@query(f"""WITH {QUANTITIES}, g AS (SELECT year, month, lat, lon FROM (SELECT DISTINCT year FROM u) CROSS JOIN (SELECT unnest([3, 4, 5]) AS month) CROSS JOIN (SELECT unnest(range(10, 30)) AS lat) CROSS JOIN (SELECT unnest(range(0, 4)) AS lon))
+SELECT g.year, CAST(g.month AS INTEGER) AS month, CAST(g.lat AS INTEGER) AS lat, CAST(g.lon AS INTEGER) AS lon, value FROM g LEFT JOIN u USING (year, month, lat, lon) WHERE g.year > 1992""")
+def s_hyperslab(spark, sf):
+    path = hyperslab.shared_folder(spark)
+    hyperslab.write_hyperslabs(_shipments(spark, sf), path, 4, 50)
+    return hyperslab.read_hyperslab(spark, path, 4, 50, years=(1993, 9999), months=[3, 4, 5], lats=(10, 29))
+
+
+def _shipments(spark, sf) -> DataFrame:
+    """year, month, lat, lon, value: lines shipped in a month by quantity and line number."""
+    l = star.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), (F.col("l_quantity").cast("int") - 1).alias("lat"), (F.col("l_linenumber").cast("int") % 4).alias("lon"))
+    return l.groupBy("year", "month", "lat", "lon").agg(F.count("*").cast("double").alias("value"))

@@ -167,3 +167,38 @@ def test_flat_grid_and_months(spark, tmp_path):
     ((y, m, d),) = values(spark, [(2000, 2)], "y int, m int", *panel.shift_month(F.col("y"), F.col("m"), -26), panel.days_per_month(F.col("y"), F.col("m")))
     assert (y, m, d) == (1997, 12, 29)
     assert panel.expand_months(spark, [1, 2], [3, 4], "zip").count() == 2
+
+
+def test_hyperslabs(spark, tmp_path):
+    from foretide.sources import hyperslab
+
+    n = 30
+    grid = np.arange(12 * n, dtype=">f4").reshape(n, 12)
+    grid[14, 5], grid[14, 6] = -999, np.nan
+    body = b"".join(struct.pack(">i", 48) + g.tobytes() + struct.pack(">i", 48) for g in grid)
+    path = tmp_path / "x.bin"
+    path.write_bytes(body)
+    d = hyperslab.read_hyperslab(spark, str(path), 4, 3, 1990)
+    whole = {tuple(r) for r in d.collect()}
+    assert len(whole) == 12 * n and whole == {tuple(r) for r in grids.read_flat_grid(spark, str(path), 4, 3, 1990).collect()}
+    slabs = {"year = 1991 AND month = 3 AND lat = 1": ((1991, 1991), [3], (1, 1)), "month IN (1, 12) AND lat >= 1": (None, [1, 12], (1, 9)), "year > 1991": ((1992, 2100), None, None), "year = 2050": ((2050, 2050), None, None), "lat = 7": (None, None, (7, 7)), "lat < 2": (None, None, (-3, 1))}
+    made = {c: hyperslab.read_hyperslab(spark, str(path), 4, 3, 1990, -999.0, *slab) for c, slab in slabs.items()}
+    every = spark.createDataFrame(list(whole), hyperslab.SCHEMA)
+    for condition, slab in made.items():
+        assert {tuple(r) for r in slab.collect()} == {tuple(r) for r in every.where(condition).collect()}, condition
+    # slabs of one file in one plan, filters above, and the whole after them
+    both = made["year > 1991"].where("lat = 1").union(made["lat < 2"].where("month = 2"))
+    assert both.count() == every.where("year > 1991 AND lat = 1").count() + every.where("lat < 2 AND month = 2").count() and d.count() == 12 * n
+    # only the records asked for become partitions
+    reader = hyperslab.HyperslabReader({"path": str(path), "n_lon": "4", "n_lat": "3", "start_year": "1990", "years": "1991,1991", "months": "2,3", "lats": "1,2"})
+    (slab,) = reader.partitions()
+    assert slab.records.tolist() == [13, 14] and (slab.low, slab.high) == (1, 2)
+    # a written folder reads back; a repeated write changes nothing
+    rows = spark.createDataFrame([r for r in whole if r[4] is not None], hyperslab.SCHEMA)
+    for _ in range(2):
+        hyperslab.write_hyperslabs(rows, f"file:{tmp_path}/years", 4, 3)
+    back = {tuple(r) for r in hyperslab.read_hyperslab(spark, f"file:{tmp_path}/years", 4, 3).where("value IS NOT NULL").collect()}
+    assert back == {r for r in whole if r[4] is not None}
+    (tmp_path / "bad.bin").write_bytes(body[:-1])
+    with pytest.raises(Exception, match="whole number of records"):
+        hyperslab.read_hyperslab(spark, str(tmp_path / "bad.bin"), 4, 3, 1990).collect()
