@@ -16,7 +16,9 @@ benchmark. A template window that very many documents hold goes to the items tha
 
 Items without a window (formulas, scripts without spaces) are found verbatim: their characters in lower case without
 white space, and without signs at the ends, stand in a document. Two windows of a power of two characters, at the item's
-start and end, cover it. A letter or digit of ASCII at an end must not go on in the document.
+start and end, cover it. A letter or digit of ASCII at an end must not go on in the document. Items of fewer than
+`LEAST_BYTES` bytes of such characters ("yes", "Paris?", "42") stand in ordinary prose by chance and say nothing of a
+leak; they are never searched for, and `unsearchable` lists them.
 
 Rows: null and empty texts have no windows. An item of fewer than `WINDOW` tokens has one window of all its tokens, if
 it has `LEAST_WORDS` words. Repeated rows and ids count once. Ties between alignments go to the earliest. Empty tables
@@ -37,9 +39,11 @@ from foretide.llm.common import mix, rolling, stored, text_batches
 WINDOW, LEAST_WORDS, LEAST_COVER = 8, 4, 0.5
 #: Tokens added or removed between two neighbouring matches of an alignment at most; tokens of an unchanged run that is enough.
 SHIFT, LEAST_RUN = 8, 13
+#: Bytes (UTF-8) of the characters of an item that is found verbatim, at least.
+LEAST_BYTES = 12
 #: Bits of the bitmap, powers of two: at least, and at most (16 MB).
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
-#: Windows of documents with one hash that go to one task, about.
+#: Windows of documents with one hash (or ends of verbatim items) that go to one task, about.
 HOT_ROWS = 50_000
 
 #: Words that a number before them takes into its quantity, by what they measure.
@@ -296,8 +300,15 @@ def characters(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 ENDS = "id long, at long, width int, hash long, free_before boolean, free_after boolean"
 
 
+def plain_characters(text: str | None) -> str:
+    """The characters of an item in lower case without white space, without signs at the ends."""
+    text = "".join((text or "").lower().split())
+    some = [k for k, c in enumerate(text) if c.isalnum()]
+    return text[some[0] : some[-1] + 1] if some else ""
+
+
 def ends(items: DataFrame) -> DataFrame:
-    """items -> item_id, n, width and the hashes head and tail of the characters at both ends."""
+    """items -> item_id, n, width and the hashes head and tail of the characters at both ends, for items long enough."""
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -305,10 +316,9 @@ def ends(items: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                text = "".join((text or "").lower().split())
-                some = [k for k, c in enumerate(text) if c.isalnum()]
-                if some:
-                    _, code, _ = characters([text[some[0] : some[-1] + 1].encode()])
+                plain = plain_characters(text).encode()
+                if len(plain) >= LEAST_BYTES:
+                    _, code, _ = characters([plain])
                     w = 1 << (len(code).bit_length() - 1)
                     h = mix(rolling(mix(code.astype(np.uint64)), w)).view(np.int64)
                     out.append((i, len(code), w, h[0], h[-1]))
@@ -318,6 +328,27 @@ def ends(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(made, "item_id long, n long, width int, head long, tail long")
 
 
+def unsearchable(items: DataFrame) -> DataFrame:
+    """items (item_id, text) -> item_id, text of those that are never searched for: no window, and too few characters."""
+
+    def short(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([len(plain_characters(t).encode()) < LEAST_BYTES for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    rest = items.where("item_id IS NOT NULL").select("item_id", "text")
+    with_windows = item_windows(rest).select(F.col("id").alias("item_id")).distinct()
+    return rest.withColumn("item_id", F.col("item_id").cast("long")).join(with_windows, "item_id", "left_anti").mapInArrow(short, "item_id long, text string")
+
+
+def salted(met: DataFrame, item: DataFrame, keys: list[str], by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on keys and salt: keys with many rows in met are split by the columns `by`, and the item's rows go to each salt."""
+    hot = stored(met.groupBy(*keys).agg(F.ceil(F.count("*") / HOT_ROWS).alias("salts")).where("salts > 1"))
+    many = met.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1)))).drop("salts")
+    return many, item.join(hot, keys, "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1) - 1)"))).drop("salts")
+
+
 def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The items (item_id, text) that stand whole in documents, with the columns of contaminated."""
     item = stored(ends(items).distinct())
@@ -344,7 +375,9 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not widths:
         return docs.sparkSession.createDataFrame([], FOUND)
     met = stored(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(made, ENDS).distinct())
-    head = met.where("free_before").join(item.withColumnRenamed("head", "hash"), ["width", "hash"]).select(F.col("id").alias("doc_id"), "item_id", "width", F.col("tail").alias("hash"), (F.col("at") + F.col("n") - F.col("width")).alias("at"))
+    starts, heads = salted(met.where("free_before"), item.withColumnRenamed("head", "hash"), ["width", "hash"], ["id", "at"])
+    # ends meet by document and place, so a common one needs no salt
+    head = starts.join(heads, ["width", "hash", "salt"]).select(F.col("id").alias("doc_id"), "item_id", "width", F.col("tail").alias("hash"), (F.col("at") + F.col("n") - F.col("width")).alias("at"))
     tail = met.where("free_after").select(F.col("id").alias("doc_id"), "width", "hash", "at")
     whole = head.join(tail, ["doc_id", "width", "hash", "at"]).select("doc_id", "item_id").distinct()
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -360,11 +393,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     widths = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())
     met = stored(document_windows(docs, bitmap, widths))
     item = bench.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "width", "hash", F.col("slots").alias("item_slots"))
-    # a hash with many windows is split by salt, and its items go to each salt
-    hot = stored(met.groupBy("hash").agg(F.ceil(F.count("*") / HOT_ROWS).alias("salts")).where("salts > 1"))
-    salted = met.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.coalesce("salts", F.lit(1))))
-    item = item.join(hot, "hash", "left").withColumn("salt", F.explode(F.expr("sequence(0L, coalesce(salts, 1) - 1)"))).drop("salts")
-    pairs = salted.join(item, ["hash", "width", "salt"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "width", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
+    met_, item_ = salted(met, item, ["hash"], ["id", "at"])
+    pairs = met_.join(item_, ["hash", "width", "salt"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at", "width", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("zipped"))
     hits = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at", "width", "zipped")).alias("hits"))
     # fewer matches can't be enough: each holds WINDOW tokens at most
     able = hits.join(sizes, "item_id").where((WINDOW * F.size("hits") >= F.least(F.lit(LEAST_RUN), LEAST_COVER * F.col("n_tokens"))))

@@ -143,6 +143,27 @@ def test_items_without_windows(spark):
     assert run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {(1, 1), (4, 2), (5, 3)}
 
 
+def test_items_too_short_to_search(spark):
+    items = [(1, "Yes"), (2, "Paris?"), (3, "a"), (4, "42"), (5, None), (6, "What is 17 * 23 + 4?"), (7, ITEM_OF_WORDS), (8, "\u4e3a\u4ec0\u4e48"), (9, "?!"), (10, "12 bytes, so!!")]
+    docs = [(1, "I said yes to the man in Paris."), (2, "A yes is a yes."), (3, "It is 42 a day."), (4, "So, what is 17*23+4?"), (5, ITEM_OF_WORDS), (6, "\u4e3a\u4ec0\u4e48"), (7, "I read 12 bytes, so!")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert run(spark.createDataFrame(docs, "doc_id long, text string"), items) == {(4, 6), (5, 7)}
+    assert sorted(r["item_id"] for r in decontaminate.unsearchable(items).collect()) == [1, 2, 3, 4, 5, 8, 9, 10]
+
+
+ITEM_OF_WORDS = "which river runs from the black forest to the sea"
+
+
+def test_hot_ends_are_salted(spark, monkeypatch):
+    """One item verbatim in very many documents, and an item whose start all of them hold."""
+    items = spark.createDataFrame([(1, "What is 17 * 23 + 4?"), (2, "What is 17 * 23 + 4? And 5 - 2?")], "item_id long, text string")
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('So: what is 17 * 23 + 4?', IF(id % 3 = 0, ' And 5 - 2?', ' Nothing.')) AS text")
+    want = {(i, 1) for i in range(300)} | {(i, 2) for i in range(0, 300, 3)}
+    assert run(docs, items) == want
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 20)
+    assert run(docs, items) == want
+
+
 def test_long_words_take_linear_time():
     import time
 
