@@ -54,7 +54,7 @@ class HyperslabReader(DataSourceReader):
         self.n_lon, self.n_lat = int(options["n_lon"]), int(options["n_lat"])
         self.start_year = int(options["start_year"]) if options.get("start_year") else None
         self.missing = float(options.get("missing", "-999"))
-        self.years, self.months, self.lats = ([int(i) for i in options[k].split(",")] if options.get(k) else None for k in ("years", "months", "lats"))
+        self.years, self.months, self.lats = ([int(i) for i in options[k].split(",") if i] if k in options else None for k in ("years", "months", "lats"))
 
     def files(self) -> list[tuple[str, int, int]]:
         """path, bytes and first year of each file."""
@@ -83,7 +83,7 @@ class HyperslabReader(DataSourceReader):
             asked = np.ones(len(months), bool)
             if self.years:
                 asked &= (months // 12 >= self.years[0]) & (months // 12 <= self.years[1])
-            if self.months:
+            if self.months is not None:
                 asked &= np.isin(months % 12 + 1, self.months)
             records, months = records[asked], months[asked]
             out += [Slab(path, records[i : i + most], months[i : i + most], low, high) for i in range(0, len(records), most)]
@@ -120,10 +120,10 @@ class HyperslabSource(DataSource):
 
 def read_hyperslab(spark: SparkSession, path: str, n_lon: int, n_lat: int, start_year: int | None = None, missing: float = -999.0, years: tuple[int, int] | None = None, months: list[int] | None = None, lats: tuple[int, int] | None = None) -> DataFrame:
     """year, month, lat, lon, value of a flat file or folder: of the years from the first to the last given, the months of
-    the year, and the latitudes (indices) from the first to the last; None for all."""
+    the year, and the latitudes (indices) from the first to the last; None for all, no months for no rows."""
     spark.dataSource.register(HyperslabSource)
     options = {"n_lon": n_lon, "n_lat": n_lat, "missing": missing} | ({} if start_year is None else {"start_year": start_year})
-    options |= {k: ",".join(map(str, v)) for k, v in (("years", years), ("months", months), ("lats", lats)) if v}
+    options |= {k: ",".join(map(str, v)) for k, v in (("years", years), ("months", months), ("lats", lats)) if v is not None}
     return spark.read.format("hyperslab").options(**options).load(path)
 
 
