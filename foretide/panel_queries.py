@@ -241,7 +241,7 @@ def f_zero_width(spark, sf):
     return rounded(panel.zero_mean_width(panel.zero_mean_test(e, ["site"])).select("site", "mean", "dt"), 6)
 
 
-@query(f"WITH {ON_GRID.replace(' WHERE l_quantity <= 10', '').replace('CAST(l_quantity AS INTEGER) - 1 AS lat', 'CAST(l_quantity AS INTEGER) % 10 AS lat')} SELECT CAST(lat * 9 + lon AS BIGINT) AS site, round(greatest(0.0, least(1.0, sum(w * share * 10))), 6) AS share FROM x GROUP BY 1")
+@query(f"WITH {ON_GRID} SELECT CAST(lat * 9 + lon AS BIGINT) AS site, round(greatest(0.0, least(1.0, sum(w * share * 10))), 6) AS share FROM x GROUP BY 1")
 def s_land_share(spark, sf):
     d = star.table(spark, sf, "lineitem").groupBy((F.col("l_quantity").cast("int") % 10).alias("lat"), (F.col("l_partkey") % 12).cast("int").alias("lon")).agg(((F.avg("l_discount") + 0.01) * 10).alias("value"))
     return rounded(readers.land_share(d, _grid_weights(spark), 9), 6)
