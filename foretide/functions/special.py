@@ -145,7 +145,6 @@ def log_score(p: Column, happened: Column) -> Column:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in degrees."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    s = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    """Great-circle distance in degrees; differences are taken in degrees, where those of whole degrees are exact."""
+    s = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.degrees(2 * F.asin(F.sqrt(F.least(s, F.lit(1.0)))))

@@ -154,7 +154,7 @@ def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, sca
     w = _near(points, grid, radius).where(F.col("d") < radius).withColumn("w", F.exp(-F.col("d") / scale))
     j = w.join(values.select("site", *columns).dropna(subset=list(columns)), "site")
     means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns]
-    return j.groupBy("id").agg(*means, F.max("w").alias("best")).where(F.col("best") >= F.exp(F.lit(-nearest / scale))).drop("best")
+    return j.groupBy("id").agg(*means, F.min("d").alias("closest")).where(F.col("closest") <= nearest).drop("closest")
 
 
 def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:

@@ -3,6 +3,7 @@
 import math
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from foretide.functions import kernels as K
 from foretide.functions import special as S
 from foretide.operators import panel, regrid
 from foretide.plans import verify
+from foretide.product_queries import HAVERSINE
 from foretide.sources import grids
 
 
@@ -98,6 +100,22 @@ def test_nearest_and_distance(spark):
     assert {r["id"]: r["value"] for r in regrid.distance_weighted(points, grid, flat).collect()} == {1: pytest.approx(3.0), 2: pytest.approx(3.0)}
 
 
+@pytest.mark.parametrize("columns", [("value",), ("mu", "sigma")])
+def test_distances_on_the_limits_count_as_in_sql(spark, columns):
+    """Places whole degrees apart on a meridian: exactly 8 degrees (the radius) and exactly 3 (the nearest allowed) at every latitude."""
+    # sites 11 degrees apart: a point 3 degrees from one is 8 degrees from the other
+    places = [(float(lat), 30.0 * k) for k in range(11) for lat in range(k - 88, 89, 11)]
+    grid = spark.createDataFrame([(n, a, b, 1.0 + n * n % 97) for n, (a, b) in enumerate(places)], "site long, lat double, lon double, value double")
+    points = spark.createDataFrame([(lat * 100 + k, float(lat), 30.0 * k) for lat in range(-80, 81) for k in range(11)], "id int, lat double, lon double")
+    values = grid.select("site", *(F.col("value").alias(c) for c in columns))
+    got = regrid.distance_weighted(points, grid, values, scale=2.0, nearest=3.0, columns=columns)
+    con = duckdb.connect()
+    for name, df in (("p", points), ("g", grid.withColumnsRenamed({"lat": "glat", "lon": "glon"}))):
+        con.register(f"{name}_", df.toArrow())
+    want = con.execute(f"WITH d AS (SELECT id, value, {HAVERSINE} AS d FROM p_, g_) SELECT id, round(sum(exp(-d / 2) * value) / sum(exp(-d / 2)), 4) FROM d WHERE d < 8 GROUP BY id HAVING min(d) <= 3").fetchall()
+    assert sorted((r["id"], *(round(r[c], 4) for c in columns)) for r in got.collect()) == sorted((i, *[v] * len(columns)) for i, v in want)
+
+
 def test_fills(spark):
     df = spark.createDataFrame([(0, j, None if j in (0, 3, 4) else float(j)) for j in range(6)] + [(1, j, None) for j in range(6)] + [(2, j, 7.0) for j in range(6)], "lat int, lon int, value double")
     got = {(r["lat"], r["lon"]): r["filled"] for r in panel.fill_from_neighbours(df, ["lat"], "lon", 6).collect()}
