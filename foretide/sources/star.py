@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn("site", F.col("c_nationkey").cast("long"))
 
 
+#: Rows that one task makes, about, where each site gets the rows of its group.
+FANNED_ROWS = 250_000
+
+
+def fanned(sites: DataFrame, shared: DataFrame, on: str, each: int) -> DataFrame:
+    """sites (site, on) with all rows of shared (on, ...), a small table; each: about as many as a site gets.
+
+    Sites are dealt out first, by their number: a table of sites is a small file, read by one task, and that task would
+    make the rows of all sites.
+    """
+    return sites.repartition(max(1, math.ceil(sites.count() * each / FANNED_ROWS)), "site").join(F.broadcast(shared), on)
+
+
 def obs_panel(spark: SparkSession, sf_dir: str, monthly: bool = False) -> DataFrame:
     """site, t, value."""
     return _orders(spark, sf_dir).groupBy("site", (month() if monthly else quarter()).alias("t")).agg(F.avg("o_totalprice").alias("value"))
@@ -59,7 +74,7 @@ def supplier_fcst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, t, model, value: each supplier has the prices of its region by place on the order."""
     region = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("long").alias("site"), "n_regionkey")
     regional = _lines(spark, sf_dir).join(region, "site").groupBy("n_regionkey", "t", "model").agg(F.avg("l_extendedprice").alias("value"))
-    return region.join(regional, "n_regionkey").select("site", "t", "model", "value")
+    return fanned(region, regional, "n_regionkey", 140).select("site", "t", "model", "value")
 
 
 def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +101,7 @@ def part_fcst(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.concat(F.lit("line"), F.least("l_linenumber", F.lit(3)).cast("string"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("site"), half.alias("t"), model.alias("model"), "l_extendedprice")
     by_size = lines.join(sizes, "site").groupBy("p_size", "t", "model").agg(F.avg("l_extendedprice").alias("value"))
-    return sizes.join(by_size, "p_size").select("site", "t", "model", "value")
+    return fanned(sizes, by_size, "p_size", 42).select("site", "t", "model", "value")
 
 
 def fcst_gappy(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:

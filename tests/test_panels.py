@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foretide.operators import panel, regrid
 from foretide.plans import assemble, predict, study, verify
-from foretide.sources import readers
+from foretide.sources import readers, star
 
 FCST = "site long, t int, model string, value double"
 
@@ -238,3 +238,14 @@ def test_regions(spark):
     sites = lambda *a: sorted(r[0] for r in regrid.region(cells, *a).collect())
     assert sites((-10.0, 30.0, -20.0, 10.0)) == [1, 2, 5] and sites((-10.0, 30.0, -20.0, 10.0), 0.51) == [1, 5]
     assert sites((-90.0, 90.0, 0.0, 360.0)) == [1, 2, 3, 4, 5, 6] and sites((-90.0, 90.0, 170.0, 190.0)) == [6]
+
+
+@pytest.mark.parametrize("panel_of, sites", [("supplier_fcst", "supplier"), ("part_fcst", "part")])
+def test_no_task_makes_the_forecasts_of_all_sites(spark, monkeypatch, panel_of, sites):
+    """Sites come from a small file; the rows of their groups must not all be made by the task that reads it."""
+    monkeypatch.setattr(star, "FANNED_ROWS", 2000, raising=False)
+    made = getattr(star, panel_of)(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) > 3 * 2000 and max(sizes) < 0.5 * sum(sizes)
+    assert made.groupBy("site", "t", "model").count().where("count > 1").isEmpty()
+    assert made.select("site").distinct().count() == star.table(spark, "/root/testdata/sf0.01", sites).count()
