@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foretide.functions.special import haversine
+from foretide.sources.hyperslab import shared_folder
 
 
 def axis_cells(spark: SparkSession, limits: list[float]) -> DataFrame:
@@ -122,28 +123,58 @@ def _cube(lat: Column, lon: Column, side: float) -> list[Column]:
 
 def _near(points: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
     """points (id, lat, lon) with each grid cell within `reach` degrees: id, site, d. An equi-join of cubes: cells go to 27 cubes each."""
-    side = 2 * math.sin(math.radians(min(reach, 180.0)) / 2) * (1 + 1e-9)
+    side = _side(reach)
     p = points.select("id", "lat", "lon", *(c.alias(f"c{i}") for i, c in enumerate(_cube(F.col("lat"), F.col("lon"), side))))
     steps = F.explode(F.array(*(F.array(*map(F.lit, at)) for at in itertools.product((-1, 0, 1), repeat=3))))
     g = grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon"), steps.alias("_s"))
     g = g.select("site", "glat", "glon", *((c + F.col("_s")[i]).alias(f"c{i}") for i, c in enumerate(_cube(F.col("glat"), F.col("glon"), side))))
     d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
-    return p.join(g, ["c0", "c1", "c2"]).select("id", "site", d.alias("d")).where(F.col("d") <= reach)
+    # a merge join at every size: cells times 27 have no bound that a broadcast could keep to
+    return p.join(g.hint("merge"), ["c0", "c1", "c2"]).select("id", "site", d.alias("d")).where(F.col("d") <= reach)
+
+
+def _side(reach: float) -> float:
+    """The side of cubes of which places within `reach` degrees are the same or neighbours."""
+    return 2 * math.sin(math.radians(min(reach, 180.0)) / 2) * (1 + 1e-9)
+
+
+#: Places that the fullest cube holds at most, where the search for nearest cells begins.
+MOST_PLACES = 16
+
+
+def _first_reach(places: DataFrame, reach: float) -> float:
+    """The largest of reach, reach / 3, reach / 9, ... whose cubes hold at most MOST_PLACES places, as one aggregate of a row for each of them."""
+    tried = [reach / 3**k for k in range(12)]
+    cubes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(c.alias(f"c{i}") for i, c in enumerate(_cube(F.col("lat"), F.col("lon"), _side(r))))) for k, r in enumerate(tried))))
+    full = places.select(cubes.alias("c")).select("c.*").groupBy("k", "c0", "c1", "c2").count().groupBy("k").agg(F.max("count").alias("most")).collect()
+    return max((tried[r["k"]] for r in full if r["most"] <= MOST_PLACES), default=tried[-1] if full else reach)
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, reach: float = 2.0) -> DataFrame:
     """points (id, lat, lon) with the site of the nearest grid cell, the smaller site of equally near ones.
 
-    Cells within `reach` degrees come from an equi-join; points that have none ask again with three times the reach, until
-    it spans the sphere.
+    Cells in reach come from an equi-join; points that have none ask again with three times the reach, until it spans the
+    sphere. The first reach is `reach` or, on a dense grid, so much smaller that a cube holds few cells: a point meets the
+    cells of 27 cubes, however many the grid has. Sites of one place are one cell. What each round found is written once,
+    so no round repeats those before it.
     """
-    best, open_ = None, points
+    spark = points.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        df.write.parquet(path := shared_folder(spark))
+        return spark.read.schema(df.schema).parquet(path)
+
+    places = stored(grid.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(F.min("site").alias("site")))
+    reach, best = _first_reach(places, reach), None
+    open_ = points.select("id", "lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     while True:
-        near = _near(open_, grid, reach).groupBy("id").agg(F.min_by("site", F.struct("d", "site")).alias("site"), F.min("d").alias("distance"))
+        near = stored(_near(open_, places, reach).groupBy("id").agg(F.min_by("site", F.struct("d", "site")).alias("site"), F.min("d").alias("distance")))
         best = near if best is None else best.unionByName(near)
         if reach >= 180:
             return best
-        open_, reach = open_.join(near.select("id"), "id", "left_anti"), min(180.0, 3 * reach)
+        open_, reach = stored(open_.join(near.select("id"), "id", "left_anti")), min(180.0, 3 * reach)
+        if open_.isEmpty():
+            return best
 
 
 def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5, columns: tuple[str, ...] = ("value",)) -> DataFrame:

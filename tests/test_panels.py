@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foretide.operators import panel, regrid
 from foretide.plans import assemble, predict, study, verify
+from foretide.product_queries import HAVERSINE
 from foretide.sources import readers, star
 
 FCST = "site long, t int, model string, value double"
@@ -249,3 +251,33 @@ def test_no_task_makes_the_forecasts_of_all_sites(spark, monkeypatch, panel_of,
     assert sum(sizes) > 3 * 2000 and max(sizes) < 0.5 * sum(sizes)
     assert made.groupBy("site", "t", "model").count().where("count > 1").isEmpty()
     assert made.select("site").distinct().count() == star.table(spark, "/root/testdata/sf0.01", sites).count()
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_nearest_cells_of_a_dense_grid(spark, monkeypatch, dense):
+    """A point meets a bounded number of cells, whatever the reach asked for; sites of one place, far points and ties as in SQL."""
+    r = np.random.default_rng(8)
+    at = [(float(a), float(b)) for a, b in zip(np.degrees(np.arcsin(r.uniform(-1, 0.8, 6000))), r.uniform(0, 360, 6000))]
+    if dense:  # most cells in one small place, a few of the others
+        at = [(10 + a / 50, 20 + b / 300) for a, b in at] + at[:100]
+    at += at[:300] + [(-89.0, 0.0), (-89.0, 180.0)]
+    grid = spark.createDataFrame([(i * 37 % 9973, a, b) for i, (a, b) in enumerate(at)], "site long, lat double, lon double")
+    some = [(float(a), float(b)) for a, b in zip(np.degrees(np.arcsin(r.uniform(-1, 1, 300))), r.uniform(0, 360, 300))] + [(-90.0, 5.0), (0.0, 0.0)]
+    some += [(10.1 + k / 100, 20.3 + k / 90) for k in range(60)]
+    points = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(some)], "id int, lat double, lon double")
+    pairs, near = [], regrid._near
+    monkeypatch.setattr(regrid, "_near", lambda *a: pairs.append(near(*a).count()) or near(*a))
+    got = regrid.nearest_cell(points, grid, 10.0)
+    con = duckdb.connect()
+    for name, df in (("p", points), ("g", grid.withColumnsRenamed({"lat": "glat", "lon": "glon"}))):
+        con.register(f"{name}_", df.toArrow())
+    want = con.execute(f"WITH d AS (SELECT id, site, {HAVERSINE} AS d FROM p_, g_) SELECT id, site, round(d, 6) FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, site) = 1").fetchall()
+    assert sorted((x["id"], x["site"], round(x["distance"], 6)) for x in got.collect()) == sorted(want)
+    if not dense:
+        assert sum(pairs) < 30 * len(some)
+
+
+def test_near_cells_are_not_broadcast(spark):
+    grid = spark.createDataFrame([(i, float(i), float(i)) for i in range(50)], "site long, lat double, lon double")
+    points = grid.withColumnRenamed("site", "id")
+    assert "Broadcast" not in regrid._near(points, grid, 5.0)._jdf.queryExecution().executedPlan().toString()
