@@ -275,7 +275,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(buckets(reps).join(centres.hint("merge"), "bucket"))
     discard(centres)
     edges = stored(agree(members.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), reps))
-    ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
+    # full sets of all that links and blocks compare, so that texts are dealt out once: blocks read buckets of more than two
+    crowded = members.groupBy("bucket").count().where("count > 2").select("bucket")
+    ids = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id")))
+    ids = ids.unionByName(members.join(crowded.hint("merge"), "bucket", "left_semi").select(F.col("rep").alias("doc_id"))).distinct()
     sets = stored(full_sets(docs.where("doc_id IS NOT NULL"), ids.hint("merge")))
     # stored, as components reads its links in both directions
     starred = stored(same_id.unionByName(links(stars(edges), sets)))
@@ -285,9 +288,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n_shingles", "bucket", F.coalesce("comp", "rep").alias("comp"))
     placed = stored(placed)
     rows = stored(blocks(placed))
-    new = rows.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id", "left_anti")
-    if not new.isEmpty():
-        sets = sets.unionByName(stored(full_sets(docs, new)))
     blocked = stored(links(rows, sets))
     joined = components(blocked)
     discard(blocked)

@@ -146,3 +146,16 @@ def test_one_id_with_many_texts(spark, n):
     rows = [(i + 1, t) for i, t in enumerate(texts)] + [(50, t) for t in texts] + [(60, texts[-1]), (61, "none of these at all here"), (70, texts[1] + " more"), (70, "some other words stand in this text")]
     got = run(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == brute(rows) and {g[2] for g in got if g[0] != 61} == {1}
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    """Texts that share half their words share buckets and no links; the comparison of their blocks needs no second pass over all texts."""
+    r = random.Random(3)
+    word = lambda: "w" + str(r.randint(0, 10**6))
+    common = [word() for _ in range(120)]
+    rows = [(i, " ".join([*common, *(word() for _ in range(60))])) for i in range(24)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(4)]
+    calls, full_sets = [], neardup.full_sets
+    monkeypatch.setattr(neardup, "full_sets", lambda *a: calls.append(1) or full_sets(*a))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert len(calls) == 1
