@@ -278,6 +278,7 @@ def test_nearest_cells_of_a_dense_grid(spark, monkeypatch, dense):
 
 
 def test_near_cells_are_not_broadcast(spark):
-    grid = spark.createDataFrame([(i, float(i), float(i)) for i in range(50)], "site long, lat double, lon double")
+    key = F.col("s_suppkey")
+    grid = star.table(spark, "/root/testdata/sf0.01", "supplier").select(key.alias("site"), (key % 90).cast("double").alias("lat"), key.cast("double").alias("lon"))
     points = grid.withColumnRenamed("site", "id")
     assert "Broadcast" not in regrid._near(points, grid, 5.0)._jdf.queryExecution().executedPlan().toString()
