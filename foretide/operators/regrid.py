@@ -122,15 +122,19 @@ def _cube(lat: Column, lon: Column, side: float) -> list[Column]:
 
 
 def _near(points: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
-    """points (id, lat, lon) with each grid cell within `reach` degrees: id, site, d. An equi-join of cubes: cells go to 27 cubes each."""
+    """points (id, lat, lon) with each grid cell within `reach` degrees: id, d and what the grid holds beside lat and lon.
+
+    An equi-join of cubes: cells go to 27 cubes each, a point to one, so that one task meets all the cells of a point.
+    """
     side = _side(reach)
     p = points.select("id", "lat", "lon", *(c.alias(f"c{i}") for i, c in enumerate(_cube(F.col("lat"), F.col("lon"), side))))
     steps = F.explode(F.array(*(F.array(*map(F.lit, at)) for at in itertools.product((-1, 0, 1), repeat=3))))
-    g = grid.select("site", F.col("lat").alias("glat"), F.col("lon").alias("glon"), steps.alias("_s"))
-    g = g.select("site", "glat", "glon", *((c + F.col("_s")[i]).alias(f"c{i}") for i, c in enumerate(_cube(F.col("glat"), F.col("glon"), side))))
+    held = [c for c in grid.columns if c not in ("lat", "lon")]
+    g = grid.select(*held, F.col("lat").alias("glat"), F.col("lon").alias("glon"), steps.alias("_s"))
+    g = g.select(*held, "glat", "glon", *((c + F.col("_s")[i]).alias(f"c{i}") for i, c in enumerate(_cube(F.col("glat"), F.col("glon"), side))))
     d = haversine(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
     # a merge join at every size: cells times 27 have no bound that a broadcast could keep to
-    return p.join(g.hint("merge"), ["c0", "c1", "c2"]).select("id", "site", d.alias("d")).where(F.col("d") <= reach)
+    return p.join(g.hint("merge"), ["c0", "c1", "c2"]).select("id", *held, d.alias("d")).where(F.col("d") <= reach)
 
 
 def _side(reach: float) -> float:
@@ -180,12 +184,15 @@ def nearest_cell(points: DataFrame, grid: DataFrame, reach: float = 2.0) -> Data
 def distance_weighted(points: DataFrame, grid: DataFrame, values: DataFrame, scale: float = 1.0, radius: float = 8.0, nearest: float = 1.5, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """Means of site values (one or several columns, such as those of predictions) around each point with weights exp(-distance/scale) within a radius, where some site is near.
 
-    Sites that lack any of the columns take no part.
+    Sites that lack any of the columns take no part. Sites of one place are one cell with their number and sums, which
+    it brings to its points: the pairs are summed where they are met and never written, one row a point is.
     """
-    w = _near(points, grid, radius).where(F.col("d") < radius).withColumn("w", F.exp(-F.col("d") / scale))
-    j = w.join(values.select("site", *columns).dropna(subset=list(columns)), "site")
-    means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns]
-    return j.groupBy("id").agg(*means, F.min("d").alias("closest")).where(F.col("closest") <= nearest).drop("closest")
+    there = values.select("site", *columns).dropna(subset=list(columns))
+    sums = [F.sum(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    places = grid.select("site", "lat", "lon").join(there, "site").groupBy("lat", "lon").agg(*sums, F.count("*").alias("_n"))
+    near = _near(points, places, radius).where(F.col("d") < radius).withColumn("_w", F.exp(-F.col("d") / scale))
+    means = [(F.sum(F.col("_w") * F.col(f"_{i}")) / F.sum(F.col("_w") * F.col("_n"))).alias(c) for i, c in enumerate(columns)]
+    return near.groupBy("id").agg(*means, F.min("d").alias("closest")).where(F.col("closest") <= nearest).drop("closest")
 
 
 def in_box(lat: Column, lon: Column, south: float, north: float, west: float, east: float) -> Column:

@@ -282,3 +282,41 @@ def test_near_cells_are_not_broadcast(spark):
     grid = star.table(spark, "/root/testdata/sf0.01", "supplier").select(key.alias("site"), (key % 90).cast("double").alias("lat"), key.cast("double").alias("lon"))
     points = grid.withColumnRenamed("site", "id")
     assert "Broadcast" not in regrid._near(points, grid, 5.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def _exchanged(spark, df):
+    """The rows of df, and how many rows Spark wrote for exchanges on the way."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    rows = df.collect()
+    return rows, sum(n for i, n in stages().items() if i not in before)
+
+
+@pytest.mark.parametrize("shared", [1, 30])
+def test_pairs_of_points_and_sites_are_not_written(spark, request, shared):
+    """Pairs grow with points times sites: exchanged are points, cells and sites, however many sites share a place; means as in SQL."""
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1")  # as at a size where the values are no small table
+    request.addfinalizer(lambda: spark.conf.set(small, before))
+    r = np.random.default_rng(12)
+    at = [(float(a), float(b)) for a in range(-90, 91, 2) for b in range(0, 40, 2)] if shared == 1 else [(float(a), float(b)) for a in range(-89, 90, 8) for b in range(0, 40, 8)]
+    sites = [(i, *at[i % len(at)], None if i % 11 == 3 else float(r.normal(100, 9)), float(i % 7)) for i in range(shared * len(at))]
+    grid = spark.createDataFrame(sites, "site long, lat double, lon double, mu double, nu double")
+    some = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(r.uniform(-90, 90, 3000), r.uniform(0, 40, 3000)))] + [(0, 1.0, 2.0), (9999, None, 3.0)]
+    points = spark.createDataFrame(some, "id int, lat double, lon double")
+    got, written = _exchanged(spark, regrid.distance_weighted(points, grid.select("site", "lat", "lon"), grid.select("site", "mu", "nu"), scale=2.0, nearest=3.0, columns=("mu", "nu")))
+    con = duckdb.connect()
+    for name, df in (("p", points), ("g", grid.withColumnsRenamed({"lat": "glat", "lon": "glon"}))):
+        con.register(f"{name}_", df.toArrow())
+    con.execute(f"CREATE TABLE d AS SELECT id, mu, nu, {HAVERSINE} AS d FROM p_, g_ WHERE mu IS NOT NULL AND nu IS NOT NULL")
+    want = con.execute("SELECT id, sum(exp(-d / 2) * mu) / sum(exp(-d / 2)), sum(exp(-d / 2) * nu) / sum(exp(-d / 2)) FROM d WHERE d < 8 GROUP BY id HAVING min(d) <= 3 ORDER BY id").fetchall()
+    assert len(want) > 500 and [x for w in want for x in w] == pytest.approx([x for g in sorted((x["id"], x["mu"], x["nu"]) for x in got) for x in g], rel=1e-9)
+    pairs = con.execute("SELECT count(*) FROM d WHERE d < 8").fetchone()[0]
+    assert written < 2 * len(some) + 27 * len(at) + 4 * len(sites) < pairs
